@@ -7,6 +7,7 @@ from importlib import import_module
 FLAGSHIP = "pip2_bars_labels_weights"
 MODULES = (
     "tape_queries",
+    "label_queries",
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.operators.labels import locate, range_aggregate
-from tapeloom.plans.series import KEYS, lagged, position, running
+from tapeloom.plans.series import KEYS, div, lagged, position, running
 
 
 def _sweep(bars: DataFrame, spans: DataFrame, weight: str | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def concurrency(bars: DataFrame, events: DataFrame) -> DataFrame:
 def average_uniqueness(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Mean of 1/concurrency over each label's bars, as ``tw``."""
     spans = locate(bars, events)
-    conc = _sweep(bars.select(*KEYS, "pos"), spans).withColumn("_u", 1 / F.col("c"))
+    conc = _sweep(bars.select(*KEYS, "pos"), spans).withColumn("_u", div(F.lit(1.0), F.col("c")))
     sums = range_aggregate(conc, spans, {"_s": "_u"}, id_cols=["t0"])
     return sums.select(*KEYS, "t0", (F.col("_s") / F.col("n_bars")).alias("tw"))
 
@@ -44,11 +44,11 @@ def return_attribution(bars: DataFrame, events: DataFrame, *, scaled: bool = Tru
     moves = lagged(bars.select(*KEYS, "pos", "close"), {"_prev": F.col("close")}).withColumn(
         "_lr", F.log("close") - F.log("_prev")
     )
-    conc = _sweep(moves, spans).withColumn("_a", F.col("_lr") / F.col("c"))
+    conc = _sweep(moves, spans).withColumn("_a", div(F.col("_lr"), F.col("c")))
     raw = range_aggregate(conc, spans, {"_s": "_a"}, id_cols=["t0"]).select(*KEYS, "t0", F.abs("_s").alias("w"))
     if not scaled:
         return raw
-    total = raw.groupBy(*KEYS).agg((F.count(F.lit(1)) / F.sum("w")).alias("_k"))
+    total = raw.groupBy(*KEYS).agg(div(F.count(F.lit(1)), F.sum("w")).alias("_k"))
     return raw.join(total, list(KEYS)).withColumn("w", F.col("w") * F.col("_k")).drop("_k")
 
 
@@ -71,7 +71,7 @@ def indicator(bars: DataFrame, events: DataFrame) -> DataFrame:
 def indicator_uniqueness(bars: DataFrame, events: DataFrame, *, copies: str = "copies") -> DataFrame:
     """Mean uniqueness of each event when event ``i`` is present ``copies`` times."""
     spans = locate(bars, events)
-    conc = _sweep(bars.select(*KEYS, "pos"), spans, copies).withColumn("_u", 1 / F.col("c"))
+    conc = _sweep(bars.select(*KEYS, "pos"), spans, copies).withColumn("_u", div(F.lit(1.0), F.col("c")))
     sums = range_aggregate(conc, spans.where(F.col(copies) > 0), {"_s": "_u"}, id_cols=["t0"])
     return sums.select(*KEYS, "t0", (F.col("_s") / F.col("n_bars")).alias("avg_u"))
 

@@ -19,6 +19,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,16 @@ BLOCK_ROWS = 1 << 18
 PARTITION_BYTES = 128 << 20
 
 
+def div(a: Column, b: Column) -> Column:
+    """Division with null for a zero divisor (ANSI mode raises otherwise)."""
+    return a / F.nullif(b, F.lit(0))
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one job read; it spills to disk and is recomputed when lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _conf(spark: SparkSession, name: str, default) -> str:
     return spark.conf.get(f"tapeloom.series.{name}", str(default))
 
