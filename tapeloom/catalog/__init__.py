@@ -8,6 +8,7 @@ FLAGSHIP = "pip2_bars_labels_weights"
 MODULES = (
     "tape_queries",
     "label_queries",
+    "feature_queries",
 )
 
 

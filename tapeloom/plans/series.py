@@ -402,3 +402,32 @@ def packed(df: DataFrame, cols: Sequence[str], *, size: int, keys: Sequence[str]
 def span_blocks(df: DataFrame, lo: str, hi: str, *, size: int) -> DataFrame:
     """Explode each position interval into the blocks it overlaps (equi-join key ``blk``)."""
     return df.withColumn("blk", F.explode(F.sequence(_block(lo, size), _block(hi, size))))
+
+
+def map_blocks(
+    df: DataFrame,
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: T.StructType,
+    *,
+    keys: Sequence[str] = KEYS,
+    pos: str = "pos",
+    before: int = 0,
+) -> DataFrame:
+    """Vectorised step over bounded blocks of consecutive rows, each with ``before`` borrowed rows.
+
+    ``fn`` sees rows in order and must return the same number of rows; borrowed ones are dropped.
+    """
+    size = max(block_rows(df), before)
+    blk, offset = _block(pos, size), F.col(pos) % size
+    homes = [F.struct(blk.alias("b"), F.lit(False).alias("h"))]
+    if before:
+        homes.append(F.when(offset >= size - before, F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))))
+    spread = df.withColumn("_home", F.explode(F.array_compact(F.array(*homes))))
+    spread = spread.withColumns({"_b": F.col("_home.b"), "_h": F.col("_home.h")}).drop("_home")
+    names = schema.fieldNames()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, ignore_index=True)
+        return fn(pdf.drop(columns=["_b", "_h"]))[~pdf["_h"].to_numpy(dtype=bool)][names]
+
+    return spread.groupBy(*keys, "_b").applyInPandas(run, schema)
