@@ -9,6 +9,7 @@ MODULES = (
     "tape_queries",
     "label_queries",
     "feature_queries",
+    "strategy_queries",
 )
 
 

@@ -101,9 +101,9 @@ FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS m FROM lineitem GRO
 view(
     "trials",
     """
-SELECT *, row_number() OVER (PARTITION BY trial ORDER BY month) - 1 AS pos FROM (
-  SELECT 't' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 2, '0') AS trial, date_trunc('month', l_shipdate) AS month,
+SELECT *, row_number() OVER (PARTITION BY study, trial ORDER BY month) - 1 AS pos FROM (
+  SELECT l_linestatus AS study, 't' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 2, '0') AS trial, date_trunc('month', l_shipdate) AS month,
          CAST(sum(CAST(round(l_discount * 100) AS BIGINT) - 5) AS DOUBLE) / count(*) / 100.0::DOUBLE AS pnl
-  FROM lineitem GROUP BY 1, 2)
+  FROM lineitem GROUP BY 1, 2, 3)
 """,
 )

@@ -108,12 +108,13 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty strategy trials: daily mean discount edge by supplier group, on the common calendar."""
+    """Twenty strategy trials per line status: monthly mean discount edge by supplier group."""
     li = table(spark, sf_dir, "lineitem")
     daily = li.groupBy(
+        F.col("l_linestatus").alias("study"),
         F.concat(F.lit("t"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 2, "0")).alias("trial"),
         F.date_trunc("month", F.col("l_shipdate")).alias("month"),
     ).agg(
         ((F.sum(F.round(F.col("l_discount") * 100).cast("long") - 5)) / F.count(F.lit(1)) / F.lit(100.0)).alias("pnl")
     )
-    return position(daily, ["month"], keys=["trial"])
+    return position(daily, ["month"], keys=["study", "trial"])
