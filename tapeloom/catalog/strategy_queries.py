@@ -44,7 +44,7 @@ LEFT JOIN sig0 s ON s.instrument = p.instrument AND s.t0 <= p.t AND (p.t < s.t1
 """,
     "sig0",
 )
-view("sig", "SELECT instrument, t, greatest(-1, least(1, round_even(signal / 0.1::DOUBLE, 0) * 0.1::DOUBLE)) AS signal FROM sig1", "sig1")
+view("sig", "SELECT instrument, t, greatest(-1, least(1, round_even(signal / 0.1::DOUBLE, 0) * 0.1::DOUBLE)) + 0::DOUBLE AS signal FROM sig1", "sig1")
 
 
 def predictions(spark, d):
@@ -134,7 +134,7 @@ view(
 )
 view(
     "bpnl",
-    "SELECT *, coalesce(lag(position) OVER w, 0) * coalesce(close / lag(close) OVER w - 1, 0) AS pnl FROM bpos WINDOW w AS (PARTITION BY instrument ORDER BY pos)",
+    "SELECT *, coalesce(lag(position) OVER w, 0) * coalesce(close / lag(close) OVER w - 1, 0) + 0::DOUBLE AS pnl FROM bpos WINDOW w AS (PARTITION BY instrument ORDER BY pos)",
     "bpos",
 )
 
@@ -148,9 +148,9 @@ def bet6(spark, d):
     return on_bars(spark, d).select("instrument", "pos", r("position"))
 
 
-@query("bet7_strategy_pnl", with_views("SELECT instrument, pos, round(pnl, 6) AS pnl FROM bpnl", "bpnl"))
+@query("bet7_strategy_pnl", with_views("SELECT instrument, pos, round(pnl, 6) + 0::DOUBLE AS pnl FROM bpnl", "bpnl"))
 def bet7(spark, d):
-    return B.strategy_pnl(on_bars(spark, d)).select("instrument", "pos", r("pnl"))
+    return B.strategy_pnl(on_bars(spark, d)).select("instrument", "pos", (F.round("pnl", 6) + F.lit(0.0)).alias("pnl"))
 
 
 @query(

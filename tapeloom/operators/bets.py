@@ -49,7 +49,7 @@ def average_active(signals: DataFrame) -> DataFrame:
 def discretise(df: DataFrame, *, step: float, signal: str = "signal") -> DataFrame:
     """Round half-even to multiples of ``step`` and clip to [-1, 1]."""
     return df.withColumn(
-        signal, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.rint(F.col(signal) / F.lit(step)) * F.lit(step)))
+        signal, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.rint(F.col(signal) / F.lit(step)) * F.lit(step))) + F.lit(0.0)
     )
 
 
@@ -102,7 +102,7 @@ def strategy_pnl(bars: DataFrame) -> DataFrame:
     """Previous bar's position times this bar's return."""
     out = lagged(bars, {"_pos": F.col("position"), "_c": F.col("close")})
     pnl = F.coalesce(F.col("_pos"), F.lit(0.0)) * F.coalesce(F.col("close") / F.col("_c") - 1, F.lit(0.0))
-    return out.withColumn("pnl", pnl).drop("_pos", "_c")
+    return out.withColumn("pnl", pnl + F.lit(0.0)).drop("_pos", "_c")
 
 
 def event_returns(events: DataFrame, signals: DataFrame) -> DataFrame:

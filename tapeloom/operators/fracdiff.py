@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.gaussian import with_norm_cdf
-from tapeloom.plans.series import KEYS, div, framed, lagged, map_blocks, packed, position, running
+from tapeloom.plans.series import KEYS, div, framed, lagged, map_blocks, packed, position, running, running_product
 
 LAG_LIMIT = 64
 
@@ -46,16 +46,8 @@ def weight_table(series: DataFrame, *, d: float) -> DataFrame:
     """``(instrument, k, w)`` for as many lags as each series has rows."""
     factor = -(F.lit(float(d)) - F.col("pos") + 1) / F.greatest(F.col("pos"), F.lit(1))
     factor = F.when(F.col("pos") == 0, F.lit(1.0)).otherwise(factor)
-    run = running(
-        series.select(*KEYS, "pos"),
-        {
-            "_log": ("sum", F.when(factor != 0, F.log(F.abs(factor)))),
-            "_neg": ("sum", (factor < 0).cast("long")),
-            "_zero": ("max", (factor == 0).cast("int")),
-        },
-    )
-    sign = F.when(F.col("_zero") == 1, 0).when(F.col("_neg") % 2 == 1, -1).otherwise(1)
-    return run.select(*KEYS, F.col("pos").alias("k"), (sign * F.exp("_log")).alias("w"))
+    run = running_product(series.select(*KEYS, "pos"), factor, "w")
+    return run.select(*KEYS, F.col("pos").alias("k"), "w")
 
 
 def calibrate_threshold(table: DataFrame, *, mass: float) -> DataFrame:

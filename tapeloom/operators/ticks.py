@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.plans.series import KEYS, ewm_sums, lagged, position, running
+from tapeloom.plans.series import KEYS, div, ewm_sums, lagged, position, quantiles, running
 
 
 def dedupe_trades(df: DataFrame, *, order: Sequence[str] = ("ts", "seq"), keys=("instrument", "trade_id")) -> DataFrame:
@@ -92,14 +92,15 @@ def tape_profile(df: DataFrame) -> DataFrame:
     """Baseline statistics of a tape: arrival rate, price noise, trade size, sell share, span."""
     gaps = lagged(df, {"_pp": F.col("price"), "_pt": F.unix_micros("ts")})
     seconds = (F.unix_micros("ts") - F.col("_pt")) / F.lit(1e6)
-    return gaps.groupBy(*KEYS).agg(
-        (1 / F.percentile(seconds, F.lit(0.5))).alias("trades_per_second"),
+    median = quantiles(gaps.withColumn("_s", seconds), "_s", [0.5])
+    stats = gaps.groupBy(*KEYS).agg(
         F.stddev_samp(F.col("price") - F.col("_pp")).alias("delta_std"),
         F.avg("qty").alias("mean_size"),
         F.avg((F.col("side") == -1).cast("double")).alias("sell_share"),
         F.count(F.lit(1)).alias("n_trades"),
         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(3.6e9)).alias("span_hours"),
     )
+    return stats.join(median, list(KEYS), "left").withColumn("trades_per_second", div(F.lit(1.0), F.col("q0"))).drop("q0")
 
 
 def signed_flow(df: DataFrame) -> DataFrame:

@@ -51,9 +51,12 @@ def block_rows(df: DataFrame) -> int:
 
 
 def leaf_bytes(df: DataFrame) -> int:
-    """Sum of the size estimates of the plan's leaves (file sizes for table scans)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    """Size estimate of the largest table under the plan (file sizes for table scans).
+
+    The analysed plan is read, so the check costs no optimisation pass.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
 
 
 def is_split(df: DataFrame) -> bool:
@@ -178,6 +181,41 @@ def _fill(kind: str, c: Column) -> Column:
     return F.coalesce(c, F.lit(0)) if kind == "count" else c
 
 
+def running_product(df: DataFrame, x: Column, name: str, *, keys: Sequence[str] = KEYS, pos: str = "pos") -> DataFrame:
+    """Prefix product that keeps the sign and survives zeros (null factors count as one)."""
+    out = running(
+        df,
+        {
+            "_log": ("sum", F.when(x != 0, F.log(F.abs(F.when(x != 0, x))))),
+            "_neg": ("sum", F.when(x < 0, 1).otherwise(0)),
+            "_zero": ("max", F.when(x == 0, 1).otherwise(0)),
+        },
+        keys=keys,
+        pos=pos,
+    )
+    sign = F.when(F.col("_zero") == 1, 0).when(F.col("_neg") % 2 == 1, -1).otherwise(1)
+    return out.withColumn(name, sign * F.exp(F.coalesce("_log", F.lit(0.0)))).drop("_log", "_neg", "_zero")
+
+
+# --------------------------------------------------------------------------- exact quantiles
+def quantiles(df: DataFrame, x: str, probs: Sequence[float], *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Exact linearly interpolated quantiles per key as columns ``q0, q1, ...``.
+
+    Ranks come from :func:`position`, so no group's values are gathered in one buffer.
+    """
+    keys = list(keys)
+    ranked = position(df.where(F.col(x).isNotNull()).select(*keys, x), [x], keys=keys, name="_rank")
+    n = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        lo = F.max(F.when(F.col("_rank") == F.floor(h), F.col(x)))
+        hi = F.max(F.when(F.col("_rank") == F.ceil(h), F.col(x)))
+        frac = F.max(h - F.floor(h))
+        out.append((lo + (hi - lo) * frac).alias(f"q{i}"))
+    return ranked.join(n, keys).groupBy(*keys).agg(*out)
+
+
 # --------------------------------------------------------------------------- bounded frames
 def framed(
     df: DataFrame,
