@@ -10,6 +10,7 @@ MODULES = (
     "label_queries",
     "feature_queries",
     "strategy_queries",
+    "market_queries",
 )
 
 
@@ -18,4 +19,4 @@ def load():
 
     for m in MODULES:
         import_module(f"tapeloom.catalog.{m}")
-    return QUERIES, ORACLES
+    return QUERIES, {n: sql if isinstance(sql, str) else sql() for n, sql in ORACLES.items()}

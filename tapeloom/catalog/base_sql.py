@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -9,20 +11,25 @@ def view(name: str, body: str, *needs: str) -> None:
     VIEWS[name] = (needs, body)
 
 
-def with_views(body: str, *names: str) -> str:
-    done: list[str] = []
+def with_views(body: str, *names: str) -> Callable[[], str]:
+    """The query text behind a chain of the named views, assembled once all views are known."""
+
+    def build() -> str:
+        done: list[str] = []
+
+        def visit(n: str) -> None:
+            if n in done:
+                return
+            for d in VIEWS[n][0]:
+                visit(d)
+            done.append(n)
 
-    def visit(n: str) -> None:
-        if n in done:
-            return
-        for d in VIEWS[n][0]:
-            visit(d)
-        done.append(n)
+        for n in names:
+            visit(n)
+        ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in done)
+        return f"WITH RECURSIVE {ctes}\n{body}"
 
-    for n in names:
-        visit(n)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in done)
-    return f"WITH RECURSIVE {ctes}\n{body}"
+    return build
 
 
 view(
@@ -81,7 +88,7 @@ SELECT instrument, contract, CAST(l_shipdate AS DATE) AS date,
        arg_max(c, o) / 100.0::DOUBLE AS close,
        CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, count(*) AS open_int
 FROM (SELECT *, 'p' || CAST(l_suppkey % 4 AS VARCHAR) AS instrument,
-             'p' || CAST(l_suppkey % 4 AS VARCHAR) || 'c' || CAST((l_suppkey % 12) // 4 AS VARCHAR) AS contract,
+             'p' || CAST(l_suppkey % 4 AS VARCHAR) || 'y' || CAST(year(l_shipdate) + (l_suppkey % 12) // 4 AS VARCHAR) AS contract,
              CAST(round(l_extendedprice * 100 / l_quantity) AS BIGINT) AS c,
              {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_quantity, 'e': l_extendedprice} AS o
       FROM lineitem)

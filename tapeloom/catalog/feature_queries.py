@@ -184,7 +184,6 @@ def tagged(spark, d):
     return reuse(B.trades_with_bar_id(C.ticks(spark, d), measure="cents", threshold=1_500_000, compat=False))
 
 
-view("ctag", "SELECT t.* FROM dbars_tag t JOIN dbars b USING (instrument, bar_id)", "dbars_tag", "dbars")
 view(
     "dch",
     "SELECT *, close - c1 AS dp, c1 - c2 AS dl FROM (SELECT *, lag(close) OVER w AS c1, lag(close, 2) OVER w AS c2 FROM tbars WINDOW w AS (PARTITION BY instrument ORDER BY pos))",
@@ -281,17 +280,7 @@ def mic4(spark, d):
     return M.high_low_estimators(bars(spark, d), sl=3).select("instrument", "pos", r("becker_parkinson_sigma"))
 
 
-view(
-    "kyle",
-    """
-SELECT instrument, bar_id, CASE WHEN count(*) >= 5 THEN regr_slope(dp, sv) END AS kyle_lambda FROM (
-  SELECT *, price - lag(price) OVER (PARTITION BY instrument, bar_id ORDER BY pos) AS dp, CAST(qty * side AS DOUBLE) AS sv FROM ctag) GROUP BY 1, 2
-""",
-    "ctag",
-)
-
-
-@query("mic5_kyle_lambda", with_views("SELECT instrument, bar_id, round(kyle_lambda, 6) AS kyle_lambda FROM kyle", "kyle"))
+@query("mic5_kyle_lambda", with_views("SELECT instrument, bar_id, round(kyle_lambda, 6) AS kyle_lambda FROM d_kyle", "d_kyle"))
 def mic5(spark, d):
     return M.kyle_lambda(tagged(spark, d), min_trades=5).select("instrument", "bar_id", r("kyle_lambda"))
 
@@ -363,34 +352,48 @@ def mic9(spark, d):
     return M.serial_correlation(C.ticks(spark, d)).select("instrument", r("serial_corr_signed_flow"))
 
 
-roll_view("droll", "dbars")
-hl_view("dhl", "dbars", 1)
-amihud_view("damihud", "dbars")
-view(
-    "dinner",
-    """
+def feature_views(p: str, tag: str, bars: str) -> None:
+    """The eleven features of bars ``bars`` whose trades are labelled in ``tag``: view ``<p>_features``."""
+    view(f"{p}_trades", f"SELECT t.* FROM {tag} t JOIN {bars} b USING (instrument, bar_id)", tag, bars)
+    view(
+        f"{p}_kyle",
+        f"""
+SELECT instrument, bar_id, CASE WHEN count(*) >= 5 THEN regr_slope(dp, sv) END AS kyle_lambda FROM (
+  SELECT *, price - lag(price) OVER (PARTITION BY instrument, bar_id ORDER BY pos) AS dp, CAST(qty * side AS DOUBLE) AS sv FROM {p}_trades) GROUP BY 1, 2
+""",
+        f"{p}_trades",
+    )
+    roll_view(f"{p}_roll", bars)
+    hl_view(f"{p}_hl", bars, 1)
+    amihud_view(f"{p}_amihud", bars)
+    view(
+        f"{p}_inner",
+        f"""
 SELECT instrument, bar_id, avg(CASE WHEN qty IN (1, 5, 10, 50, 100) THEN 1.0 ELSE 0 END) AS rf,
        CASE WHEN count(*) > 3 AND stddev_pop(CASE WHEN l IS NOT NULL THEN side END) > 0 AND stddev_pop(l) > 0
             THEN covar_pop(side, l) / (stddev_pop(CASE WHEN l IS NOT NULL THEN side END) * stddev_pop(l)) END AS sc,
        avg(CASE WHEN tick = side THEN 1.0 ELSE 0 END) AS ta
 FROM (SELECT *, lag(side) OVER w AS l, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY instrument, bar_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS tick
-      FROM (SELECT *, nullif(sign(price - lag(price) OVER (PARTITION BY instrument, bar_id ORDER BY pos)), 0) AS s FROM ctag)
+      FROM (SELECT *, nullif(sign(price - lag(price) OVER (PARTITION BY instrument, bar_id ORDER BY pos)), 0) AS s FROM {p}_trades)
       WINDOW w AS (PARTITION BY instrument, bar_id ORDER BY pos)) GROUP BY 1, 2
 """,
-    "ctag",
-)
-view(
-    "ftable",
-    f"""
+        f"{p}_trades",
+    )
+    view(
+        f"{p}_features",
+        f"""
 SELECT b.instrument, b.bar_id, b.pos, b.ts, b.close, roll_c, roll_sigma_u, CASE WHEN b.pos >= 19 THEN pk END AS parkinson_vol_20bar, spread AS corwin_schultz_spread,
        CASE WHEN h.beta IS NOT NULL THEN h.sigma END AS becker_parkinson_sigma, kyle_lambda, amihud AS amihud_lambda_20bar, vp AS vpin_10bar,
        rf AS round_number_fraction, sc AS serial_corr_signed_flow, ta AS tick_rule_accuracy
-FROM (SELECT *, {_PARK.format(_W20)} AS pk, {_VPIN} AS vp FROM dbars) b
-JOIN droll USING (instrument, pos) JOIN dhl h USING (instrument, pos) JOIN damihud USING (instrument, pos)
-JOIN kyle USING (instrument, bar_id) JOIN dinner USING (instrument, bar_id)
+FROM (SELECT *, {_PARK.format(_W20)} AS pk, {_VPIN} AS vp FROM {bars}) b
+JOIN {p}_roll USING (instrument, pos) JOIN {p}_hl h USING (instrument, pos) JOIN {p}_amihud USING (instrument, pos)
+JOIN {p}_kyle USING (instrument, bar_id) JOIN {p}_inner USING (instrument, bar_id)
 """,
-    "dbars", "droll", "dhl", "damihud", "kyle", "dinner",
-)
+        bars, f"{p}_roll", f"{p}_hl", f"{p}_amihud", f"{p}_kyle", f"{p}_inner",
+    )
+
+
+feature_views("d", "dbars_tag", "dbars")
 FEATS = [c for c in M.FEATURES]
 
 
@@ -404,8 +407,8 @@ def feature_bars(spark, d):
     with_views(
         "SELECT instrument, bar_id, "
         + ", ".join(f"round({c}{' * 1e6' if c.startswith('amihud') else ''} + 3e-10, 5) AS {c}" for c in FEATS)
-        + " FROM ftable",
-        "ftable",
+        + " FROM d_features",
+        "d_features",
     ),
 )
 def mic10(spark, d):

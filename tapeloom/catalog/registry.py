@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | Callable[[], str] | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")

@@ -67,10 +67,14 @@ def recursive_cusum(df: DataFrame, *, y: str, x: Sequence[str], min_sample: int)
 
 
 # --------------------------------------------------------------------------- tiles
+def _field(name: str):
+    return lambda x: x[name].cast("double")
+
+
 def _tiles(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     """Every (start block, end block) pair with start <= end, keyed by start block."""
     blocks = packed(df, cols, size=size).select(
-        *KEYS, "blk", *[F.transform("rows", lambda r, c=c: r[c].cast("double")).alias(c) for c in cols]
+        *KEYS, "blk", *[F.transform("rows", _field(c)).alias(c) for c in cols]
     )
     ends = blocks.withColumn("_sblk", F.explode(F.sequence(F.lit(0).cast("long"), "blk")))
     starts = blocks.select(*KEYS, F.col("blk").alias("_sblk"), *[F.col(c).alias(f"_s_{c}") for c in cols])

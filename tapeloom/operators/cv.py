@@ -23,7 +23,8 @@ def _facts(obs: DataFrame, fold: Column) -> DataFrame:
     facts = tagged.groupBy(*KEYS, "fold").agg(
         F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.min("t0").alias("first_t0"), F.max("t1").alias("last_t1")
     )
-    after = asof(facts, obs, {"next_pos": "pos"}, left_on=us("last_t1"), right_on=us("t0"), forward=True)
+    starts = obs.groupBy(*KEYS, "t0").agg(F.min("pos").alias("pos"))
+    after = asof(facts, starts, {"next_pos": "pos"}, left_on=us("last_t1"), right_on=us("t0"), forward=True)
     open_ended = facts.where(F.col("last_t1").isNull()).withColumn("next_pos", F.lit(None).cast("long"))
     n = obs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_obs"))
     return after.unionByName(open_ended).join(n, list(KEYS))
@@ -36,7 +37,7 @@ def _fold_arrays(facts: DataFrame) -> DataFrame:
 
 def _safe(f, pct_embargo: float) -> Column:
     """Training row clear of fold ``f``: its label ended before, or it starts after the embargo."""
-    gap = F.floor(f["n_obs"] * F.lit(pct_embargo) + F.lit(1e-12)).cast("long")
+    gap = F.floor(f["n_obs"] * F.lit(float(pct_embargo))).cast("long")
     return F.coalesce(F.col("t1") <= f["first_t0"], F.lit(False)) | F.coalesce(F.col("pos") >= f["next_pos"] + gap, F.lit(False))
 
 

@@ -72,21 +72,24 @@ def plug_in(msgs: DataFrame, *, word: int, keys: Sequence[str] = (*KEYS, "window
     )
 
 
-@F.pandas_udf("array<string>")
-def lempel_ziv(msg: pd.Series) -> pd.Series:
+def lz_words(m: str) -> list[str]:
     """Greedy dictionary of a message: each new word is the shortest not seen before."""
-
-    def parse(m: str) -> list[str]:
-        seen: dict[str, None] = {}
-        start = 0
-        for end in range(1, len(m) + 1):
-            w = m[start:end]
-            if w not in seen:
-                seen[w] = None
-                start = end
-        return list(seen)
-
-    return msg.map(parse)
+    seen: dict[str, None] = {}
+    start = 0
+    for end in range(1, len(m) + 1):
+        w = m[start:end]
+        if w not in seen:
+            seen[w] = None
+            start = end
+    return list(seen)
+
+
+def with_lempel_ziv(msgs: DataFrame, *, name: str = "words") -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def parse(msg: pd.Series) -> pd.Series:
+        return msg.map(lz_words)
+
+    return msgs.withColumn(name, parse("msg"))
 
 
 def match_length(msg: str, i: int, n: int) -> int:

@@ -71,10 +71,10 @@ def daily_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly contract panel: product = supplier mod 4, contract = product and ship quarter mod 6."""
+    """Contract panel: four products, each trading its current and next two yearly contracts every day."""
     li = table(spark, sf_dir, "lineitem")
     product = F.concat(F.lit("p"), (F.col("l_suppkey") % 4).cast("string"))
-    contract = F.concat(product, F.lit("c"), (F.col("l_suppkey") % 12 / 4).cast("int").cast("string"))
+    contract = F.concat(product, F.lit("y"), (F.year("l_shipdate") + (F.col("l_suppkey") % 12 / 4).cast("int")).cast("string"))
     cents = F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long")
     first = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     return (
