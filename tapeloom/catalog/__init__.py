@@ -11,6 +11,7 @@ MODULES = (
     "feature_queries",
     "strategy_queries",
     "market_queries",
+    "evidence_queries",
 )
 
 

@@ -117,33 +117,39 @@ def ffd5(spark, d):
 
 
 _GRID = [(d, D.weights_until(d, 0.01)) for d in D.D_GRID]
-view(
-    "grid",
-    " UNION ALL ".join(
-        f"SELECT instrument, pos, {d}::DOUBLE AS d, ln(close) AS lp, "
-        + " + ".join(f"({float(w)!r}::DOUBLE) * ln(lag(close, {i}, close) OVER w)" for i, w in enumerate(ws))
-        + f" AS value FROM tbars WINDOW w AS (PARTITION BY instrument ORDER BY pos) QUALIFY pos >= {len(ws) - 1}"
-        for d, ws in _GRID
-    ),
-    "tbars",
-)
-view(
-    "adf",
-    f"""
-SELECT *, CASE WHEN st > {D.TAU_MAX} THEN 1 WHEN st < {D.TAU_MIN} THEN 0 ELSE {norm_cdf_sql('z')} END AS p_value FROM (
-SELECT *, CASE WHEN st <= {D.TAU_STAR} THEN {D.TAU_SMALL[0]}::DOUBLE + {D.TAU_SMALL[1]}::DOUBLE * st + {D.TAU_SMALL[2]}::DOUBLE * st * st
-          ELSE {D.TAU_LARGE[0]}::DOUBLE + {D.TAU_LARGE[1]}::DOUBLE * st + {D.TAU_LARGE[2]}::DOUBLE * st * st + {D.TAU_LARGE[3]}::DOUBLE * st * st * st END AS z
-FROM (SELECT *, b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3) * s22 / dt) AS st FROM (
-  SELECT *, (s22 * s1y - s12 * s2y) / dt AS b1, (s11 * s2y - s12 * s1y) / dt AS b2 FROM (
-    SELECT *, s11 * s22 - s12 * s12 AS dt FROM (
-      SELECT instrument, d, count(*) AS n, any_value(rho) AS rho, covar_pop(y1, y1) AS s11, covar_pop(dl, dl) AS s22, covar_pop(y1, dl) AS s12,
-             covar_pop(dy, y1) AS s1y, covar_pop(dy, dl) AS s2y, covar_pop(dy, dy) AS syy
-      FROM (SELECT *, value - y1 AS dy, y1 - y2 AS dl FROM (
-        SELECT instrument, d, pos, value, lag(value) OVER w AS y1, lag(value, 2) OVER w AS y2, corr(lp, value) OVER (PARTITION BY instrument, d) AS rho
-        FROM grid WINDOW w AS (PARTITION BY instrument, d ORDER BY pos))) WHERE dl IS NOT NULL GROUP BY 1, 2)))))
-""",
-    "grid",
-)
+
+
+def fracdiff_views(p: str, bars: str) -> None:
+    view(
+        f"{p}grid",
+        " UNION ALL ".join(
+            f"SELECT instrument, pos, {d}::DOUBLE AS d, ln(close) AS lp, "
+            + " + ".join(f"({float(w)!r}::DOUBLE) * ln(lag(close, {i}, close) OVER w)" for i, w in enumerate(ws))
+            + f" AS value FROM {bars} WINDOW w AS (PARTITION BY instrument ORDER BY pos) QUALIFY pos >= {len(ws) - 1}"
+            for d, ws in _GRID
+        ),
+        bars,
+    )
+    view(
+        f"{p}adf",
+        f"""
+    SELECT *, CASE WHEN st > {D.TAU_MAX} THEN 1 WHEN st < {D.TAU_MIN} THEN 0 ELSE {norm_cdf_sql('z')} END AS p_value FROM (
+    SELECT *, CASE WHEN st <= {D.TAU_STAR} THEN {D.TAU_SMALL[0]}::DOUBLE + {D.TAU_SMALL[1]}::DOUBLE * st + {D.TAU_SMALL[2]}::DOUBLE * st * st
+              ELSE {D.TAU_LARGE[0]}::DOUBLE + {D.TAU_LARGE[1]}::DOUBLE * st + {D.TAU_LARGE[2]}::DOUBLE * st * st + {D.TAU_LARGE[3]}::DOUBLE * st * st * st END AS z
+    FROM (SELECT *, b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3) * s22 / dt) AS st FROM (
+      SELECT *, (s22 * s1y - s12 * s2y) / dt AS b1, (s11 * s2y - s12 * s1y) / dt AS b2 FROM (
+        SELECT *, s11 * s22 - s12 * s12 AS dt FROM (
+          SELECT instrument, d, count(*) AS n, any_value(rho) AS rho, covar_pop(y1, y1) AS s11, covar_pop(dl, dl) AS s22, covar_pop(y1, dl) AS s12,
+                 covar_pop(dy, y1) AS s1y, covar_pop(dy, dl) AS s2y, covar_pop(dy, dy) AS syy
+          FROM (SELECT *, value - y1 AS dy, y1 - y2 AS dl FROM (
+            SELECT instrument, d, pos, value, lag(value) OVER w AS y1, lag(value, 2) OVER w AS y2, corr(lp, value) OVER (PARTITION BY instrument, d) AS rho
+            FROM {p}grid WINDOW w AS (PARTITION BY instrument, d ORDER BY pos))) WHERE dl IS NOT NULL GROUP BY 1, 2)))))
+    """,
+        f"{p}grid",
+    )
+
+
+fracdiff_views("", "tbars")
 
 
 @query(

@@ -83,17 +83,21 @@ view(
 
 
 def touch_view(name: str, base: str, pt: float, sl: float) -> None:
+    touch_on(name, base, "tbars", pt, sl)
+
+
+def touch_on(name: str, base: str, bars_view: str, pt: float, sl: float) -> None:
     view(
         name,
         f"""
 SELECT e.instrument, e.t0, e.t1, e.trgt, e.side,
        min(CASE WHEN (b.close / c.close - 1) * e.side < -{sl}::DOUBLE * e.trgt THEN b.ts END) AS sl_ts,
        min(CASE WHEN (b.close / c.close - 1) * e.side > {pt}::DOUBLE * e.trgt THEN b.ts END) AS pt_ts
-FROM {base} e JOIN tbars c ON c.instrument = e.instrument AND c.ts = e.t0
-JOIN tbars b ON b.instrument = e.instrument AND b.ts >= e.t0 AND b.ts <= coalesce(e.t1, TIMESTAMP '2100-01-01')
+FROM {base} e JOIN {bars_view} c ON c.instrument = e.instrument AND c.ts = e.t0
+JOIN {bars_view} b ON b.instrument = e.instrument AND b.ts >= e.t0 AND b.ts <= coalesce(e.t1, TIMESTAMP '2100-01-01')
 GROUP BY ALL
 """,
-        base, "tbars",
+        base, bars_view,
     )
 
 
@@ -404,3 +408,61 @@ def wgt8(spark, d):
 def wgt9(spark, d):
     b = bars(spark, d)
     return W.bootstrap_comparison(b, tb_events(b), max_events=50, trials=10)
+
+
+def label_views(p: str, bars_view: str, events_view: str, *, beta: str, pt: float, sl: float, min_ret: float, days: int) -> None:
+    """Volatility, barriers, labels, concurrency and weights on any bar view; closed labels only."""
+    view(
+        f"{p}_dv",
+        f"""
+SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY pos) - 1 AS k FROM (
+  SELECT b.instrument, b.pos, b.ts, b.close, b.close / p.close - 1 AS ret
+  FROM {bars_view} b ASOF JOIN {bars_view} p ON b.instrument = p.instrument AND b.ts - INTERVAL 1 DAY > p.ts)
+""",
+        bars_view,
+    )
+    view(
+        f"{p}_vol",
+        f"""
+SELECT instrument, pos, ts, CASE WHEN count(*) > 1 THEN sqrt(greatest(0, sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2))
+            * sum(w) * sum(w) / (sum(w) * sum(w) - sum(w * w))) END AS vol
+FROM (SELECT a.instrument, a.pos, a.ts, b.ret AS x, pow({beta}, a.k - b.k) AS w FROM {p}_dv a JOIN {p}_dv b ON a.instrument = b.instrument AND b.k <= a.k)
+GROUP BY instrument, pos, ts
+""",
+        f"{p}_dv",
+    )
+    view(
+        f"{p}_t0",
+        f"""
+SELECT e.instrument, e.ts AS t0, v.vol AS trgt, 1 AS side, x.t1 FROM ({events_view} e ASOF JOIN {p}_vol v ON e.instrument = v.instrument AND e.ts <= v.ts)
+LEFT JOIN (SELECT e2.instrument, e2.ts AS t0, b.ts AS t1 FROM {events_view} e2 ASOF JOIN {bars_view} b ON e2.instrument = b.instrument AND e2.ts + INTERVAL {days} DAY <= b.ts) x
+  ON x.instrument = e.instrument AND x.t0 = e.ts WHERE v.vol > {min_ret}
+""",
+        f"{p}_vol", events_view,
+    )
+    touch_on(f"{p}_touch", f"{p}_t0", bars_view, pt, sl)
+    view(
+        f"{p}_bins",
+        f"""
+SELECT e.*, c.pos AS p0, x.pos AS p1, x.close / c.close - 1 AS ret FROM (SELECT instrument, t0, trgt, least(t1, sl_ts, pt_ts) AS t1 FROM {p}_touch) e
+JOIN {bars_view} c ON c.instrument = e.instrument AND c.ts = e.t0 JOIN {bars_view} x ON x.instrument = e.instrument AND x.ts = e.t1 WHERE e.t1 IS NOT NULL
+""",
+        f"{p}_touch",
+    )
+    view(
+        f"{p}_conc",
+        f"""
+SELECT b.instrument, b.pos, count(s.t0) AS c, ln(b.close) - ln(lag(b.close) OVER (PARTITION BY b.instrument ORDER BY b.pos)) AS lr
+FROM {bars_view} b LEFT JOIN {p}_bins s ON s.instrument = b.instrument AND b.pos BETWEEN s.p0 AND s.p1 GROUP BY b.instrument, b.pos, b.close
+""",
+        f"{p}_bins",
+    )
+    view(
+        f"{p}_weights",
+        f"""
+SELECT *, w0 * count(*) OVER (PARTITION BY instrument) / sum(w0) OVER (PARTITION BY instrument) AS w FROM (
+SELECT s.instrument, s.t0, s.t1, s.trgt, s.ret, avg(1.0::DOUBLE / c.c) AS tw, abs(sum(coalesce(c.lr, 0) / c.c)) AS w0
+FROM {p}_bins s JOIN {p}_conc c ON c.instrument = s.instrument AND c.pos BETWEEN s.p0 AND s.p1 GROUP BY ALL)
+""",
+        f"{p}_conc",
+    )

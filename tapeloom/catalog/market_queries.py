@@ -251,11 +251,13 @@ def legs(spark, d):
 @query(
     "rol8_basket_index",
     with_views(
-        "SELECT 'b0' AS basket, pos, round(k, 4) AS k, round(rcost, 6) AS rebalance_cost, round(acost, 6) AS bid_ask_cost, round(vol, 2) AS volume FROM etf", "etf"
+        "SELECT 'b0' AS basket, pos, CAST(sign(k) AS DOUBLE) AS sgn, round(ln(abs(k)), 6) + 0::DOUBLE AS log_k, round(ln(1 + rcost), 6) + 0::DOUBLE AS rebalance_cost, round(ln(1 + acost), 6) + 0::DOUBLE AS bid_ask_cost, round(ln(1 + vol), 6) + 0::DOUBLE AS volume FROM etf", "etf"
     ),
 )
 def rol8(spark, d):
-    return R.etf_trick(legs(spark, d)).select("basket", "pos", r("k", 4), r("rebalance_cost"), r("bid_ask_cost"), r("volume", 2))
+    out = R.etf_trick(legs(spark, d))
+    logs = [(F.round(F.log1p(c), 6) + F.lit(0.0)).alias(c) for c in ("rebalance_cost", "bid_ask_cost", "volume")]
+    return out.select("basket", "pos", F.signum("k").alias("sgn"), (F.round(F.log(F.abs("k")), 6) + F.lit(0.0)).alias("log_k"), *logs)
 
 
 # --------------------------------------------------------------------------- portfolios

@@ -19,12 +19,12 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.session import durable
+from tapeloom.sources.storage import scratch
 
 KEYS = ("instrument",)
 SMALL_BYTES = 64 << 20
@@ -38,8 +38,14 @@ def div(a: Column, b: Column) -> Column:
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """Keep a table that several branches of one job read; it spills to disk and is recomputed when lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Write a table that several branches of one job read to the shared folder, and read it back.
+
+    This cuts lineage (a lost executor costs nothing upstream), keeps later scans column-pruned and
+    gives later size checks the true size.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _conf(spark: SparkSession, name: str, default) -> str:
