@@ -12,6 +12,7 @@ MODULES = (
     "strategy_queries",
     "market_queries",
     "evidence_queries",
+    "stream_queries",
 )
 
 

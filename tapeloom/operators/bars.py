@@ -128,18 +128,22 @@ def _numbered(tape: DataFrame, fn, init) -> DataFrame:
     return out.withColumn("bar_id", F.col("_local") + F.col("_off")).drop("_local", "_off")
 
 
+def threshold_marker(measure: str, threshold: float | str):
+    def mark(pdf: pd.DataFrame, state):
+        limit = float(pdf[threshold].iloc[0]) if isinstance(threshold, str) else float(threshold)
+        ends, carry = _threshold_ends(pdf[measure].to_numpy(), limit, state[0])
+        return ends, [carry]
+
+    return mark
+
+
 def tag_threshold_bars(tape: DataFrame, *, measure: str, threshold: float | str) -> DataFrame:
     """Label each trade with ``bar_id``; ``threshold`` is a constant or a per-instrument column.
 
     ``measure`` is the accumulated column; integer measures make bar edges exactly reproducible.
     """
 
-    def mark(pdf: pd.DataFrame, state):
-        limit = float(pdf[threshold].iloc[0]) if isinstance(threshold, str) else float(threshold)
-        ends, carry = _threshold_ends(pdf[measure].to_numpy(), limit, state[0])
-        return ends, [carry]
-
-    return _numbered(tape, mark, [0.0])
+    return _numbered(tape, threshold_marker(measure, threshold), [0.0])
 
 
 def threshold_bars(tape: DataFrame, *, measure: str, threshold: float | str) -> DataFrame:
@@ -200,7 +204,7 @@ def _tail_average(hist: np.ndarray, total: int, window: float) -> float:
     return float(np.dot(weights, x))
 
 
-def _imbalance_marker(flow: str, init: int, prev: int, floor: str, tail: int):
+def imbalance_marker(flow: str, init: int, prev: int, floor: str, tail: int):
     def mark(pdf: pd.DataFrame, state):
         theta, ticks, exp_t, exp_b, bars, mean_len, total = state[:7]
         held = np.asarray(state[7:], dtype=float)
@@ -234,7 +238,7 @@ def _floored(v: float, floor: str) -> float:
 def _imbalance_bars(tape: DataFrame, flow: Column, init: int, prev: int, floor: str, tail: int) -> DataFrame:
     flowed = tape.withColumn("_flow", flow.cast("double"))
     state = [0.0, 0.0, float(init), 0.0, 0.0, 0.0, 0.0]
-    return _complete(_numbered(flowed, _imbalance_marker("_flow", init, prev, floor, tail), state).drop("_flow"))
+    return _complete(_numbered(flowed, imbalance_marker("_flow", init, prev, floor, tail), state).drop("_flow"))
 
 
 def tick_imbalance_bars(
@@ -261,7 +265,7 @@ def volume_imbalance_bars(
     return _imbalance_bars(tape, F.col("side") * F.col(measure), init_ticks, prev_bars, floor, tail)
 
 
-def _run_marker(init: int, prev: int, measure: str | None):
+def run_marker(init: int, prev: int, measure: str | None):
     def expected(t: float, p: float, vb: float, vs: float) -> float:
         if measure is None:
             return max(t * max(p, 1 - p), FLOOR)
@@ -298,22 +302,17 @@ def _run_marker(init: int, prev: int, measure: str | None):
 
 def tick_run_bars(tape: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3) -> DataFrame:
     """Close when the count of the dominant side outgrows its expectation."""
-    return _complete(_numbered(tape, _run_marker(init_ticks, prev_bars, None), [0.0] * 9))
+    return _complete(_numbered(tape, run_marker(init_ticks, prev_bars, None), [0.0] * 9))
 
 
 def volume_run_bars(tape: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, measure: str = "qty") -> DataFrame:
     """Close when the volume of the dominant side outgrows its expectation."""
-    return _complete(_numbered(tape, _run_marker(init_ticks, prev_bars, measure), [0.0] * 9))
+    return _complete(_numbered(tape, run_marker(init_ticks, prev_bars, measure), [0.0] * 9))
 
 
 # --------------------------------------------------------------------------- event sampling
-def cusum_filter(df: DataFrame, *, h: float | str, value: str = "close", keys=KEYS) -> DataFrame:
-    """Rows at which a symmetric CUSUM of value changes reaches ``h`` (constant or column).
-
-    Only the side that fires restarts; the first change is skipped.
-    """
-
-    def run(pdf: pd.DataFrame, state):
+def cusum_marker(value: str, h: float | str):
+    def mark(pdf: pd.DataFrame, state):
         up, down, prev = state
         limit = float(pdf[h].iloc[0]) if isinstance(h, str) else float(h)
         hit = np.zeros(len(pdf), dtype=bool)
@@ -326,7 +325,21 @@ def cusum_filter(df: DataFrame, *, h: float | str, value: str = "close", keys=KE
                 elif abs(down) >= limit:
                     down, hit[i] = 0.0, True
             prev = v
-        return pdf[hit], [up, down, prev]
+        return hit, [up, down, prev]
+
+    return mark
+
+
+def cusum_filter(df: DataFrame, *, h: float | str, value: str = "close", keys=KEYS) -> DataFrame:
+    """Rows at which a symmetric CUSUM of value changes reaches ``h`` (constant or column).
+
+    Only the side that fires restarts; the first change is skipped.
+    """
+    mark = cusum_marker(value, h)
+
+    def run(pdf: pd.DataFrame, state):
+        hit, state = mark(pdf, state)
+        return pdf[hit], state
 
     return fold(df, run, [0.0, 0.0, float("nan")], df.schema, keys=keys).drop("_blk")
 
