@@ -247,6 +247,38 @@ def sta3(spark, d):
     return S.pbo(S.cscv(C.trials(spark, d), blocks=S_BLOCKS)).select("study", r("pbo"), "n_combos")
 
 
+view("combos12", "SELECT i AS combo FROM range(4096) t(i) WHERE bit_count(i) = 6")
+view(
+    "tsums12",
+    """
+SELECT study, trial, blk, count(*)::DOUBLE AS n, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM (
+  SELECT study, trial, pnl, CASE WHEN pos < (n % 12) * (n // 12 + 1) THEN pos // (n // 12 + 1) ELSE n % 12 + (pos - (n % 12) * (n // 12 + 1)) // (n // 12) END AS blk
+  FROM (SELECT *, max(pos) OVER (PARTITION BY study) + 1 AS n FROM trials)) GROUP BY 1, 2, 3
+""",
+    "trials",
+)
+_SR = "(sum(s) FILTER ({0}) / sum(n) FILTER ({0})) / sqrt((sum(ss) FILTER ({0}) - sum(s) FILTER ({0}) * sum(s) FILTER ({0}) / sum(n) FILTER ({0})) / (sum(n) FILTER ({0}) - 1))"
+view(
+    "csplit12",
+    f"""
+SELECT study, combo, rk / (n + 1) AS w FROM (
+  SELECT *, rank() OVER (PARTITION BY study, combo ORDER BY r_oos) + (count(*) OVER (PARTITION BY study, combo, r_oos) - 1) / 2.0::DOUBLE AS rk,
+         count(*) OVER (PARTITION BY study, combo) AS n, row_number() OVER (PARTITION BY study, combo ORDER BY r_is DESC, trial) AS best FROM (
+    SELECT study, trial, combo, {_SR.format('ins')} AS r_is, {_SR.format('NOT ins')} AS r_oos
+    FROM (SELECT b.*, c.combo, (c.combo >> CAST(b.blk AS INTEGER)) & 1 = 1 AS ins FROM tsums12 b CROSS JOIN combos12 c) GROUP BY 1, 2, 3)) WHERE best = 1
+""",
+    "tsums12", "combos12",
+)
+
+
+@query(
+    "sta3_pbo_s12",
+    with_views("SELECT study, round(avg(CASE WHEN w < 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pbo, count(*) AS n_combos FROM csplit12 GROUP BY 1", "csplit12"),
+)
+def sta3_12(spark, d):
+    return S.pbo(S.cscv(C.trials(spark, d), blocks=12)).select("study", r("pbo"), "n_combos")
+
+
 def psr_sql(source: str, sr: str, bench: str, n: str, skew: str, kurt: str, out: str) -> str:
     inner = (
         f"SELECT *, ({sr} - {bench}) * sqrt({n} - 1) / sqrt(1 - {skew} * {sr} + ({kurt} - 1) / 4 * {sr} * {sr}) AS zz FROM ({source})"

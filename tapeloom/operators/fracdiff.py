@@ -212,14 +212,14 @@ def adf_table(diffed: DataFrame, *, x: str) -> DataFrame:
         }
     )
     rss = (F.col("syy") - F.col("_b1") * F.col("s1y") - F.col("_b2") * F.col("s2y")) * F.col("n_obs")
-    s2 = div(rss, (F.col("n_obs") - 3).cast("double"))
-    se = F.sqrt(s2 * div(F.col("s22"), F.col("_det")) / F.col("n_obs"))
+    s2 = div(rss, F.greatest(F.col("n_obs") - 3, F.lit(0)).cast("double"))
+    se = F.sqrt(div(s2 * div(F.col("s22"), F.col("_det")), F.col("n_obs")))
     m = m.withColumn("adf_stat", div(F.col("_b1"), se)).withColumn(
         "_z", F.when(F.col("adf_stat") <= TAU_STAR, _poly(TAU_SMALL, "adf_stat")).otherwise(_poly(TAU_LARGE, "adf_stat"))
     )
     m = with_norm_cdf(m, "_z", "_p")
     p = F.when(F.col("adf_stat") > TAU_MAX, 1.0).when(F.col("adf_stat") < TAU_MIN, 0.0).otherwise(F.col("_p"))
-    inv = 1.0 / F.col("n_obs")
+    inv = div(F.lit(1.0), F.col("n_obs"))
     crit = CRIT_5PCT[0] + inv * (CRIT_5PCT[1] + inv * (CRIT_5PCT[2] + inv * CRIT_5PCT[3]))
     return m.withColumns({"p_value": p, "critical_value_95": crit}).select(
         *keys, "adf_stat", "p_value", "n_obs", "critical_value_95", "corr"

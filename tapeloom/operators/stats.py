@@ -187,10 +187,10 @@ def holding_period(positions: DataFrame) -> DataFrame:
     schema = T.StructType([days.schema["instrument"], T.StructField("dt", T.DoubleType()), T.StructField("w", T.DoubleType())])
 
     def run(pdf: pd.DataFrame, state):
-        entry, prev = state
+        entry, prev, seen = state
         out = []
         for p, t in zip(pdf["position"].astype(float).tolist(), pdf["t"].tolist()):
-            if not math.isnan(prev):
+            if seen:
                 move = p - prev
                 if move * prev >= 0:
                     if p != 0:
@@ -200,11 +200,11 @@ def holding_period(positions: DataFrame) -> DataFrame:
                     entry = t
                 else:
                     out.append((t - entry, abs(move)))
-            prev = p
+            prev, seen = p, 1.0
         res = pd.DataFrame(out, columns=["dt", "w"], dtype=float)
-        return res.assign(instrument=pdf["instrument"].iloc[0]), [entry, prev]
+        return res.assign(instrument=pdf["instrument"].iloc[0]), [entry, prev, seen]
 
-    closed = fold(days, run, [0.0, float("nan")], schema)
+    closed = fold(days, run, [0.0] * 3, schema)
     return closed.groupBy(*KEYS).agg(
         F.when(F.sum("w") > 0, F.sum(F.col("dt") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("holding_days")
     )

@@ -351,12 +351,11 @@ def fold(
     *,
     keys: Sequence[str] = KEYS,
     pos: str = "pos",
-    max_rounds: int = 1_000_000,
 ) -> DataFrame:
     """Sequential fold with carried state, exact and without one task per key.
 
     ``fn(rows, state)`` consumes one run of consecutive rows and returns output rows plus the state
-    after them.  ``schema`` describes the output (which must keep ``keys``); a ``_blk`` column is
+    after them; states are finite numbers.  ``schema`` describes the output (which must keep ``keys``); a ``_blk`` column is
     added so callers can number outputs across blocks with :func:`block_offsets`.
 
     Split plan: all blocks are first folded in parallel from ``init``; each block's entry state is
@@ -380,7 +379,7 @@ def fold(
         return df.groupBy(*keys).applyInPandas(whole, out)
 
     cell = keys + ["_blk"]
-    base = durable(df.withColumn("_blk", _block(pos, block_rows(df))))
+    base = reuse(df.withColumn("_blk", _block(pos, block_rows(df))))
     stype = T.StructType(
         [base.schema[k] for k in cell]
         + [T.StructField("_in", T.ArrayType(T.DoubleType())), T.StructField("_out", T.ArrayType(T.DoubleType()))]
@@ -395,17 +394,20 @@ def fold(
         return pd.DataFrame({**head, "_in": [state], "_out": [[float(v) for v in after]]})
 
     first = F.array(*[F.lit(float(v)) for v in init]) if init else F.array().cast("array<double>")
-    todo = base.select(*cell).distinct().withColumn("_in", first)
+    todo = reuse(base.select(*cell).distinct().withColumn("_in", first))
     known: DataFrame | None = None
     by_block = Window.partitionBy(*keys).orderBy("_blk")
-    for _ in range(max_rounds):
+    rounds = (base.agg(F.max("_blk")).first()[0] or 0) + 2
+    for n in range(rounds + 1):
+        if n == rounds:
+            raise RuntimeError("fold state does not settle: states must be finite numbers")
         stale = base.join(todo.select(*cell), cell, "left_semi")
         fresh = stale.groupBy(*cell).cogroup(todo.groupBy(*cell)).applyInPandas(step, stype)
         if known is not None:
             fresh = fresh.unionByName(known.join(todo.select(*cell), cell, "left_anti"))
-        known = durable(fresh)
+        known = reuse(fresh)
         entries = known.withColumn("_want", F.coalesce(F.lag("_out").over(by_block), first))
-        todo = durable(
+        todo = reuse(
             entries.where(~F.col("_want").eqNullSafe(F.col("_in"))).select(*cell, F.col("_want").alias("_in"))
         )
         if todo.isEmpty():

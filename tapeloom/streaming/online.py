@@ -142,7 +142,7 @@ def cusum_events(stream: DataFrame, *, h: float, value: str = "price") -> DataFr
         return rows.loc[hit, ["ts", "seq", value]], nums, opened
 
     out = T.StructType([stream.schema[c] for c in ("instrument", "ts", "seq", value)])
-    return _ordered(stream, step, [0.0, 0.0, float("nan")], out, ["ts", "seq"])
+    return _ordered(stream, step, [0.0] * 4, out, ["ts", "seq"])
 
 
 def barrier_monitor(stream: DataFrame, *, pt: float, sl: float) -> DataFrame:
