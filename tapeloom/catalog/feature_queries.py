@@ -187,7 +187,7 @@ def ffd7b(spark, d):
 
 # --------------------------------------------------------------------------- microstructure
 def tagged(spark, d):
-    return reuse(B.trades_with_bar_id(C.ticks(spark, d), measure="cents", threshold=1_500_000, compat=False))
+    return B.trades_with_bar_id(C.ticks(spark, d), measure="cents", threshold=1_500_000, compat=False)
 
 
 view(

@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.plans.series import KEYS, block_offsets, fold, lagged
+from tapeloom.plans.series import KEYS, block_offsets, fold, lagged, reuse
 
 FLOOR = 1e-6
 
 
-def bar_aggregates(tagged: DataFrame) -> DataFrame:
+def bar_aggregates(tagged: DataFrame, *extra: Column) -> DataFrame:
     """OHLC, VWAP, counts and two-sided flow per ``(instrument, bar_id)``."""
     return (
         tagged.groupBy(*KEYS, "bar_id")
         .agg(
+            *extra,
             F.max_by("ts", "pos").alias("ts"),
             F.max("pos").alias("end_pos"),
             F.min_by("price", "pos").alias("open"),
@@ -42,8 +43,7 @@ def bar_aggregates(tagged: DataFrame) -> DataFrame:
 
 def _complete(tagged: DataFrame) -> DataFrame:
     """Aggregate only bars whose closing trade was seen."""
-    closed = tagged.groupBy(*KEYS).agg(F.sum(F.col("is_end").cast("long")).alias("_n"))
-    return bar_aggregates(tagged.join(closed, list(KEYS)).where(F.col("bar_id") < F.col("_n")).drop("_n"))
+    return bar_aggregates(tagged, F.max("is_end").alias("_closed")).where("_closed").drop("_closed")
 
 
 # --------------------------------------------------------------------------- time bars
@@ -161,9 +161,10 @@ def dollar_bars(tape: DataFrame, *, threshold: float | str, measure: str = "doll
 def trades_with_bar_id(tape: DataFrame, *, measure: str, threshold: float | str, compat: bool = True) -> DataFrame:
     """Trades of complete bars with their ``bar_id``.
 
-    ``compat`` drops the highest id even when its last trade closed the bar exactly.
+    ``compat`` drops the highest id even when its last trade closed the bar exactly.  The tagged tape
+    is stored once, so the fold is not repeated by the branches that read it.
     """
-    tagged = tag_threshold_bars(tape, measure=measure, threshold=threshold)
+    tagged = reuse(tag_threshold_bars(tape, measure=measure, threshold=threshold))
     if compat:
         last = tagged.groupBy(*KEYS).agg(F.max("bar_id").alias("_m"))
     else:

@@ -49,10 +49,9 @@ def bars_and_labels(tape: DataFrame, cfg: LabelConfig, *, check: bool = False) -
     Bars and events feed several branches and are kept; ``check`` names the first empty stage.
     """
     limits = B.adaptive_threshold(tape, target_bars=cfg.target_bars, measure=cfg.measure)
-    tagged = B.trades_with_bar_id(
+    trades = B.trades_with_bar_id(
         tape.join(limits, list(KEYS)), measure=cfg.measure, threshold="threshold", compat=False
     ).drop("threshold")
-    trades = _need_rows(tagged, "trades", check)
     bars = _need_rows(B.bar_aggregates(trades), "bars", check)
     sampled = B.cusum_filter(bars.select(*KEYS, "pos", "ts", "close"), h=cfg.cusum_h)
     sampled = _need_rows(sampled.select(*KEYS, F.col("ts").alias("t0")), "events", check)
