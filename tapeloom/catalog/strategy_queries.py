@@ -118,13 +118,13 @@ def bet4(spark, d):
         """
 SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN target_pos <> pos THEN coalesce(list_sum(list_transform(
          generate_series(abs(pos + CASE WHEN target_pos >= pos THEN 1 ELSE -1 END), abs(target_pos + 1) - 1),
-         lambda j: forecast - j / 100.0::DOUBLE * sqrt(w / nullif(1 - (j / 100.0::DOUBLE) * (j / 100.0::DOUBLE), 0)))), 0) / (target_pos - pos) END, 6) AS limit_price FROM fcast
+         lambda j: forecast - j / 100.0::DOUBLE * sqrt(w / nullif(1 - (j / 100.0::DOUBLE) * (j / 100.0::DOUBLE), 0)))), 0) / (target_pos - pos) + 0::DOUBLE END, 6) + 0::DOUBLE AS limit_price FROM fcast
 """,
         "fcast",
     ),
 )
 def bet5(spark, d):
-    return B.limit_price(B.target_position(forecasts(spark, d))).select("l_orderkey", "l_linenumber", "l_partkey", r("limit_price"))
+    return B.limit_price(B.target_position(forecasts(spark, d))).select("l_orderkey", "l_linenumber", "l_partkey", (F.round("limit_price", 6) + F.lit(0.0)).alias("limit_price"))
 
 
 view(

@@ -88,7 +88,7 @@ def limit_price(
         return F.col(forecast) - m * F.sqrt(div(F.col(w), 1 - m * m))
 
     total = F.aggregate(steps, F.lit(0.0), lambda acc, j: acc + inverse(j))
-    return df.withColumn("limit_price", div(total, (t - p).cast("double")))
+    return df.withColumn("limit_price", div(total, (t - p).cast("double")) + F.lit(0.0))
 
 
 # --------------------------------------------------------------------------- positions and P&L on bars
