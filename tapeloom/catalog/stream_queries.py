@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base_sql import with_views
+from tapeloom.catalog.base_sql import view, with_views
 from tapeloom.catalog.registry import query
-from tapeloom.catalog.tape_queries import US, US_SQL
+from tapeloom.catalog.tape_queries import US, US_SQL, cusum_views
 from tapeloom.sources import canonical as C
 from tapeloom.sources.storage import scratch
 from tapeloom.streaming import online as O
@@ -59,7 +59,21 @@ def st2(spark, d):
     return out.select("instrument", F.unix_micros("start").alias("start_us"), "open", "high", "low", "close", "volume", "n_trades")
 
 
-@query("st3_session_bars")
+view(
+    "sess",
+    """
+SELECT instrument, min(ts) AS start, max(ts) AS last, arg_min(price, pos) AS open, arg_max(price, pos) AS close, CAST(sum(qty) AS BIGINT) AS volume, count(*) AS n_trades
+FROM (SELECT *, sum(brk) OVER (PARTITION BY instrument ORDER BY pos) AS sid FROM (
+  SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY instrument ORDER BY pos) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM ticks)) GROUP BY instrument, sid
+""",
+    "ticks",
+)
+
+
+@query(
+    "st3_session_bars",
+    with_views(f"SELECT instrument, epoch_us(start) AS start_us, open, close, volume, n_trades FROM sess WHERE last + INTERVAL 30 MINUTE <= {_WM}", "sess"),
+)
 def st3(spark, d):
     return finished(spark, O.session_bars(landed(spark, d), gap="30 minutes")).select("instrument", F.unix_micros("start").alias("start_us"), "open", "close", "volume", "n_trades")
 
@@ -89,17 +103,40 @@ def st4r(spark, d):
     return _bars(finished(spark, O.run_bars(landed(spark, d))))
 
 
-@query("st5_imbalance_bars")
+@query("st5_imbalance_bars", _bars_sql("tibars"))
 def st5(spark, d):
     return _bars(finished(spark, O.imbalance_bars(landed(spark, d))))
 
 
-@query("st6_cusum_events")
+cusum_views("tcusum", "ticks", "price", "60::DOUBLE")
+
+
+@query(
+    "st6_cusum_events",
+    with_views(f"SELECT instrument, seq, {US_SQL}, price FROM tcusum WHERE ts < date_trunc('millisecond', {_WM})", "tcusum"),
+)
 def st6(spark, d):
     return finished(spark, O.cusum_events(landed(spark, d), h=60.0)).select("instrument", "seq", US, "price")
 
 
-@query("st7_barrier_monitor")
+view(
+    "monitor",
+    """
+SELECT e.instrument, e.ts AS t0, arg_min(t.ts, t.pos) AS t1, arg_min(t.price / e.price - 1, t.pos) AS ret,
+       arg_min(CASE WHEN t.price / e.price - 1 > 0.5 THEN 'pt' WHEN t.price / e.price - 1 < -0.5 THEN 'sl' ELSE 'time' END, t.pos) AS touched
+FROM ticks e JOIN ticks t ON t.instrument = e.instrument AND t.pos > e.pos
+WHERE e.qty > 90 AND (abs(t.price / e.price - 1) > 0.5 OR t.ts >= e.ts + INTERVAL 1 DAY) GROUP BY 1, 2
+""",
+    "ticks",
+)
+
+
+@query(
+    "st7_barrier_monitor",
+    with_views(
+        f"SELECT instrument, epoch_us(t0) AS t0_us, epoch_us(t1) AS t1_us, round(ret + 3e-10, 6) AS ret, touched FROM monitor WHERE t1 < date_trunc('millisecond', {_WM})", "monitor"
+    ),
+)
 def st7(spark, d):
     path = scratch(spark, "landed")
     t = C.ticks(spark, d).select("instrument", "seq", "ts", "price", "qty")

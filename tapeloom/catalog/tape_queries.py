@@ -344,17 +344,55 @@ def bar6(spark, d):
     )
 
 
-@query("bar7_tick_imbalance_bars")
+def _seeded(window: str) -> str:
+    """Recursive average of the list ``h`` seeded with its first value, alpha = 2 / (window + 1)."""
+    al = f"(2.0::DOUBLE / ({window} + 1))"
+    return (
+        f"list_sum(list_transform(h, lambda x, i: x * CASE WHEN i = 1 THEN pow(1 - {al}, len(h) - 1) ELSE {al} * pow(1 - {al}, len(h) - i) END))"
+    )
+
+
+def imbalance_views(prefix: str, flow: str, floor: str) -> None:
+    view(
+        f"{prefix}_fold",
+        f"""
+SELECT instrument, -1::BIGINT AS pos, 0::DOUBLE AS th, 0::DOUBLE AS k, 10::DOUBLE AS et, 0::DOUBLE AS eb, 0::BIGINT AS nxt, -1::BIGINT AS bar_id, false AS is_end,
+       []::DOUBLE[] AS h FROM (SELECT DISTINCT instrument FROM ticks)
+UNION ALL
+SELECT instrument, pos, CASE WHEN e THEN 0 ELSE th END, CASE WHEN e THEN 0 ELSE k END, et2,
+       CASE WHEN e THEN greatest({floor.format(_seeded("greatest(1, floor(3 * et2))"))}, 1e-6::DOUBLE) ELSE eb1 END, nxt + CASE WHEN e THEN 1 ELSE 0 END, nxt, e, h
+FROM (SELECT *, CASE WHEN e THEN (CASE WHEN nxt = 0 THEN k ELSE 0.5::DOUBLE * k + 0.5::DOUBLE * et END) ELSE et END AS et2
+      FROM (SELECT *, eb1 <> 0 AND abs(th) >= et * abs(eb1) AS e
+            FROM (SELECT *, CASE WHEN nxt = 0 AND len(h) >= 10 THEN greatest({floor.format(_seeded("10"))}, 1e-6::DOUBLE) ELSE eb END AS eb1
+                  FROM (SELECT t.instrument, t.pos, f.th + t.x AS th, f.k + 1 AS k, f.et, f.eb, f.nxt, list_append(f.h, t.x) AS h
+                        FROM {prefix}_fold f JOIN (SELECT instrument, pos, CAST({flow} AS DOUBLE) AS x FROM ticks) t
+                          ON t.instrument = f.instrument AND t.pos = f.pos + 1))))
+""",
+        "ticks",
+    )
+    view(f"{prefix}_tag", f"SELECT t.*, f.bar_id, f.is_end FROM ticks t JOIN {prefix}_fold f USING (instrument, pos)", f"{prefix}_fold")
+    view(prefix, bar_select(f"{prefix}_tag", "HAVING bool_or(is_end)"), f"{prefix}_tag")
+
+
+imbalance_views("tibars", "side", "{}")
+imbalance_views("vibars", "side * qty", "{}")
+imbalance_views("dibars", "side * dollar", "abs({})")
+
+
+@query(
+    "bar7_tick_imbalance_bars",
+    with_views(f"SELECT instrument, bar_id, {US_SQL}, open, high, low, close, n_trades, end_pos FROM tibars", "tibars"),
+)
 def bar7(spark, d):
     return B.tick_imbalance_bars(C.ticks(spark, d)).select(*BAR_COLS[:7], "n_trades", "end_pos")
 
 
-@query("bar8_volume_imbalance_bars")
+@query("bar8_volume_imbalance_bars", with_views(BAR_SQL + "vibars", "vibars"))
 def bar8(spark, d):
     return B.volume_imbalance_bars(C.ticks(spark, d)).select(*BAR_COLS)
 
 
-@query("bar8_dollar_imbalance_bars")
+@query("bar8_dollar_imbalance_bars", with_views(BAR_SQL + "dibars", "dibars"))
 def bar8d(spark, d):
     return B.volume_imbalance_bars(C.ticks(spark, d), measure="dollar", floor="abs").select(*BAR_COLS)
 
