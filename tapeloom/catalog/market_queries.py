@@ -415,6 +415,41 @@ def prt11(spark, d):
     return P.best_trajectory(params, v, k=3).select("universe", "traj", "sr", F.flatten("w").alias("w"))
 
 
+view("grid3", "SELECT a * x / 3.0::DOUBLE AS w1, b * y / 3.0::DOUBLE AS w2, (3 - a - b) * z / 3.0::DOUBLE AS w3 FROM range(4) r1(a), range(4) r2(b), (SELECT unnest([-1, 1]) AS x), (SELECT unnest([-1, 1]) AS y), (SELECT unnest([-1, 1]) AS z) WHERE a + b <= 3")
+view(
+    "hmom",
+    "SELECT h, "
+    + ", ".join(f"avg(a{i}) AS m{i}, 0.02::DOUBLE * stddev_samp(a{i}) AS c{i}" for i in (1, 2, 3))
+    + ", " + ", ".join(f"covar_samp(a{i}, a{j}) AS v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    + " FROM htail GROUP BY h",
+    "htail",
+)
+
+
+def _leg(w: str, prev: str | None, m: str) -> tuple[str, str]:
+    gain = " + ".join(f"{w}.w{i} * {m}.m{i}" for i in (1, 2, 3))
+    cost = " + ".join(f"{m}.c{i} * sqrt(abs({w}.w{i}{f' - {prev}.w{i}' if prev else ''}))" for i in (1, 2, 3))
+    risk = " + ".join(f"{1 if i == j else 2} * {w}.w{i} * {w}.w{j} * {m}.v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    return f"({gain} - ({cost}))", f"({risk})"
+
+
+_G0, _R0 = _leg("p", None, "m0")
+_G1, _R1 = _leg("q", "p", "m1")
+
+
+@query(
+    "prt11_best_sharpe",
+    with_views(
+        f"SELECT 'all' AS universe, round(max(({_G0} + {_G1}) / sqrt({_R0} + {_R1})), 6) AS sr, count(*) AS n_paths FROM grid3 p, grid3 q, (SELECT * FROM hmom WHERE h = 0) m0, (SELECT * FROM hmom WHERE h = 1) m1",
+        "grid3", "hmom",
+    ),
+)
+def prt11s(spark, d):
+    params, v = horizons(spark, d, ASSETS[:3])
+    n = F.lit(P.count_trajectories(3, 3, H)).cast("long").alias("n_paths")
+    return P.best_trajectory(params, v, k=3).select("universe", r("sr"), n)
+
+
 @query("prt12_static_weights")
 def prt12(spark, d):
     params, v = horizons(spark, d, ASSETS)
@@ -640,20 +675,57 @@ def ent4(spark, d):
     return out.select("instrument", "window", (F.round("h_plugin", 6) + F.lit(0.0)).alias("h_plugin"))
 
 
-@query("ent5_lempel_ziv")
+view(
+    "lz",
+    """
+SELECT instrument, "window", msg, 0::BIGINT AS st, 0::BIGINT AS en, []::VARCHAR[] AS seen FROM bmsg
+UNION ALL
+SELECT instrument, "window", msg, CASE WHEN list_contains(seen, w) THEN st ELSE en + 1 END, en + 1, CASE WHEN list_contains(seen, w) THEN seen ELSE list_append(seen, w) END
+FROM (SELECT *, substr(msg, st + 1, en + 1 - st) AS w FROM lz WHERE en < length(msg))
+""",
+    "bmsg",
+)
+
+
+def rate_view(name: str, window: int | None) -> None:
+    n = "i" if window is None else "n"
+    pts = "generate_series(1, length(msg) // 2)" if window is None else f"generate_series(least({window}, length(msg) // 2), length(msg) - least({window}, length(msg) // 2))"
+    view(
+        name,
+        f"""
+SELECT instrument, "window", any_value(msg) AS msg, avg(log2({n} + 1) / (best + 1)) AS h FROM (
+  SELECT instrument, "window", msg, i, n, coalesce(max(CASE WHEN substr(msg, j + 1, l) = substr(msg, i + 1, l) THEN l END), 0) AS best FROM (
+    SELECT *, unnest(generate_series(i - {n}, i - 1)) AS j FROM (
+      SELECT *, unnest(generate_series(1, {n})) AS l FROM (
+        SELECT *, unnest({pts}) AS i, least({window or 0}, length(msg) // 2) AS n FROM qmsg WHERE length(msg) > 1)))
+  GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2
+""",
+        "qmsg",
+    )
+
+
+rate_view("rate", None)
+rate_view("ratew", 10)
+_RATE = 'SELECT q.instrument, q."window", q.msg, round(h, 6) AS h_konto, round(1 - h / log2(length(q.msg)), 6) AS redundancy FROM qmsg q LEFT JOIN {} r USING (instrument, "window")'
+
+
+@query(
+    "ent5_lempel_ziv",
+    with_views("SELECT instrument, \"window\", CAST(len(seen) AS INTEGER) AS n_words, array_to_string(seen, '|') AS words FROM lz WHERE en = length(msg)", "lz"),
+)
 def ent5(spark, d):
     msgs = E.messages(E.binary_code(rets(spark, d), "x"), window=WIN)
     return E.with_lempel_ziv(msgs).select("instrument", "window", F.size("words").alias("n_words"), F.array_join("words", "|").alias("words"))
 
 
-@query("ent6_entropy_rate")
+@query("ent6_entropy_rate", with_views(_RATE.format("rate"), "rate"))
 def ent6(spark, d):
-    return E.with_entropy_rate(E.messages(E.quantile_code(rets(spark, d), "x", letters=4), window=WIN))
+    return E.with_entropy_rate(E.messages(E.quantile_code(rets(spark, d), "x", letters=4), window=WIN)).withColumns({c: F.round(c, 6) for c in ("h_konto", "redundancy")})
 
 
-@query("ent6_entropy_rate_window")
+@query("ent6_entropy_rate_window", with_views(_RATE.format("ratew"), "ratew"))
 def ent6w(spark, d):
-    return E.with_entropy_rate(E.messages(E.quantile_code(rets(spark, d), "x", letters=4), window=WIN), window=10)
+    return E.with_entropy_rate(E.messages(E.quantile_code(rets(spark, d), "x", letters=4), window=WIN), window=10).withColumns({c: F.round(c, 6) for c in ("h_konto", "redundancy")})
 
 
 @query(
