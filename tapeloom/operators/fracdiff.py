@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,40 @@ def weights(d: float, size: int) -> np.ndarray:
     return np.concatenate([[1.0], np.cumprod(-(d - k + 1) / k)])
 
 
+def weight_chunks(d: float, size: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The same weights in consecutive pieces, so long series never need them all at once."""
+    last = 1.0
+    for lo in range(0, size, chunk):
+        k = np.arange(max(lo, 1), min(lo + chunk, size))
+        w = last * np.cumprod(-(d - k + 1) / k)
+        if lo == 0:
+            w = np.concatenate([[1.0], w])
+        last = float(w[-1])
+        yield w
+
+
+def weight_segment(d: float, lo: int, hi: int) -> np.ndarray:
+    """Weights of lags ``lo .. hi - 1``."""
+    out, at = [], 0
+    for w in weight_chunks(d, hi):
+        if at + len(w) > lo:
+            out.append(w[max(lo - at, 0) :])
+        at += len(w)
+    return np.concatenate(out)
+
+
+def skipped_rows(d: float, n: int, thres: float) -> int:
+    """Leading rows whose missing weight mass (share of lags not yet reached) exceeds ``thres``."""
+    total = sum(float(np.abs(w).sum()) for w in weight_chunks(d, n))
+    count, before = 0, 0.0
+    for w in weight_chunks(d, n):
+        mass = np.abs(w)
+        upto = before + np.cumsum(mass)
+        count += int(((total - upto + mass) / total > thres).sum())
+        before = float(upto[-1])
+    return count
+
+
 def weights_until(d: float, thres: float, limit: int = 1_000_000) -> np.ndarray:
     """Weights before the first whose magnitude falls below ``thres``."""
     size = 64
@@ -131,23 +165,17 @@ def frac_diff(df: DataFrame, *, x: str, d: float, thres: float = 0.01, size: int
 
     @F.pandas_udf("long")
     def skipped(counts: pd.Series) -> pd.Series:
-        def one(m: int) -> int:
-            cum = np.cumsum(np.abs(weights(d, int(m)))[::-1])
-            return int((cum / cum[-1] > thres).sum())
-
-        return counts.map({m: one(m) for m in counts.unique()})
+        return counts.map({m: skipped_rows(d, int(m), thres) for m in counts.unique()})
 
     @F.pandas_udf("array<double>")
     def contribution(values: pd.Series, ahead: pd.Series) -> pd.Series:
-        reach = int(ahead.max()) + 1 if len(ahead) else 1
-        w = weights(d, (reach + 1) * size)
+        segments = {int(a): weight_segment(d, max(int(a) * size - size + 1, 0), (int(a) + 1) * size) for a in ahead.unique()}
         out = []
         for v, a in zip(values, ahead):
-            v = np.asarray(v, dtype=float)
+            v, seg = np.asarray(v, dtype=float), segments[int(a)]
             if a == 0:
-                out.append(np.convolve(v, w[: len(v)])[: len(v)])
+                out.append(np.convolve(v, seg[: len(v)])[: len(v)])
             else:
-                seg = w[a * size - size + 1 : a * size + size]
                 padded = np.zeros(size)
                 padded[: len(v)] = v
                 out.append(np.convolve(padded, seg)[size - 1 : 2 * size - 1])

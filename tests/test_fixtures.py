@@ -267,3 +267,13 @@ def test_chow_matches_regression(spark):
     b = sxy / sxx
     s2 = sum((dd - b * xx) ** 2 for dd, xx in zip(d, x)) / (len(d) - 1)
     assert t.k == k and t.dfc == approx(b / math.sqrt(s2 / sxx))
+
+
+def test_weight_pieces():
+    import numpy as np
+
+    w = fracdiff.weights(0.3, 50)
+    assert np.allclose(np.concatenate(list(fracdiff.weight_chunks(0.3, 50, chunk=7))), w)
+    assert np.allclose(fracdiff.weight_segment(0.3, 13, 29), w[13:29])
+    cum = np.cumsum(np.abs(w)[::-1])
+    assert fracdiff.skipped_rows(0.3, 50, 0.2) == int((cum / cum[-1] > 0.2).sum())
