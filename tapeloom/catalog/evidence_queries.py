@@ -185,7 +185,7 @@ def labelled(spark, d) -> E.Labelled:
 )
 def pip1(spark, d):
     raw = K.dedupe_trades(C.raw_tape(spark, d), order=("ts", "part", "qty", "quote_qty"))
-    return K.preprocess_trades(raw).select("instrument", "trade_id", "pos", US, "side", r("dollar", 2), F.round(F.col("delta") + 3e-10, 6).alias("delta"))
+    return K.preprocess_trades(raw).select("instrument", "trade_id", "pos", US(), "side", r("dollar", 2), F.round(F.col("delta") + 3e-10, 6).alias("delta"))
 
 
 @query(
@@ -198,7 +198,7 @@ def pip1(spark, d):
 def pip2(spark, d):
     x = labelled(spark, d)
     return x.events.join(x.w, ["instrument", "t0"]).join(x.tw, ["instrument", "t0"]).select(
-        "instrument", T0, T1, r("trgt"), r("ret"), "bin", r("w"), r("tw")
+        "instrument", T0(), T1(), r("trgt"), r("ret"), "bin", r("w"), r("tw")
     )
 
 
@@ -222,7 +222,7 @@ _SCALE = {"amihud_lambda_20bar": 1e6}
 )
 def pip3(spark, d):
     _, e = enriched(spark, d)
-    return e.select("instrument", T0, "bin", *[F.round(F.col(c) * F.lit(_SCALE.get(c, 1.0)) + 3e-10, 5).alias(c) for c in _COLS])
+    return e.select("instrument", T0(), "bin", *[F.round(F.col(c) * F.lit(_SCALE.get(c, 1.0)) + 3e-10, 5).alias(c) for c in _COLS])
 
 
 @query(
@@ -248,13 +248,13 @@ def pip4(spark, d):
     x = labelled(spark, d)
     logs = x.bars.select("instrument", "pos", F.log("close").alias("lp"))
     feats = ffd_grid(logs, x="lp", ds=[0.5], thres=0.01).join(x.bars.select("instrument", "pos", "ts"), ["instrument", "pos"])
-    return E.events_without_features(x.events, feats).select("instrument", T0)
+    return E.events_without_features(x.events, feats).select("instrument", T0())
 
 
 @query("pip5_aligned_uniqueness", with_views(f"SELECT instrument, {T0_SQL}, round(tw, 6) AS tw FROM p_weights", "p_weights"))
 def pip5(spark, d):
     x = labelled(spark, d)
-    return E.aligned(x.events, x.tw, "tw").select("instrument", T0, r("tw"))
+    return E.aligned(x.events, x.tw, "tw").select("instrument", T0(), r("tw"))
 
 
 @query(
@@ -269,7 +269,7 @@ def src6(spark, d):
     path = scratch(spark, "training")
     A.stage_training_table(e, x.w, _COLS, path)
     return spark.read.parquet(path).select(
-        "instrument", T0, T1, "bin", r("w"), *[F.round(F.col(c) + 3e-10, 5).alias(c) for c in ("roll_c", "fracdiff")]
+        "instrument", T0(), T1(), "bin", r("w"), *[F.round(F.col(c) + 3e-10, 5).alias(c) for c in ("roll_c", "fracdiff")]
     )
 
 
@@ -310,7 +310,7 @@ def cv7(spark, d):
 
 @query("cv8_out_of_sample_probabilities")
 def cv8(spark, d):
-    return I.out_of_sample(members(spark, d), FEATS, I.logistic(), splits=range(3)).select("instrument", T0, "split", "prob", "prob1", "pred", "bin")
+    return I.out_of_sample(members(spark, d), FEATS, I.logistic(), splits=range(3)).select("instrument", T0(), "split", "prob", "prob1", "pred", "bin")
 
 
 def path_predictions(spark, d):
@@ -320,7 +320,7 @@ def path_predictions(spark, d):
 
 @query("cv9_cpcv_paths")
 def cv9(spark, d):
-    return path_predictions(spark, d).select("instrument", T0, "path", "split", "grp", "prob", "pred")
+    return path_predictions(spark, d).select("instrument", T0(), "path", "split", "grp", "prob", "pred")
 
 
 view(
@@ -386,7 +386,7 @@ def imp3(spark, d):
 @query("imp4_orthogonal_features")
 def imp4(spark, d):
     t = I.orthogonal_features(training(spark, d), FEATS)
-    return t.select("instrument", T0, *[c for c in t.columns if c.startswith("PC_")])
+    return t.select("instrument", T0(), *[c for c in t.columns if c.startswith("PC_")])
 
 
 view(

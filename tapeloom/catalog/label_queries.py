@@ -23,8 +23,15 @@ def r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
 
-T0 = F.unix_micros("t0").alias("t0_us")
-T1 = F.unix_micros("t1").alias("t1_us")
+
+def T0():
+    return F.unix_micros("t0").alias("t0_us")
+
+
+def T1():
+    return F.unix_micros("t1").alias("t1_us")
+
+
 T0_SQL, T1_SQL = "epoch_us(t0) AS t0_us", "epoch_us(t1) AS t1_us"
 
 
@@ -146,7 +153,7 @@ FROM ev e JOIN (SELECT *, lead(close, 3) OVER (PARTITION BY instrument ORDER BY
 @query("lab1_fixed_horizon", with_views(f"SELECT instrument, {T0_SQL}, round(ret, 6) AS ret, bin FROM fixh", "fixh"))
 def lab1(spark, d):
     b = bars(spark, d)
-    return L.fixed_horizon(b, sampled(b), horizon=3, tau=0.5).select("instrument", T0, r("ret"), "bin")
+    return L.fixed_horizon(b, sampled(b), horizon=3, tau=0.5).select("instrument", T0(), r("ret"), "bin")
 
 
 @query("lab2_daily_volatility", with_views("SELECT instrument, pos, round(ret, 6) AS ret, round(vol, 6) AS vol FROM vol", "vol"))
@@ -157,7 +164,7 @@ def lab2(spark, d):
 @query("lab3_vertical_barrier", with_views(f"SELECT instrument, {T0_SQL}, {T1_SQL} FROM vb", "vb"))
 def lab3(spark, d):
     b = bars(spark, d)
-    return L.vertical_barrier(b, sampled(b), days=DAYS).select("instrument", T0, T1)
+    return L.vertical_barrier(b, sampled(b), days=DAYS).select("instrument", T0(), T1())
 
 
 @query(
@@ -171,13 +178,13 @@ def lab4(spark, d):
     ev = L.asof(ev, vol, {"trgt": "vol"}, left_on=L.us("t0"), right_on=L.us("ts"), forward=True).where(F.col("trgt") > MIN_RET)
     ev = ev.join(L.vertical_barrier(b, ev, days=DAYS), ["instrument", "t0"], "left").withColumn("side", F.lit(1))
     return L.first_touch(b, ev, pt=PT_SL[0], sl=PT_SL[1]).select(
-        "instrument", T0, F.unix_micros("sl_ts").alias("sl_us"), F.unix_micros("pt_ts").alias("pt_us")
+        "instrument", T0(), F.unix_micros("sl_ts").alias("sl_us"), F.unix_micros("pt_ts").alias("pt_us")
     )
 
 
 @query("lab5_triple_barrier", with_views(f"SELECT instrument, {T0_SQL}, {T1_SQL}, round(trgt, 6) AS trgt FROM tev", "tev"))
 def lab5(spark, d):
-    return tb_events(bars(spark, d)).select("instrument", T0, T1, r("trgt"))
+    return tb_events(bars(spark, d)).select("instrument", T0(), T1(), r("trgt"))
 
 
 @query(
@@ -186,7 +193,7 @@ def lab5(spark, d):
 )
 def lab6(spark, d):
     b = bars(spark, d)
-    return L.label_returns(b, tb_events(b)).select("instrument", T0, T1, r("ret"), "bin")
+    return L.label_returns(b, tb_events(b)).select("instrument", T0(), T1(), r("ret"), "bin")
 
 
 def sided(b):
@@ -196,7 +203,7 @@ def sided(b):
 
 @query("lab7_meta_events", with_views(f"SELECT instrument, {T0_SQL}, {T1_SQL}, round(trgt, 6) AS trgt, side FROM mev", "mev"))
 def lab7(spark, d):
-    return sided(bars(spark, d)).select("instrument", T0, T1, r("trgt"), "side")
+    return sided(bars(spark, d)).select("instrument", T0(), T1(), r("trgt"), "side")
 
 
 @query(
@@ -205,7 +212,7 @@ def lab7(spark, d):
 )
 def lab8(spark, d):
     b = bars(spark, d)
-    return L.meta_labels(b, sided(b)).select("instrument", T0, r("ret"), "bin")
+    return L.meta_labels(b, sided(b)).select("instrument", T0(), r("ret"), "bin")
 
 
 @query(
@@ -223,13 +230,13 @@ SELECT instrument, {T0_SQL}, bin FROM fixh f WHERE NOT (
 def lab9(spark, d):
     b = bars(spark, d)
     labels = L.fixed_horizon(b, sampled(b), horizon=3, tau=0.5)
-    return L.drop_rare_labels(labels, min_pct=0.22).select("instrument", T0, "bin")
+    return L.drop_rare_labels(labels, min_pct=0.22).select("instrument", T0(), "bin")
 
 
 @query("lab10_moving_average_side", with_views(f"SELECT instrument, {T0_SQL}, side FROM msides", "msides"))
 def lab10(spark, d):
     b = bars(spark, d)
-    return L.moving_average_side(b, sampled(b), window=20).select("instrument", T0, "side")
+    return L.moving_average_side(b, sampled(b), window=20).select("instrument", T0(), "side")
 
 
 @query(
@@ -255,7 +262,7 @@ def lab11(spark, d):
 def lab12(spark, d):
     b = bars(spark, d)
     ev = tb_events(b)
-    return L.events_with_labels(ev, L.label_returns(b, ev)).select("instrument", T0, T1, r("trgt"), r("ret"), "bin")
+    return L.events_with_labels(ev, L.label_returns(b, ev)).select("instrument", T0(), T1(), r("trgt"), r("ret"), "bin")
 
 
 @query(
@@ -315,7 +322,7 @@ def wgt1(spark, d):
 @query("wgt2_average_uniqueness", with_views(f"SELECT instrument, {T0_SQL}, round(tw, 6) AS tw FROM uniq", "uniq"))
 def wgt2(spark, d):
     b = bars(spark, d)
-    return W.average_uniqueness(b, tb_events(b)).select("instrument", T0, r("tw"))
+    return W.average_uniqueness(b, tb_events(b)).select("instrument", T0(), r("tw"))
 
 
 @query(
@@ -327,7 +334,7 @@ def wgt2(spark, d):
 )
 def wgt3(spark, d):
     b = bars(spark, d)
-    return W.return_attribution(b, tb_events(b)).select("instrument", T0, r("w"))
+    return W.return_attribution(b, tb_events(b)).select("instrument", T0(), r("w"))
 
 
 def _decay_sql(last: str, slope: str) -> str:
@@ -341,13 +348,13 @@ def _decay_sql(last: str, slope: str) -> str:
 @query("wgt4_time_decay", _decay_sql("0.5", "(0.5 / s)"))
 def wgt4(spark, d):
     b = bars(spark, d)
-    return W.time_decay(W.average_uniqueness(b, tb_events(b)), last=0.5).select("instrument", T0, r("decay"))
+    return W.time_decay(W.average_uniqueness(b, tb_events(b)), last=0.5).select("instrument", T0(), r("decay"))
 
 
 @query("wgt4_time_decay_cut", _decay_sql("-0.5", "(1 / (0.5 * s))"))
 def wgt4c(spark, d):
     b = bars(spark, d)
-    return W.time_decay(W.average_uniqueness(b, tb_events(b)), last=-0.5).select("instrument", T0, r("decay"))
+    return W.time_decay(W.average_uniqueness(b, tb_events(b)), last=-0.5).select("instrument", T0(), r("decay"))
 
 
 @query(
@@ -356,7 +363,7 @@ def wgt4c(spark, d):
 )
 def wgt5(spark, d):
     b = bars(spark, d)
-    return W.indicator(b, tb_events(b)).select("instrument", T0, "pos")
+    return W.indicator(b, tb_events(b)).select("instrument", T0(), "pos")
 
 
 view("copies", "SELECT *, epoch_us(t0) % 3 AS copies FROM spans", "spans")
@@ -381,7 +388,7 @@ def drawn(b):
 )
 def wgt6(spark, d):
     b = bars(spark, d)
-    return W.indicator_uniqueness(b, drawn(b)).select("instrument", T0, r("avg_u"))
+    return W.indicator_uniqueness(b, drawn(b)).select("instrument", T0(), r("avg_u"))
 
 
 @query(
@@ -395,13 +402,13 @@ def wgt6(spark, d):
 )
 def wgt7(spark, d):
     b = bars(spark, d)
-    return W.draw_probabilities(b, drawn(b)).select("instrument", T0, r("avg_u"), r("prob", 8))
+    return W.draw_probabilities(b, drawn(b)).select("instrument", T0(), r("avg_u"), r("prob", 8))
 
 
 @query("wgt8_sequential_bootstrap")
 def wgt8(spark, d):
     b = bars(spark, d)
-    return W.sequential_bootstrap(b, tb_events(b), max_events=50, trials=2).select("instrument", "window", "trial", "draw", T0)
+    return W.sequential_bootstrap(b, tb_events(b), max_events=50, trials=2).select("instrument", "window", "trial", "draw", T0())
 
 
 @query("wgt9_bootstrap_comparison")

@@ -28,7 +28,11 @@ def bars(spark, d):
     return reuse(C.tick_bar_table(spark, d))
 
 
-DAY = F.date_format("date", "yyyy-MM-dd").alias("day")
+
+def DAY():
+    return F.date_format("date", "yyyy-MM-dd").alias("day")
+
+
 DAY_SQL = "strftime(date, '%Y-%m-%d') AS day"
 
 # --------------------------------------------------------------------------- contract files
@@ -56,7 +60,7 @@ def src2(spark, d):
     contract = F.regexp_extract(F.col("_metadata.file_path"), "contract=([^/]+)/", 1)
     product = F.regexp_extract(F.col("_metadata.file_path"), "instrument=([^/]+)/", 1)
     return read_contracts(spark, path, instrument_from=product, contract_from=contract).select(
-        "instrument", "contract", DAY, "open", "high", "low", "close", "volume", "open_int"
+        "instrument", "contract", DAY(), "open", "high", "low", "close", "volume", "open_int"
     )
 
 
@@ -96,7 +100,7 @@ def front(spark, d):
 
 @query("rol1_front_by_volume", with_views(f"SELECT instrument, {DAY_SQL}, contract, open, close FROM front", "front"))
 def rol1(spark, d):
-    return front(spark, d).select("instrument", DAY, "contract", "open", "close")
+    return front(spark, d).select("instrument", DAY(), "contract", "open", "close")
 
 
 view(
@@ -125,7 +129,7 @@ def oi_front(spark, d):
 
 @query("rol2_front_by_open_interest", with_views(f"SELECT instrument, {DAY_SQL}, contract, open, close, open_int FROM oifront", "oifront"))
 def rol2(spark, d):
-    return oi_front(spark, d).select("instrument", DAY, "contract", "open", "close", "open_int")
+    return oi_front(spark, d).select("instrument", DAY(), "contract", "open", "close", "open_int")
 
 
 def roll_sql(name: str, source: str) -> None:
@@ -150,18 +154,18 @@ roll_sql("oirolled", "oifront")
 
 @query("rol3_roll_gaps", with_views(f"SELECT instrument, {DAY_SQL}, round(gap, 4) + 0::DOUBLE AS gap FROM rolled", "rolled"))
 def rol3(spark, d):
-    return R.roll_gaps(front(spark, d)).select("instrument", DAY, (F.round("gap", 4) + F.lit(0.0)).alias("gap"))
+    return R.roll_gaps(front(spark, d)).select("instrument", DAY(), (F.round("gap", 4) + F.lit(0.0)).alias("gap"))
 
 
 @query("rol4_rolled_prices", with_views(f"SELECT instrument, {DAY_SQL}, round(ro, 4) AS rolled_open, round(rc, 4) AS rolled_close FROM rolled", "rolled"))
 def rol4(spark, d):
-    return R.rolled_prices(front(spark, d)).select("instrument", DAY, r("rolled_open", 4), r("rolled_close", 4))
+    return R.rolled_prices(front(spark, d)).select("instrument", DAY(), r("rolled_open", 4), r("rolled_close", 4))
 
 
 def _index(df):
     live = F.when(F.col("r_price") != 0, F.log(F.abs(F.when(F.col("r_price") != 0, F.col("r_price")))))
     return df.select(
-        "instrument", DAY, F.signum("r_price").alias("sgn"), F.round(live, 5).alias("log_index"), r("ret")
+        "instrument", DAY(), F.signum("r_price").alias("sgn"), F.round(live, 5).alias("log_index"), r("ret")
     )
 
 
@@ -189,7 +193,7 @@ def rol6(spark, d):
     ),
 )
 def rol7(spark, d):
-    return R.aligned_returns(R.non_negative_index(front(spark, d)), PRODUCTS).select(DAY, *[r(p) for p in PRODUCTS])
+    return R.aligned_returns(R.non_negative_index(front(spark, d)), PRODUCTS).select(DAY(), *[r(p) for p in PRODUCTS])
 
 
 view(

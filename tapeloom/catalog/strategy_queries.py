@@ -22,7 +22,11 @@ def r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
 
-T = F.unix_micros("t").alias("t_us")
+
+def T():
+    return F.unix_micros("t").alias("t_us")
+
+
 
 # --------------------------------------------------------------------------- signals
 view(
@@ -67,7 +71,7 @@ def signals(spark, d):
 
 @query("bet1_probability_signal", with_views(f"SELECT instrument, {T0_SQL}, round(signal, 6) AS signal FROM sig0", "sig0"))
 def bet1(spark, d):
-    return B.probability_signal(predictions(spark, d), n_classes=2).select("instrument", T0, r("signal"))
+    return B.probability_signal(predictions(spark, d), n_classes=2).select("instrument", T0(), r("signal"))
 
 
 @query(
@@ -76,12 +80,12 @@ def bet1(spark, d):
 )
 def bet2(spark, d):
     s = B.probability_signal(predictions(spark, d), n_classes=2)
-    return B.average_active(s).select("instrument", T, "active", r("signal"))
+    return B.average_active(s).select("instrument", T(), "active", r("signal"))
 
 
 @query("bet3_discretised", with_views("SELECT instrument, epoch_us(t) AS t_us, round(signal, 6) AS signal FROM sig", "sig"))
 def bet3(spark, d):
-    return signals(spark, d).select("instrument", T, r("signal"))
+    return signals(spark, d).select("instrument", T(), r("signal"))
 
 
 def forecasts(spark, d):
@@ -640,7 +644,7 @@ def closed_events(spark, d):
 @query("otr1_deviation_pairs", with_views(f"SELECT instrument, {T0_SQL}, j, round(x, 6) AS x, round(y, 6) AS y FROM oupair", "oupair"))
 def otr1(spark, d):
     b, ev = closed_events(spark, d)
-    return R.deviation_pairs(b, ev).select("instrument", T0, "j", r("x"), r("y"))
+    return R.deviation_pairs(b, ev).select("instrument", T0(), "j", r("x"), r("y"))
 
 
 @query(

@@ -43,7 +43,7 @@ def st1(spark, d):
     tape.write.parquet(path)
     tape.where(F.col("qty") > 50).write.mode("append").parquet(path)
     stream = O.trade_stream(spark, path, spark.read.parquet(path).schema)
-    return finished(spark, stream).select("instrument", "seq", US, "price", "qty")
+    return finished(spark, stream).select("instrument", "seq", US(), "price", "qty")
 
 
 @query(
@@ -79,7 +79,7 @@ def st3(spark, d):
 
 
 def _bars(df):
-    return df.select("instrument", "bar_id", US, "open", "high", "low", "close", r("vwap"), "n_trades")
+    return df.select("instrument", "bar_id", US(), "open", "high", "low", "close", r("vwap"), "n_trades")
 
 
 def _bars_sql(name: str):
@@ -116,7 +116,7 @@ cusum_views("tcusum", "ticks", "price", "60::DOUBLE")
     with_views(f"SELECT instrument, seq, {US_SQL}, price FROM tcusum WHERE ts < date_trunc('millisecond', {_WM})", "tcusum"),
 )
 def st6(spark, d):
-    return finished(spark, O.cusum_events(landed(spark, d), h=60.0)).select("instrument", "seq", US, "price")
+    return finished(spark, O.cusum_events(landed(spark, d), h=60.0)).select("instrument", "seq", US(), "price")
 
 
 view(

@@ -13,7 +13,11 @@ from tapeloom.sources import canonical as C
 from tapeloom.sources import trades as S
 from tapeloom.sources.storage import scratch
 
-US = F.unix_micros("ts").alias("ts_us")
+
+def US():
+    return F.unix_micros("ts").alias("ts_us")
+
+
 US_SQL = "epoch_us(ts) AS ts_us"
 
 
@@ -45,7 +49,7 @@ def src1(spark, d):
         "seq", "price", "qty", "dollar", F.unix_micros("ts"), F.col("side") == -1, F.lit(True)
     ).write.csv(path)
     return S.read_trade_csv(spark, path).select(
-        "instrument", "trade_id", "price", "qty", "quote_qty", "is_buyer_maker", "is_best_match", US
+        "instrument", "trade_id", "price", "qty", "quote_qty", "is_buyer_maker", "is_best_match", US()
     )
 
 
@@ -81,14 +85,14 @@ def src5(spark, d):
         F.col("instrument").alias("symbol"),
     ).write.json(path)
     pages = spark.read.schema(S.PULL_SCHEMA).json(path)
-    return S.normalise_pull(pages, cutoff_ms=852076800000).select("instrument", "trade_id", "price", "qty", US)
+    return S.normalise_pull(pages, cutoff_ms=852076800000).select("instrument", "trade_id", "price", "qty", US())
 
 
 @query("src8_frozen_tape", with_views(f"SELECT instrument, seq, price, qty, {US_SQL} FROM ticks", "ticks"))
 def src8(spark, d):
     path = scratch(spark, "snapshot")
     S.write_tape(C.ticks(spark, d), path)
-    return spark.read.parquet(path).select("instrument", "seq", "price", "qty", US)
+    return spark.read.parquet(path).select("instrument", "seq", "price", "qty", US())
 
 
 # --------------------------------------------------------------------------- tape cleaning and tick features
@@ -98,14 +102,14 @@ def src8(spark, d):
 )
 def tk1(spark, d):
     return K.dedupe_trades(C.raw_tape(spark, d), order=("ts", "part", "qty", "quote_qty")).select(
-        "instrument", "trade_id", "part", "qty", US
+        "instrument", "trade_id", "part", "qty", US()
     )
 
 
 @query("tk2_disambiguate", with_views(f"SELECT instrument, trade_id, {US_SQL} FROM raw_clean", "raw_clean"))
 def tk2(spark, d):
     raw = K.dedupe_trades(C.raw_tape(spark, d), order=("ts", "part", "qty", "quote_qty"))
-    return K.disambiguate_timestamps(raw).select("instrument", "trade_id", US)
+    return K.disambiguate_timestamps(raw).select("instrument", "trade_id", US())
 
 
 @query(
@@ -249,7 +253,7 @@ def tk12(spark, d):
     ),
 )
 def bar1d(spark, d):
-    return B.time_bars(C.ticks(spark, d), freq="D").select("instrument", US, "price", "volume")
+    return B.time_bars(C.ticks(spark, d), freq="D").select("instrument", US(), "price", "volume")
 
 
 @query(
@@ -260,7 +264,7 @@ def bar1d(spark, d):
     ),
 )
 def bar1w(spark, d):
-    return B.time_bars(C.ticks(spark, d), freq="W").select("instrument", US, "price", "volume")
+    return B.time_bars(C.ticks(spark, d), freq="W").select("instrument", US(), "price", "volume")
 
 
 @query(
@@ -273,17 +277,20 @@ def bar1w(spark, d):
 )
 def bar1o(spark, d):
     return B.time_bars(C.ticks(spark, d), freq="H", style="ohlcv").select(
-        "instrument", US, "open", "high", "low", "close", "volume", rv("vwap")
+        "instrument", US(), "open", "high", "low", "close", "volume", rv("vwap")
     )
 
 
-BAR_COLS = ["instrument", "bar_id", US, "open", "high", "low", "close", rv("vwap"), "n_trades", "end_pos"]
+def BAR_COLS():
+    return ["instrument", "bar_id", US(), "open", "high", "low", "close", rv("vwap"), "n_trades", "end_pos"]
+
+
 BAR_SQL = f"SELECT instrument, bar_id, {US_SQL}, open, high, low, close, round(vwap + 3e-10, 6) AS vwap, n_trades, end_pos FROM "
 
 
 @query("bar2_tick_bars", with_views(BAR_SQL + "tbars", "tbars"))
 def bar2(spark, d):
-    return C.tick_bar_table(spark, d).select(*BAR_COLS)
+    return C.tick_bar_table(spark, d).select(*BAR_COLS())
 
 
 def threshold_views(prefix: str, measure: str, limit: str) -> None:
@@ -313,12 +320,12 @@ threshold_views("abars", "cents", "(SELECT CAST(sum(t2.cents) AS DOUBLE) / 40 FR
 
 @query("bar3_volume_bars", with_views(BAR_SQL + "vbars", "vbars"))
 def bar3(spark, d):
-    return B.volume_bars(C.ticks(spark, d), threshold=200).select(*BAR_COLS)
+    return B.volume_bars(C.ticks(spark, d), threshold=200).select(*BAR_COLS())
 
 
 @query("bar4_dollar_bars", with_views(BAR_SQL + "dbars", "dbars"))
 def bar4(spark, d):
-    return B.dollar_bars(C.ticks(spark, d), threshold=1_500_000, measure="cents").select(*BAR_COLS)
+    return B.dollar_bars(C.ticks(spark, d), threshold=1_500_000, measure="cents").select(*BAR_COLS())
 
 
 @query(
@@ -384,17 +391,17 @@ imbalance_views("dibars", "side * dollar", "abs({})")
     with_views(f"SELECT instrument, bar_id, {US_SQL}, open, high, low, close, n_trades, end_pos FROM tibars", "tibars"),
 )
 def bar7(spark, d):
-    return B.tick_imbalance_bars(C.ticks(spark, d)).select(*BAR_COLS[:7], "n_trades", "end_pos")
+    return B.tick_imbalance_bars(C.ticks(spark, d)).select(*BAR_COLS()[:7], "n_trades", "end_pos")
 
 
 @query("bar8_volume_imbalance_bars", with_views(BAR_SQL + "vibars", "vibars"))
 def bar8(spark, d):
-    return B.volume_imbalance_bars(C.ticks(spark, d)).select(*BAR_COLS)
+    return B.volume_imbalance_bars(C.ticks(spark, d)).select(*BAR_COLS())
 
 
 @query("bar8_dollar_imbalance_bars", with_views(BAR_SQL + "dibars", "dibars"))
 def bar8d(spark, d):
-    return B.volume_imbalance_bars(C.ticks(spark, d), measure="dollar", floor="abs").select(*BAR_COLS)
+    return B.volume_imbalance_bars(C.ticks(spark, d), measure="dollar", floor="abs").select(*BAR_COLS())
 
 
 def run_views(prefix: str, size: str, goal0: str, goal: str) -> None:
@@ -431,12 +438,12 @@ run_views("vrbars", "qty::DOUBLE", "greatest(10 * 0.5::DOUBLE * 0.01::DOUBLE, 1e
 
 @query("bar9_tick_run_bars", with_views(BAR_SQL + "trbars", "trbars"))
 def bar9(spark, d):
-    return B.tick_run_bars(C.ticks(spark, d)).select(*BAR_COLS)
+    return B.tick_run_bars(C.ticks(spark, d)).select(*BAR_COLS())
 
 
 @query("bar10_volume_run_bars", with_views(BAR_SQL + "vrbars", "vrbars"))
 def bar10(spark, d):
-    return B.volume_run_bars(C.ticks(spark, d)).select(*BAR_COLS)
+    return B.volume_run_bars(C.ticks(spark, d)).select(*BAR_COLS())
 
 
 @query(
@@ -451,7 +458,7 @@ def bar11(spark, d):
 def bar11b(spark, d):
     tape = C.ticks(spark, d)
     limits = B.adaptive_threshold(tape, target_bars=40, measure="cents")
-    return B.dollar_bars(tape.join(limits, "instrument"), threshold="threshold", measure="cents").select(*BAR_COLS)
+    return B.dollar_bars(tape.join(limits, "instrument"), threshold="threshold", measure="cents").select(*BAR_COLS())
 
 
 def cusum_views(prefix: str, source: str, value: str, h: str) -> None:
@@ -476,7 +483,7 @@ cusum_views("cusum60", "tbars", "close", "60::DOUBLE")
 
 @query("bar12_cusum_events", with_views(f"SELECT instrument, pos, {US_SQL}, close FROM cusum60", "cusum60"))
 def bar12(spark, d):
-    return B.cusum_filter(C.tick_bar_table(spark, d), h=60.0).select("instrument", "pos", US, "close")
+    return B.cusum_filter(C.tick_bar_table(spark, d), h=60.0).select("instrument", "pos", US(), "close")
 
 
 GRID = [30.0, 60.0, 120.0]

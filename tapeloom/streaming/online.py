@@ -83,8 +83,14 @@ def _ordered(stream: DataFrame, step: Step, init: list[float], out: T.StructType
     )
 
 
-BAR_SCHEMA = T.StructType.fromDDL(
-    "instrument string, bar_id long, ts timestamp, open double, high double, low double, close double, vwap double, n_trades long"
+BAR_SCHEMA = T.StructType(
+    [
+        T.StructField("instrument", T.StringType()),
+        T.StructField("bar_id", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "vwap")],
+        T.StructField("n_trades", T.LongType()),
+    ]
 )
 
 

@@ -277,3 +277,13 @@ def test_weight_pieces():
     assert np.allclose(fracdiff.weight_segment(0.3, 13, 29), w[13:29])
     cum = np.cumsum(np.abs(w)[::-1])
     assert fracdiff.skipped_rows(0.3, 50, 0.2) == int((cum / cum[-1] > 0.2).sum())
+
+
+def test_catalog_loads_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 150"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=60)
