@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.sources.storage import scratch
+
 #: White space that separates words: blank and \x09 to \x0D, which is what ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch hold at most about this many bytes of text once they are cut up by ``small_batches``.
@@ -19,17 +20,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared folder that ``spark.checkpoint.dir`` names; without one there is no safe place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, label)
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

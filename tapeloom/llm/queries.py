@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat_format, language_id, line_crf, packing, quality_score, records, top_k
+from tapeloom.llm import chat_format, chunk_bpe, language_id, line_crf, packing, quality_score, records, shingle_join, top_k
 from tapeloom.llm.common import bounded_batches, bucket_of, read
 
 QUERIES, ORACLES = {}, {}
@@ -100,3 +100,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = line_crf.learn(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
     return line_crf.with_rules(docs, model).select("doc_id", *line_crf.FIELDS, "base_failed", "kept", "content_share")
+
+
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+OP2_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT l.a, c.r FROM c JOIN l ON l.b = c.doc_id WHERE c.r < l.a)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(r) FROM c WHERE c.doc_id = s.doc_id) AS component_id FROM s"""
+
+
+@query("op2_jaccard_join", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_chunk_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encoded_documents(read(spark, sf_dir, "documents"), BYTE_BPE)

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.bpe import encoder
-from tapeloom.llm.common import shared_folder, small_batches, stored
+from tapeloom.llm.common import small_batches, stored
+from tapeloom.sources.storage import scratch
 
 MAGIC = b"TAPEREC1"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n_ids", "<u8")])
@@ -160,5 +161,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write ``docs`` (doc_id, text) as record files in the shared folder and read them back."""
-    folder = shared_folder(docs.sparkSession, "records")
+    folder = scratch(docs.sparkSession, "records")
     return read_records(write_records(docs, folder, tokenizer, end_id), folder)
