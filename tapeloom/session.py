@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeloom.sources.storage import shared_base
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the local bench; a cluster job brings its own."""
@@ -28,11 +28,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where neither the context nor the setting names a folder (tests) is a private one made.
+    A local session without that setting (tests) gets a private folder; a cluster session without it fails.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)

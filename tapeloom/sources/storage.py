@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a session with master ``local`` (driver and executor are one process) gets a private folder that goes
+    with the process; on a cluster this raises, as a machine-local folder would hide files from other machines.
+    """
+    base = spark.conf.get(SETTING, None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{SETTING} must name a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.conf.set(SETTING, f"file://{base}")
+    return f"file://{base}"
+
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint folder; a private one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared folder."""
+    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
