@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat_format, chunk_bpe, language_id, line_crf, packing, quality_score, records, shingle_join, top_k
+from tapeloom.llm import chat_format, chunk_bpe, language_id, line_crf, packing, quality_score, records, shingle_join, suffix_dedup, top_k
 from tapeloom.llm.common import bounded_batches, bucket_of, read
 
 QUERIES, ORACLES = {}, {}
@@ -125,3 +125,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_chunk_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encoded_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs, keep_text=False)
