@@ -176,7 +176,7 @@ def merge(runs: list[Iterable[tuple[int, bytes]]]) -> Iterator[tuple[int, bytes,
 
 def _blob(a: np.ndarray) -> bytes:
     """Bytes of equal weight together, which packs better in a shuffle."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
 def _unblob(b: bytes, kind: str) -> np.ndarray:

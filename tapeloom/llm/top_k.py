@@ -26,13 +26,11 @@ LISTS = "q_block long, c_group long, query_id long, vec_id long, score long"
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): whole numbers floor(256 * x), as doubles, of the vectors that take part."""
+    """(vec_id, v): doubles of the vectors that take part; 256 times a component must be finite too."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    fine = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))
+    fine = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * 256 < F.lit(float("inf")))), F.lit(False))
     rows = vectors.where("vec_id is not null").where(fine).select("vec_id", x.alias("x"))
-    one = rows.groupBy("vec_id").agg(F.min("x").alias("x"))
-    big = F.transform("x", lambda c: F.floor(c * 256).cast("double"))
-    return one.select("vec_id", big.alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("x").alias("v"))
 
 
 def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
@@ -44,7 +42,7 @@ def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
             part = part.sort_values("vec_id")
             for i in range(0, len(part), 4 * BLOCK):
                 p = part.iloc[i : i + 4 * BLOCK]
-                data = np.array(p["v"].tolist(), np.float64).reshape(len(p), dim)
+                data = np.floor(256 * np.array(p["v"].tolist(), np.float64).reshape(len(p), dim))
                 out.append((p["blk"].iloc[0], p["vec_id"].to_numpy(np.int64).tobytes(), dim, float(np.abs(data).max(initial=0)), data.tobytes()))
         return pd.DataFrame(out, columns=["blk", "ids", "dim", "most", "data"])
 
@@ -52,9 +50,15 @@ def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
     return keyed.groupBy("blk").applyInPandas(packed, "blk long, ids binary, dim long, most double, data binary")
 
 
+def _wrapped(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of whole numbers of any size, modulo 2**64."""
+    whole = [np.frompyfunc(int, 1, 1)(x) for x in (q, c.T)]
+    return (whole[0].dot(whole[1]) & 0xFFFFFFFFFFFFFFFF).astype(np.uint64).view(np.int64)
+
+
 def tile_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, exact: bool) -> list[tuple[np.ndarray, ...]]:
     """For each query of the tile: ids and scores of its best k candidates; candidates are in order of id."""
-    s = (q @ c.T).astype(np.int64) if exact else np.array([[int(v) & 0xFFFFFFFFFFFFFFFF for v in r] for r in q.astype(object) @ c.astype(object).T], object).astype(np.uint64).view(np.int64)
+    s = (q @ c.T).astype(np.int64) if exact else _wrapped(q, c)
     own = q_ids[:, None] == c_ids[None, :]
     out = []
     room = s.shape[1] - own.sum(1)
@@ -62,7 +66,7 @@ def tile_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
     cut = np.partition(low, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(q), np.iinfo(np.int64).min)
     for i in range(len(q)):
         at = np.flatnonzero((low[i] >= cut[i]) & ~own[i])
-        at = at[np.argsort(-s[i][at].astype(np.float64) if exact else [-int(v) for v in s[i][at]], kind="stable")][: min(k, room[i])]
+        at = at[np.argsort(~s[i][at], kind="stable")][: min(k, room[i])]
         out.append((c_ids[at], s[i][at]))
     return out
 
