@@ -26,7 +26,7 @@ def test_entry_has_the_queries():
 
 def test_stages(spark):
     """Rules and language keep what their operators accept, one document of each group stays, and the rest is packed whole."""
-    from tests.llm.test_llm_operators import brute_links, brute_repeats
+    from test_llm_operators import brute_links, brute_repeats
 
     bounded_batches(spark)
     docs = read(spark, SF, "documents")
