@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.operators.flow_history import FlowHistory
 from tapeloom.plans.series import KEYS, block_offsets, fold, lagged, reuse
 
 FLOOR = 1e-6
@@ -101,13 +102,31 @@ def _threshold_ends(x: np.ndarray, limit: float, carry: float) -> tuple[np.ndarr
             ends[i] = True
             base, last = int(cum[i]), i
         return ends, float((cum[-1] if len(x) else 0) - base)
-    acc = carry
-    for i, v in enumerate(x.tolist()):
-        acc += v
-        if acc >= limit:
-            ends[i] = True
-            acc = 0.0
-    return ends, acc
+    at, acc = 0, np.array([carry])
+    while at < len(x):
+        i, acc = _first_hit(x[:, None], at, acc, lambda c: c[:, 0] >= limit)
+        if i is None:
+            break
+        ends[i] = True
+        at, acc = i + 1, np.zeros(1)
+    return ends, float(acc[0])
+
+
+def _first_hit(x: np.ndarray, at: int, carry: np.ndarray, test, free: int = 0) -> tuple[int | None, np.ndarray]:
+    """First row from ``at`` on whose running column sums pass ``test``, and the sums there (at the end: None and all sums).
+
+    The first ``free`` rows may not be it. Stretches double, so the cost is that of the rows passed over.
+    """
+    width, begin = 64, at
+    while at < len(x):
+        sums = np.cumsum(np.vstack((carry, x[at : at + width])), axis=0)[1:]
+        ok = test(sums)
+        ok[: max(0, begin + free - at)] = False
+        hit = int(ok.argmax())
+        if ok[hit]:
+            return at + hit, sums[hit]
+        at, carry, width = at + len(sums), sums[-1], 2 * width
+    return None, carry
 
 
 def _numbered(tape: DataFrame, fn, init) -> DataFrame:
@@ -188,46 +207,48 @@ def _smooth(prev: float | None, x: float, window: float) -> float:
     return x if prev is None else a * x + (1.0 - a) * prev
 
 
-def _tail_average(hist: np.ndarray, total: int, window: float) -> float:
-    """Seeded recursive average of a history of which only the tail is held.
+def imbalance_marker(flow: str, init: int, prev: int, floor: str):
+    """Bars whose signed flow outgrows (expected length) x (expected flow per tick); the state holds a sketch of all past flow."""
+    a = 2.0 / (init + 1.0)
+    lags = np.subtract.outer(np.arange(256), np.arange(256))
+    kernel = np.where(lags >= 0, a * (1.0 - a) ** np.maximum(lags, 0), 0.0)
+
+    def first_bar(x: np.ndarray, theta: float, past: FlowHistory, span: float) -> tuple[int | None, float]:
+        """Before any bar is complete the expectation is a new one at every tick."""
+        seen, now = past.seen, past.average(init) if past.seen else None
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            n = np.arange(len(part))
+            now = float(part[0]) if now is None else now
+            mean = kernel[: len(part), : len(part)] @ part + (1.0 - a) ** (n + 1) * now
+            flow_sum = theta + np.cumsum(part)
+            goal = span * np.maximum(np.abs(mean) if floor == "abs" else mean, FLOOR)
+            ok = (np.abs(flow_sum) >= goal) & (seen + at + n + 1 >= init)
+            if ok.any():
+                return at + int(ok.argmax()), 0.0
+            theta, now = float(flow_sum[-1]), float(mean[-1])
+        return None, theta
 
-    Terms of relative weight below 1e-16 lie outside the tail and cannot move a double.
-    """
-    a = 2.0 / (window + 1.0)
-    if a >= 1.0:
-        return float(hist[-1])
-    reach = min(len(hist), int(math.log(1e-16) / math.log(1.0 - a)) + 1)
-    x = hist[len(hist) - reach :]
-    decay = (1.0 - a) ** np.arange(reach - 1, -1, -1)
-    weights = a * decay
-    if reach == total:
-        weights[0] = decay[0]
-    return float(np.dot(weights, x))
-
-
-def imbalance_marker(flow: str, init: int, prev: int, floor: str, tail: int):
     def mark(pdf: pd.DataFrame, state):
-        theta, ticks, exp_t, exp_b, bars, mean_len, total = state[:7]
-        held = np.asarray(state[7:], dtype=float)
-        x = pdf[flow].to_numpy(dtype=float)
-        hist = np.concatenate([held, x])
-        seen, start = int(total), len(held)
-        ends = np.zeros(len(x), dtype=bool)
-        for i, v in enumerate(x.tolist()):
-            seen += 1
-            theta += v
-            ticks += 1
-            if not bars and seen >= init:
-                exp_b = _floored(_tail_average(hist[: start + i + 1], seen, init), floor)
-            if exp_b != 0 and abs(theta) >= exp_t * abs(exp_b):
-                ends[i] = True
-                mean_len = _smooth(mean_len if bars else None, ticks, prev)
-                bars = 1.0
-                theta, ticks, exp_t = 0.0, 0.0, mean_len
-                span = max(1, int(prev * exp_t))
-                exp_b = _floored(_tail_average(hist[: start + i + 1], seen, span), floor)
-        keep = hist[max(0, len(hist) - tail) :]
-        return ends, [theta, ticks, exp_t, exp_b, bars, mean_len, float(seen), *keep.tolist()]
+        theta, ticks, span, goal, bars, length = state[:6]
+        past, x = FlowHistory.of(state[6:]), pdf[flow].to_numpy(dtype=float)
+        ends, at = np.zeros(len(x), dtype=bool), 0
+        while at < len(x):
+            if bars:
+                i, sums = _first_hit(x[:, None], at, np.array([theta]), lambda c, g=goal: np.abs(c[:, 0]) >= g)
+                theta = float(sums[0])
+            else:
+                i, theta = first_bar(x[at:], theta, past, span)
+            if i is None:
+                past.append(x[at:])
+                ticks += len(x) - at
+                break
+            past.append(x[at : i + 1])
+            ends[i] = True
+            length = _smooth(length if bars else None, ticks + i + 1 - at, prev)
+            goal = length * abs(_floored(past.average(max(1, int(prev * length))), floor))
+            theta, ticks, span, bars, at = 0.0, 0.0, length, 1.0, i + 1
+        return ends, [theta, ticks, span, goal, bars, length, *past.state()]
 
     return mark
 
@@ -236,34 +257,26 @@ def _floored(v: float, floor: str) -> float:
     return max(abs(v) if floor == "abs" else v, FLOOR)
 
 
-def _imbalance_bars(tape: DataFrame, flow: Column, init: int, prev: int, floor: str, tail: int) -> DataFrame:
+def _imbalance_bars(tape: DataFrame, flow: Column, init: int, prev: int, floor: str) -> DataFrame:
     flowed = tape.withColumn("_flow", flow.cast("double"))
-    state = [0.0, 0.0, float(init), 0.0, 0.0, 0.0, 0.0]
-    return _complete(_numbered(flowed, imbalance_marker("_flow", init, prev, floor, tail), state).drop("_flow"))
+    state = [0.0, 0.0, float(init), 0.0, 0.0, 0.0]
+    return _complete(_numbered(flowed, imbalance_marker("_flow", init, prev, floor), state).drop("_flow"))
 
 
-def tick_imbalance_bars(
-    tape: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, floor: str = "signed", tail: int = 20_000
-) -> DataFrame:
+def tick_imbalance_bars(tape: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, floor: str = "signed") -> DataFrame:
     """Close when the signed tick count outgrows its expectation.
 
     ``floor='signed'`` floors a negative expected imbalance at 1e-6, so sell-dominated stretches
     close nearly every tick; ``'abs'`` uses its magnitude instead.
     """
-    return _imbalance_bars(tape, F.col("side"), init_ticks, prev_bars, floor, tail)
+    return _imbalance_bars(tape, F.col("side"), init_ticks, prev_bars, floor)
 
 
 def volume_imbalance_bars(
-    tape: DataFrame,
-    *,
-    init_ticks: int = 10,
-    prev_bars: int = 3,
-    floor: str = "signed",
-    tail: int = 20_000,
-    measure: str = "qty",
+    tape: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, floor: str = "signed", measure: str = "qty"
 ) -> DataFrame:
     """As tick imbalance with signed volume (``measure='dollar'``: dollar imbalance)."""
-    return _imbalance_bars(tape, F.col("side") * F.col(measure), init_ticks, prev_bars, floor, tail)
+    return _imbalance_bars(tape, F.col("side") * F.col(measure), init_ticks, prev_bars, floor)
 
 
 def run_marker(init: int, prev: int, measure: str | None):
@@ -273,30 +286,27 @@ def run_marker(init: int, prev: int, measure: str | None):
         return max(t * max(p * vb, (1 - p) * vs), FLOOR)
 
     def mark(pdf: pd.DataFrame, state):
-        buys, sells, ticks, goal, bars, exp_t, p, vb, vs = state
-        side = pdf["side"].tolist()
-        size = [1.0] * len(side) if measure is None else pdf[measure].astype(float).tolist()
-        ends = np.zeros(len(side), dtype=bool)
-        for i, (b, v) in enumerate(zip(side, size)):
-            if b == 1:
-                buys += v
-            elif b == -1:
-                sells += v
-            ticks += 1
-            if not bars and ticks >= init:
-                goal = expected(init, 0.5, 0.01, 0.01)
-            if goal != 0 and max(buys, sells) >= goal:
-                ends[i] = True
-                had = bars > 0
-                b_mean, s_mean = buys / ticks, sells / ticks
-                share = b_mean if measure is None else (b_mean / (b_mean + s_mean) if b_mean + s_mean > 0 else 0.5)
-                exp_t = _smooth(exp_t if had else None, ticks, prev)
-                p = _smooth(p if had else None, share, prev)
-                vb = _smooth(vb if had else None, b_mean, prev)
-                vs = _smooth(vs if had else None, s_mean, prev)
-                goal, bars = expected(exp_t, p, vb, vs), 1.0
-                buys = sells = ticks = 0.0
-        return ends, [buys, sells, ticks, goal, bars, exp_t, p, vb, vs]
+        sums, (ticks, goal, bars, *means) = np.array(state[:2]), state[2:]
+        side = pdf["side"].to_numpy()
+        size = np.ones(len(side)) if measure is None else pdf[measure].to_numpy(dtype=float)
+        x = np.column_stack((np.where(side == 1, size, 0.0), np.where(side == -1, size, 0.0)))
+        ends, at = np.zeros(len(side), dtype=bool), 0
+        if not bars:
+            goal = expected(init, 0.5, 0.01, 0.01)
+        while at < len(x):
+            free = 0 if bars else max(0, int(init - ticks) - 1)  # the first bar has ``init`` ticks at least
+            i, sums = _first_hit(x, at, sums, lambda c, g=goal: c.max(axis=1) >= g, free)
+            if i is None:
+                ticks += len(x) - at
+                break
+            ends[i] = True
+            ticks += i + 1 - at
+            per_tick = sums / ticks
+            whole = per_tick.sum()
+            share = per_tick[0] if measure is None else per_tick[0] / whole if whole > 0 else 0.5
+            means = [_smooth(m if bars else None, float(v), prev) for m, v in zip(means, (ticks, share, *per_tick))]
+            goal, bars, ticks, sums, at = expected(*means), 1.0, 0.0, np.zeros(2), i + 1
+        return ends, [*sums.tolist(), ticks, goal, bars, *means]
 
     return mark
 

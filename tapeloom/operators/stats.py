@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.gaussian import with_norm_cdf, with_norm_ppf
-from tapeloom.plans.series import KEYS, div, fold, lagged, position, running
+from tapeloom.plans.series import KEYS, affine_scan, div, lagged, position, running
 
 EULER = 0.5772156649015329
 YEAR_DAYS = 365.2425
@@ -184,30 +184,16 @@ def holding_period(positions: DataFrame) -> DataFrame:
     days = positions.join(start, list(KEYS)).select(
         *KEYS, "pos", "position", ((F.unix_micros("ts") - F.unix_micros("_s")) / F.lit(DAY_US)).alias("t")
     )
-    schema = T.StructType([days.schema["instrument"], T.StructField("dt", T.DoubleType()), T.StructField("w", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame, state):
-        entry, prev, seen = state
-        out = []
-        for p, t in zip(pdf["position"].astype(float).tolist(), pdf["t"].tolist()):
-            if seen:
-                move = p - prev
-                if move * prev >= 0:
-                    if p != 0:
-                        entry = (entry * prev + t * move) / p
-                elif p * prev < 0:
-                    out.append((t - entry, abs(prev)))
-                    entry = t
-                else:
-                    out.append((t - entry, abs(move)))
-            prev, seen = p, 1.0
-        res = pd.DataFrame(out, columns=["dt", "w"], dtype=float)
-        return res.assign(instrument=pdf["instrument"].iloc[0]), [entry, prev, seen]
-
-    closed = fold(days, run, [0.0] * 3, schema)
-    return closed.groupBy(*KEYS).agg(
-        F.when(F.sum("w") > 0, F.sum(F.col("dt") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("holding_days")
-    )
+    p, q, t = F.col("position").cast("double"), F.col("_q"), F.col("t")
+    flip, grow = p * q < 0, (p * q >= 0) & (F.abs(p) > F.abs(q))
+    # The mean entry time is affine in itself: growth mixes in the new part, a flip starts anew, a reduction keeps it.
+    keep = F.when(flip, 0.0).when(grow, div(q, p)).otherwise(1.0)
+    add = F.when(flip, t).when(grow, t * div(p - q, p)).otherwise(0.0)
+    moved = lagged(days, {"_q": F.col("position").cast("double")})
+    first = F.col("_q").isNull()
+    held = affine_scan(moved, F.when(first, 1.0).otherwise(keep), F.when(first, 0.0).otherwise(add), "_entry")
+    closed = F.when(flip, F.abs(q)).when(F.abs(p) < F.abs(q), F.abs(p - q)).otherwise(0.0)
+    return held.groupBy(*KEYS).agg(div(F.sum(closed * (t - F.col("_entry"))), F.sum(closed)).alias("holding_days"))
 
 
 # --------------------------------------------------------------------------- concentration and drawdown

@@ -1,16 +1,10 @@
 """Ordered-series primitives that never need one task per instrument.
 
 A series is the set of rows sharing ``keys`` (normally ``instrument``), totally ordered by a dense
-0-based ``pos``.  Every primitive has two plans with identical results:
-
-* plain  - one window per key; taken only when the size of the input, read from the plan's leaf
-  statistics, is below ``tapeloom.series.small_bytes``;
-* split  - rows are cut into blocks of ``tapeloom.series.block_rows`` consecutive positions, work is
-  done per ``(keys, block)`` and only one summary row per block crosses blocks.  One instrument
-  holding a third of a 100 TB tape is thereby spread over as many tasks as it has blocks.
-
-``tapeloom.series.split`` (``auto`` | ``always`` | ``never``) overrides the choice; tests use
-``always`` with tiny blocks to prove both plans agree.
+0-based ``pos``.  There is one plan for all sizes: rows are cut into blocks of
+``tapeloom.series.block_rows`` consecutive positions, work is done per ``(keys, block)`` and only one
+summary row per block crosses blocks.  A short series is one block; one holding a third of a 100 TB
+tape is spread over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -18,18 +12,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.session import durable
 from tapeloom.sources.storage import scratch
 
 KEYS = ("instrument",)
-SMALL_BYTES = 64 << 20
 BLOCK_ROWS = 1 << 18
-PARTITION_BYTES = 128 << 20
 
 
 def div(a: Column, b: Column) -> Column:
@@ -56,39 +48,15 @@ def block_rows(df: DataFrame) -> int:
     return int(_conf(df.sparkSession, "block_rows", BLOCK_ROWS))
 
 
-def leaf_bytes(df: DataFrame) -> int:
-    """Size estimate of the largest table under the plan (file sizes for table scans).
-
-    The analysed plan is read, so the check costs no optimisation pass.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
-
-
-def is_split(df: DataFrame) -> bool:
-    """Whether to use the block plan.  Only speed depends on this, never the result."""
-    mode = _conf(df.sparkSession, "split", "auto")
-    if mode != "auto":
-        return mode == "always"
-    return leaf_bytes(df) > int(_conf(df.sparkSession, "small_bytes", SMALL_BYTES))
-
-
 # --------------------------------------------------------------------------- positions
 def position(df: DataFrame, order: Sequence[str], *, keys: Sequence[str] = KEYS, name: str = "pos") -> DataFrame:
     """Dense 0-based position in ``order`` within ``keys`` (``order`` must be total).
 
-    Split plan: sample-based range partitioning gives even partitions whatever the skew of the keys,
-    the partition number is frozen by a checkpoint, and per-partition counts supply the offsets.
+    Sample-based range partitioning gives even partitions whatever the skew of the keys, writing the
+    table freezes the partition numbers, and per-partition counts supply the offsets.
     """
     keys, order = list(keys), list(order)
-    if not is_split(df):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, min(100_000, leaf_bytes(df) // PARTITION_BYTES))
-    ranged = durable(
-        df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
-    )
+    ranged = reuse(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     cell = keys + ["_part"]
     offsets = (
         ranged.groupBy(*cell)
@@ -141,9 +109,6 @@ def running(
     """Prefix aggregates (``sum``/``count``/``max``/``min``/``last`` non-null) in ``pos`` order."""
     keys = list(keys)
     frame = (Window.unboundedPreceding, -1 if exclusive else 0)
-    if not is_split(df):
-        w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(*frame)
-        return df.withColumns({n: _fill(k, _over(k, e, w)) for n, (k, e) in specs.items()})
     cell = keys + ["_blk"]
     base = df.withColumn("_blk", _block(pos, block_rows(df))).withColumns(
         {f"_x_{n}": e for n, (_, e) in specs.items()}
@@ -234,12 +199,10 @@ def framed(
 ) -> DataFrame:
     """Window expressions whose frames reach at most ``before`` rows back and ``after`` ahead.
 
-    ``build(w)`` gets a partitioned, ordered window and returns ``{name: Column}``.  In the split
-    plan each block borrows the neighbouring rows it needs (a halo) and drops them afterwards.
+    ``build(w)`` gets a partitioned, ordered window and returns ``{name: Column}``.  Each block borrows
+    the neighbouring rows it needs (a halo) and drops them afterwards.
     """
     keys = list(keys)
-    if not is_split(df):
-        return df.withColumns(build(Window.partitionBy(*keys).orderBy(pos)))
     size = max(block_rows(df), before, after)
     blk, offset = _block(pos, size), F.col(pos) % size
     homes = [F.struct(blk.alias("b"), F.lit(False).alias("h"))]
@@ -297,11 +260,7 @@ def asof(
             F.lit(None).cast(ltype).alias("_l"), payload.alias("_r"),
         )
     )
-    if is_split(both):
-        found = running(position(both, ["_t", "_s"], keys=keys, name="_p"), {"_m": ("last", F.col("_r"))}, keys=keys, pos="_p")
-    else:
-        w = Window.partitionBy(*keys).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0)
-        found = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w))
+    found = running(position(both, ["_t", "_s"], keys=keys, name="_p"), {"_m": ("last", F.col("_r"))}, keys=keys, pos="_p")
     return found.where(F.col("_l").isNotNull()).select(
         *keys, *[F.col("_l")[c].alias(c) for c in lcols], *[F.col("_m")[n].alias(n) for n in cols]
     )
@@ -358,7 +317,7 @@ def fold(
     after them; states are finite numbers.  ``schema`` describes the output (which must keep ``keys``); a ``_blk`` column is
     added so callers can number outputs across blocks with :func:`block_offsets`.
 
-    Split plan: all blocks are first folded in parallel from ``init``; each block's entry state is
+    All blocks are first folded in parallel from ``init``; each block's entry state is
     then replaced by its predecessor's exit state and only blocks whose entry changed are folded
     again, until nothing changes.  That fixpoint is the sequential result.  Reset folds forget their
     past at the first common reset, so a few rounds suffice; the number of rounds can never exceed
@@ -371,15 +330,15 @@ def fold(
     def tidy(res: pd.DataFrame, b: int) -> pd.DataFrame:
         return res.assign(_blk=b)[names]
 
-    if not is_split(df):
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return tidy(fn(pdf.sort_values(pos, ignore_index=True), list(init))[0], 0)
-
-        return df.groupBy(*keys).applyInPandas(whole, out)
-
     cell = keys + ["_blk"]
     base = reuse(df.withColumn("_blk", _block(pos, block_rows(df))))
+    last = base.agg(F.max("_blk")).first()[0] or 0
+
+    def first_block(rows: pd.DataFrame) -> pd.DataFrame:
+        return tidy(fn(rows.drop(columns="_blk").sort_values(pos, ignore_index=True), list(init))[0], 0)
+
+    if last == 0:  # every series is one block, whose entry state is known
+        return base.groupBy(*cell).applyInPandas(first_block, out)
     stype = T.StructType(
         [base.schema[k] for k in cell]
         + [T.StructField("_in", T.ArrayType(T.DoubleType())), T.StructField("_out", T.ArrayType(T.DoubleType()))]
@@ -397,7 +356,7 @@ def fold(
     todo = reuse(base.select(*cell).distinct().withColumn("_in", first))
     known: DataFrame | None = None
     by_block = Window.partitionBy(*keys).orderBy("_blk")
-    rounds = (base.agg(F.max("_blk")).first()[0] or 0) + 2
+    rounds = last + 2
     for n in range(rounds + 1):
         if n == rounds:
             raise RuntimeError("fold state does not settle: states must be finite numbers")
@@ -423,11 +382,54 @@ def fold(
     return base.groupBy(*cell).cogroup(known.select(*cell, "_in").groupBy(*cell)).applyInPandas(emit, out)
 
 
+def _compose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix compositions of x -> a x + b, by doubling steps."""
+    a, b, s = a.copy(), b.copy(), 1
+    while s < len(a):
+        b[s:] = a[s:] * b[:-s] + b[s:]
+        a[s:] = a[s:] * a[:-s]
+        s *= 2
+    return a, b
+
+
+def affine_scan(
+    df: DataFrame, a: Column, b: Column, name: str, *, init: float = 0.0, keys: Sequence[str] = KEYS, pos: str = "pos"
+) -> DataFrame:
+    """``name`` = the state before each row of the recurrence ``state' = a * state + b``, started at ``init``.
+
+    Each block is one affine map; the maps of a series (one row per block) are composed, then the blocks
+    run from their entry states, all in parallel: two passes whatever the number of blocks.
+    """
+    keys = list(keys)
+    cell = keys + ["_blk"]
+    base = reuse(df.withColumns({"_blk": _block(pos, block_rows(df)), "_a": a.cast("double"), "_b": b.cast("double")}))
+    maps = T.StructType([base.schema[k] for k in cell] + [T.StructField(c, T.DoubleType()) for c in ("_a", "_b")])
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(pos)
+        x, y = _compose(rows["_a"].to_numpy(), rows["_b"].to_numpy())
+        return rows.iloc[-1:][cell].assign(_a=x[-1], _b=y[-1])
+
+    def enter(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_blk")
+        x, y = _compose(rows["_a"].to_numpy(), rows["_b"].to_numpy())
+        return rows.assign(_a=0.0, _b=np.concatenate(([init], (x * init + y)[:-1])))
+
+    entries = base.select(*cell, pos, "_a", "_b").groupBy(*cell).applyInPandas(whole, maps).groupBy(*keys).applyInPandas(enter, maps)
+    out = T.StructType([*(f for f in base.schema.fields if f.name not in ("_blk", "_a", "_b")), T.StructField(name, T.DoubleType())])
+    names = out.fieldNames()
+
+    def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        rows, x0 = rows.sort_values(pos), float(entry["_b"].iloc[0])
+        x, y = _compose(rows["_a"].to_numpy(), rows["_b"].to_numpy())
+        return rows.assign(**{name: np.concatenate(([x0], (x * x0 + y)[:-1]))})[names]
+
+    return base.groupBy(*cell).cogroup(entries.groupBy(*cell)).applyInPandas(run, out)
+
+
 def block_offsets(df: DataFrame, count: Column, name: str, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add to each row ``name`` = sum of ``count`` over all earlier fold blocks of its series."""
     keys = list(keys)
-    if not is_split(df):
-        return df.withColumn(name, F.lit(0).cast("long")).drop("_blk")
     w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = (
         df.groupBy(*keys, "_blk")

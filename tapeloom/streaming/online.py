@@ -131,12 +131,12 @@ def run_bars(stream: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, mea
 
 
 def imbalance_bars(
-    stream: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, measure: str | None = None, floor: str = "signed", tail: int = 20_000
+    stream: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, measure: str | None = None, floor: str = "signed"
 ) -> DataFrame:
     flow = F.col("side") if measure is None else F.col("side") * F.col(measure)
     flowed = stream.withColumn("_flow", flow.cast("double"))
-    marker = B.imbalance_marker("_flow", init_ticks, prev_bars, floor, tail)
-    return _ordered(flowed, _bar_step(marker), [0.0, 0.0, float(init_ticks), 0.0, 0.0, 0.0, 0.0], BAR_SCHEMA, ["ts", "seq"])
+    marker = B.imbalance_marker("_flow", init_ticks, prev_bars, floor)
+    return _ordered(flowed, _bar_step(marker), [0.0, 0.0, float(init_ticks), 0.0, 0.0, 0.0], BAR_SCHEMA, ["ts", "seq"])
 
 
 def cusum_events(stream: DataFrame, *, h: float, value: str = "price") -> DataFrame:

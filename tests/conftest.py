@@ -16,18 +16,15 @@ T0 = dt.datetime(2020, 1, 1)
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", 4)
-    s.conf.set("tapeloom.series.split", "never")
     yield s
     s.stop()
 
 
 @pytest.fixture
 def split(spark):
-    """Force the block plan with three-row blocks."""
-    spark.conf.set("tapeloom.series.split", "always")
+    """Three-row blocks."""
     spark.conf.set("tapeloom.series.block_rows", "3")
     yield
-    spark.conf.set("tapeloom.series.split", "never")
     spark.conf.unset("tapeloom.series.block_rows")
 
 
