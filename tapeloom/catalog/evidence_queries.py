@@ -380,7 +380,7 @@ def imp2(spark, d):
 
 @query("imp3_sfi")
 def imp3(spark, d):
-    return I.sfi(members(spark, d), FEATS[:3], I.logistic(), splits=range(3))
+    return I.sfi(members(spark, d), FEATS, I.logistic(), splits=range(3))
 
 
 @query("imp4_orthogonal_features")
@@ -433,7 +433,8 @@ def imp6(spark, d):
 def imp7(spark, d):
     t = training(spark, d)
     m = reuse(V.purged_kfold(t, n_splits=3, pct_embargo=0.01))
-    return I.importance("MDI", t, m, FEATS, MODEL, splits=range(3))
+    parts = [I.importance(method, t, m, FEATS, MODEL, splits=range(3)) for method in ("MDI", "MDA", "SFI")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("tun1_search")
@@ -449,13 +450,13 @@ def sta4(spark, d):
     m = members(spark, d)
     bars = x.bars.select("instrument", "pos", "ts", "close")
     parts = None
-    for reg in (0.01, 1.0):
+    for reg in (0.001, 0.01, 0.1, 1.0):
         oos = reuse(
             I.out_of_sample(m, FEATS, I.logistic(reg=reg), splits=range(3)).select(
                 "instrument", "t0", "t1", "prob", F.when(F.col("pred") == 1, 1).otherwise(-1).alias("pred")
             )
         )
-        for step in (0.05, 0.25):
+        for step in (0.05, 0.1, 0.15, 0.2, 0.25):
             pnl = B.strategy_pnl(B.positions_on_bars(bars, B.bet_signal(oos, n_classes=2, step=step)))
             part = pnl.select("instrument", F.lit(f"reg={reg},step={step}").alias("trial"), "pos", "position", "pnl")
             parts = part if parts is None else parts.unionByName(part)

@@ -425,7 +425,7 @@ def mic10(spark, d):
     )
 
 
-FREQS = [float(f) for f in np.round(np.linspace(0.1, 4.0, 40), 6)]
+FREQS = [float(f) for f in np.round(np.linspace(0.1, 4.0, 400), 6)]
 view(
     "nud",
     f"""

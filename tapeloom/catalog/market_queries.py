@@ -415,25 +415,32 @@ def horizons(spark, d, assets):
 
 @query("prt11_best_trajectory")
 def prt11(spark, d):
-    params, v = horizons(spark, d, ASSETS[:3])
+    params, v = horizons(spark, d, ASSETS)
     return P.best_trajectory(params, v, k=3).select("universe", "traj", "sr", F.flatten("w").alias("w"))
 
 
-view("grid3", "SELECT a * x / 3.0::DOUBLE AS w1, b * y / 3.0::DOUBLE AS w2, (3 - a - b) * z / 3.0::DOUBLE AS w3 FROM range(4) r1(a), range(4) r2(b), (SELECT unnest([-1, 1]) AS x), (SELECT unnest([-1, 1]) AS y), (SELECT unnest([-1, 1]) AS z) WHERE a + b <= 3")
+view(
+    "grid5",
+    "SELECT a * s1 / 3.0::DOUBLE AS w1, b * s2 / 3.0::DOUBLE AS w2, c * s3 / 3.0::DOUBLE AS w3, e * s4 / 3.0::DOUBLE AS w4, (3 - a - b - c - e) * s5 / 3.0::DOUBLE AS w5 "
+    "FROM range(4) r1(a), range(4) r2(b), range(4) r3(c), range(4) r4(e), "
+    + ", ".join(f"(SELECT unnest([-1, 1]) AS s{i})" for i in range(1, 6))
+    + " WHERE a + b + c + e <= 3",
+)
+_N = range(1, len(ASSETS) + 1)
 view(
     "hmom",
     "SELECT h, "
-    + ", ".join(f"avg(a{i}) AS m{i}, 0.02::DOUBLE * stddev_samp(a{i}) AS c{i}" for i in (1, 2, 3))
-    + ", " + ", ".join(f"covar_samp(a{i}, a{j}) AS v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    + ", ".join(f"avg(a{i}) AS m{i}, 0.02::DOUBLE * stddev_samp(a{i}) AS c{i}" for i in _N)
+    + ", " + ", ".join(f"covar_samp(a{i}, a{j}) AS v{i}{j}" for i in _N for j in _N if i <= j)
     + " FROM htail GROUP BY h",
     "htail",
 )
 
 
 def _leg(w: str, prev: str | None, m: str) -> tuple[str, str]:
-    gain = " + ".join(f"{w}.w{i} * {m}.m{i}" for i in (1, 2, 3))
-    cost = " + ".join(f"{m}.c{i} * sqrt(abs({w}.w{i}{f' - {prev}.w{i}' if prev else ''}))" for i in (1, 2, 3))
-    risk = " + ".join(f"{1 if i == j else 2} * {w}.w{i} * {w}.w{j} * {m}.v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    gain = " + ".join(f"{w}.w{i} * {m}.m{i}" for i in _N)
+    cost = " + ".join(f"{m}.c{i} * sqrt(abs({w}.w{i}{f' - {prev}.w{i}' if prev else ''}))" for i in _N)
+    risk = " + ".join(f"{1 if i == j else 2} * {w}.w{i} * {w}.w{j} * {m}.v{i}{j}" for i in _N for j in _N if i <= j)
     return f"({gain} - ({cost}))", f"({risk})"
 
 
@@ -444,13 +451,13 @@ _G1, _R1 = _leg("q", "p", "m1")
 @query(
     "prt11_best_sharpe",
     with_views(
-        f"SELECT 'all' AS universe, round(max(({_G0} + {_G1}) / sqrt({_R0} + {_R1})), 6) AS sr, count(*) AS n_paths FROM grid3 p, grid3 q, (SELECT * FROM hmom WHERE h = 0) m0, (SELECT * FROM hmom WHERE h = 1) m1",
-        "grid3", "hmom",
+        f"SELECT 'all' AS universe, round(max(({_G0} + {_G1}) / sqrt({_R0} + {_R1})), 6) AS sr, count(*) AS n_paths FROM grid5 p, grid5 q, (SELECT * FROM hmom WHERE h = 0) m0, (SELECT * FROM hmom WHERE h = 1) m1",
+        "grid5", "hmom",
     ),
 )
 def prt11s(spark, d):
-    params, v = horizons(spark, d, ASSETS[:3])
-    n = F.lit(P.count_trajectories(3, 3, H)).cast("long").alias("n_paths")
+    params, v = horizons(spark, d, ASSETS)
+    n = F.lit(P.count_trajectories(3, len(ASSETS), H)).cast("long").alias("n_paths")
     return P.best_trajectory(params, v, k=3).select("universe", r("sr"), n)
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.operators.ticks import tick_rule
 from tapeloom.plans.series import KEYS, div, framed, lagged, position
@@ -210,16 +213,25 @@ def feature_table(
 
 # --------------------------------------------------------------------------- spectrum
 def nudft(df: DataFrame, *, t: str, v: str, freqs: Sequence[float]) -> DataFrame:
-    """Discrete Fourier sums at irregular times, one aggregate pair per frequency in a single pass."""
-    angles = [F.col(t) * F.lit(-2.0 * math.pi * float(f)) for f in freqs]
-    sums = df.groupBy(*KEYS).agg(
-        *[F.sum(F.col(v) * F.cos(a)).alias(f"_re{i}") for i, a in enumerate(angles)],
-        *[F.sum(F.col(v) * F.sin(a)).alias(f"_im{i}") for i, a in enumerate(angles)],
-    )
-    items = F.array(
-        *[F.struct(F.lit(float(f)).alias("freq"), F.col(f"_re{i}").alias("re"), F.col(f"_im{i}").alias("im")) for i, f in enumerate(freqs)]
-    )
-    long = sums.select(*KEYS, F.explode(items).alias("_s")).select(*KEYS, "_s.*")
+    """Discrete Fourier sums at irregular times: each task sums its rows for all frequencies, then the partial sums meet."""
+    freqs = [float(f) for f in freqs]
+    key = T.StructType([df.schema[k] for k in KEYS])
+    out = T.StructType([*key.fields, T.StructField("freq", T.DoubleType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def partial(batches):
+        turn = -2.0 * math.pi * np.array(freqs)
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for k, part in pdf.dropna().groupby(list(KEYS), sort=False):
+                for i in range(0, len(part), 4096):
+                    rows = part.iloc[i : i + 4096]
+                    angle = np.outer(rows[t].to_numpy(float), turn)
+                    x = rows[v].to_numpy(float)
+                    sums[k] = sums.get(k, 0) + np.stack((x @ np.cos(angle), x @ np.sin(angle)))
+        for k, (re, im) in sums.items():
+            yield pd.DataFrame({**dict(zip(KEYS, ([x] * len(freqs) for x in k))), "freq": freqs, "re": re, "im": im})
+
+    long = df.select(*KEYS, t, v).mapInPandas(partial, out).groupBy(*KEYS, "freq").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     return long.withColumns({"magnitude": F.sqrt(power), "power": power})
 

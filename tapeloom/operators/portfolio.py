@@ -279,13 +279,16 @@ def best_trajectory(params: DataFrame, cov: DataFrame, *, k: int | None = None,
     packed = per_h.join(cov_h, ["universe", "h"]).groupBy("universe").agg(
         F.array_sort(F.collect_list(F.struct("h", F.col("p.mean").alias("mu"), F.col("p.c").alias("c"), F.col("v.cov").alias("v")))).alias("hs")
     )
-    n_assets = F.size(F.col("hs")[0]["mu"])
-    units = F.lit(k) if k else n_assets
-    grid_size = F.factorial(units + n_assets - 1) / (F.factorial(n_assets - 1) * F.factorial(units)) * F.pow(F.lit(2.0), n_assets)
-    space = F.round(F.pow(grid_size, F.size("hs"))).cast("long")
+    sized = packed.withColumns({"_n": F.size(F.col("hs")[0]["mu"]), "_h": F.size("hs")}).withColumn("_k", F.lit(k) if k else F.col("_n"))
+    # Whole numbers throughout; a space beyond 64 bits raises instead of vanishing.
+    splits = "aggregate(sequence(1, _k), 1L, (a, i) -> (a * (_n - 1 + i)) div i)"
+    grid = sized.withColumn("_grid", F.expr(f"aggregate(sequence(1, _n), {splits}, (a, i) -> a * 2L)"))
     jobs = (
-        packed.withColumn("_size", space)
-        .withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1, F.lit(chunk).cast("long"))))
+        grid.withColumn("_size", F.expr("aggregate(sequence(1, _h), 1L, (a, i) -> a * _grid)"))
+        .withColumn("_jobs", F.expr(f"(_size + {chunk - 1}) div {chunk}"))
+        .withColumn("_outer", F.explode(F.expr("sequence(0L, (_jobs - 1) div 4096)")))
+        .withColumn("_job", F.explode(F.expr("sequence(_outer * 4096, least(_outer * 4096 + 4095, _jobs - 1))")))
+        .withColumn("lo", F.col("_job") * chunk)
         .withColumn("hi", F.least(F.col("lo") + chunk, F.col("_size")))
         .select("universe", "lo", "hi", F.col("hs.mu").alias("mu"), F.col("hs.c").alias("c"), F.col("hs.v").alias("v"))
         .repartition("universe", "lo")
@@ -293,6 +296,7 @@ def best_trajectory(params: DataFrame, cov: DataFrame, *, k: int | None = None,
     out = T.StructType.fromDDL("universe string, traj long, sr double, w array<array<double>>")
 
     def score(batches):
+        grids: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
@@ -300,7 +304,9 @@ def best_trajectory(params: DataFrame, cov: DataFrame, *, k: int | None = None,
                 c = np.stack([np.asarray(x, dtype=float) for x in r.c])
                 h, n = mu.shape
                 v = np.stack([np.asarray(x, dtype=float).reshape(n, n) for x in r.v])
-                grid = weight_grid(k or n, n)
+                if (k or n, n) not in grids:
+                    grids[k or n, n] = weight_grid(k or n, n)
+                grid = grids[k or n, n]
                 ids = np.arange(r.lo, r.hi)
                 gain, risk, prev = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros((len(ids), n))
                 path = []
