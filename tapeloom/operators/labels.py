@@ -37,27 +37,31 @@ def locate(bars: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def range_aggregate(
-    bars: DataFrame, spans: DataFrame, sums: dict[str, str], *, id_cols: Sequence[str], size: int = BLOCK
+    bars: DataFrame, spans: DataFrame, sums: dict[str, str], *, id_cols: Sequence[str], size: int = 4096
 ) -> DataFrame:
     """Per span, the sum over bars ``p0..p1`` of each column (null counts as 0), plus ``n_bars``.
 
-    Bars are packed into blocks; a span meets each block it overlaps once, by equi-join.
+    Differences of prefix sums kept as block total and in-block prefix: a span meets its two edge bars
+    only, however many it covers.
     """
-    blocks = packed(bars, list(dict.fromkeys(sums.values())), size=size)
-    pieces = span_blocks(spans.select(*KEYS, *id_cols, "p0", "p1"), "p0", "p1", size=size).join(blocks, [*KEYS, "blk"])
-
-    def inside(x):
-        return (x["pos"] >= F.col("p0")) & (x["pos"] <= F.col("p1"))
-
-    def total(col: str) -> Column:
-        return F.aggregate(
-            F.filter("rows", inside), F.lit(0.0), lambda acc, x: acc + F.coalesce(x[col].cast("double"), F.lit(0.0))
-        )
-
-    parts = pieces.select(*KEYS, *id_cols, "p0", "p1", *[total(c).alias(n) for n, c in sums.items()])
-    return parts.groupBy(*KEYS, *id_cols, "p0", "p1").agg(*[F.sum(n).alias(n) for n in sums]).withColumn(
-        "n_bars", F.col("p1") - F.col("p0") + 1
-    )
+    cols = list(dict.fromkeys(sums.values()))
+    blk = F.floor(F.col("pos") / size).cast("long")
+    base = bars.select(*KEYS, "pos", blk.alias("blk"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    before = Window.partitionBy(*KEYS).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy(*KEYS, "blk").agg(*[F.sum(c).alias(c) for c in cols])
+    carry = totals.select(*KEYS, "blk", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"_c_{c}") for c in cols])
+    local = Window.partitionBy(*KEYS, "blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = base.withColumns({f"_l_{c}": F.sum(c).over(local) for c in cols}).join(carry, [*KEYS, "blk"])
+    ends = F.array(F.struct(F.col("p0").alias("pos"), F.lit(False).alias("end")), F.struct(F.col("p1").alias("pos"), F.lit(True).alias("end")))
+    edges = spans.select(*KEYS, *id_cols, "p0", "p1", F.explode(ends).alias("_e")).select(*KEYS, *id_cols, "p0", "p1", "_e.*")
+
+    def part(c: str) -> Column:
+        far = F.sum(F.when(F.col("end"), F.col(f"_c_{c}")).otherwise(-F.col(f"_c_{c}")))
+        near = F.sum(F.when(F.col("end"), F.col(f"_l_{c}")).otherwise(F.col(c) - F.col(f"_l_{c}")))
+        return F.when(F.col("p1") >= F.col("p0"), far + near).otherwise(0.0)
+
+    out = edges.join(prefix, [*KEYS, "pos"]).groupBy(*KEYS, *id_cols, "p0", "p1").agg(*[part(c).alias(n) for n, c in sums.items()])
+    return out.withColumn("n_bars", F.col("p1") - F.col("p0") + 1)
 
 
 # --------------------------------------------------------------------------- fixed horizon
