@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Words remembered per task; beyond it the memory starts anew (ids never change by this).
-MEMO_WORDS = 250_000
+MEMO_WORDS = 1_000_000
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = object()
 _loaded: dict[str, Encoder] = {}
@@ -26,8 +27,8 @@ class Encoder:
 
     A byte-level pre-tokenizer always cuts before a single blank between two other characters, and around a line
     feed between two other characters; what follows such a cut is encoded as if the text began there. Texts are cut
-    at these places only, every piece is encoded by the library once, and the ids are put together. Texts with blanks
-    or line feeds in a row are cut at the safe blanks alone. Texts that hold an added token's string, and tokenizers of another
+    at these places only, every piece is encoded by the library once, and the ids are put together. Texts with white space in a row
+    are cut at the safe blanks alone. Texts that hold an added token's string, and tokenizers of another
     kind, go through the library whole.
     """
 
@@ -41,49 +42,65 @@ class Encoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         pre = repr(self.tok.pre_tokenizer)
         self.cuts = self.tok.normalizer is None and "ByteLevel(add_prefix_space=False" in pre and "use_regex=True" in pre
-        self.heads: dict[str, object] = {}
-        self.tails: dict[str, object] = {}
-        self.feed = self._ids(["\n"])[0] if self.cuts else b""
+        self.memo: dict[str, object] = {}
+        self.ends = dict(zip(("", "\n"), self._ids([" ", "\n"]), strict=True)) if self.cuts else {}  # of a text that ends so
+        self.sizes = np.array([len(b) for b in self.bytes_of_ids()], np.int64)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict, words: set[str], before: str) -> None:
-        fit = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        memo.update(dict.fromkeys(words, _UNSAFE))
-        memo.update(zip(fit, self._ids([before + w for w in fit]), strict=True))
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that a safe cut separates, in one call; the tokens' bytes tell where a piece ends."""
+        ids = self.tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
+        raw = array("I", ids).tobytes()
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        reach = np.cumsum(self.sizes[np.frombuffer(raw, np.uint32)])
+        at = np.searchsorted(reach, ends)
+        if len(reach) != at[-1] + 1 or not np.array_equal(reach[at], ends):
+            return self._ids(pieces)
+        at = ((at + 1) * 4).tolist()
+        return [raw[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """A word follows a blank, or is a line feed and what follows that."""
+        self.memo.update(dict.fromkeys(words, _UNSAFE))
+        fit = [w for w in words if (x := w[1:] if w[:1] == "\n" else w) and not x[0].isspace() and not x[-1].isspace()]
+        for i in range(0, len(fit), 2048):
+            part = fit[i : i + 2048]
+            self.memo.update(zip(part, self._joined([w if w[0] == "\n" else " " + w for w in part]), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; no nulls."""
         if not self.cuts:
             return self._ids(texts)
-        if len(self.heads) + len(self.tails) > MEMO_WORDS:
-            self.heads.clear()
-            self.tails.clear()
-        lines = [[line.split(" ") for line in t.split("\n")] if t and not any(a in t for a in self.added) else None for t in texts]
-        heads, tails = self.heads, self.tails
-        for memo, before, new in (
-            (heads, "", {p[0] for ls in lines if ls for p in ls}.difference(heads)),
-            (tails, " ", {w for ls in lines if ls for p in ls for w in p[1:]}.difference(tails)),
-        ):
-            if new:
-                self._learn(memo, new, before)
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        words = [t.replace("\n", " \n").split(" ") if t and not any(a in t for a in self.added) else None for t in texts]
+        new: set[str] = set()
+        for w in words:
+            if w:
+                new.update(w[1:])
+        new = new.difference(memo)
+        if new:
+            self._learn(new)
+        firsts = iter(self._ids([w[0] for w in words if w]))
         out = []
-        for t, ls in zip(texts, lines, strict=True):
-            if ls is None:
+        for t, w in zip(texts, words, strict=True):
+            if w is None:
                 out.append(self._ids([t])[0] if t else b"")
                 continue
-            parts: list = []
-            for p in ls:
-                parts.append(heads[p[0]])
-                parts.extend(map(tails.__getitem__, p[1:]))
-                parts.append(self.feed)
-            parts.pop()
+            first, last = next(firsts), self.ends.get(w[-1]) if len(w) > 1 else None
+            parts = [first, *map(memo.__getitem__, w[1:] if last is None else w[1:-1])]
+            if last is not None:
+                parts.append(last)
             try:
+                if w[0][-1:].isspace() or (last is not None and not (w[-2] and memo.get(w[-2], w[0]) is not _UNSAFE)):
+                    raise TypeError
                 out.append(b"".join(parts))
             except TypeError:  # a piece that is not safe by itself
                 pieces = _SAFE_SPACE.split(t)
-                out.append(b"".join(self._ids([pieces[0], *(" " + w for w in pieces[1:])])))
+                out.append(b"".join(self._ids([pieces[0], *(" " + x for x in pieces[1:])])))
         return out
 
     def bytes_of_ids(self) -> list[bytes]:
