@@ -151,7 +151,8 @@ def read_records(manifest: DataFrame, root_of: str) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return based.repartitionByRange("shard").mapInArrow(scan, ROWS)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, or few small rows would become one task
+    return based.repartitionByRange(tasks, "shard").mapInArrow(scan, ROWS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
