@@ -105,42 +105,42 @@ def vertical_barrier(bars: DataFrame, events: DataFrame, *, days: float) -> Data
     return found.where(F.col("t1").isNotNull())
 
 
-def first_touch(bars: DataFrame, events: DataFrame, *, pt: float, sl: float, size: int = BLOCK) -> DataFrame:
+def first_touch(bars: DataFrame, events: DataFrame, *, pt: float, sl: float, levels: Sequence[int] = (1 << 16, BLOCK)) -> DataFrame:
     """Earliest profit-taking and stop-loss times of each event's path, null when untouched.
 
-    ``events`` has t0, t1 (nullable vertical barrier), trgt and side.  Blocks whose price range
-    cannot reach a barrier are skipped.
+    ``events`` has t0, t1 (nullable vertical barrier), trgt and side.  The search goes from coarse to
+    fine: of the blocks an event overlaps only the first whole one whose price range reaches the barrier
+    is kept (it holds a touch for sure), and the cut ones at the edges before it; bars are read for the last level only.
     """
     cols = [c for c in events.columns if c not in KEYS]
     spans = locate(bars, events)
     spans = spans.join(bars.select(*KEYS, F.col("pos").alias("p0"), F.col("close").alias("_c0")), [*KEYS, "p0"])
-    blocks = packed(bars, ["ts", "close"], size=size).withColumns(
-        {
-            "_hi": F.array_max(F.transform("rows", lambda x: x["close"])),
-            "_lo": F.array_min(F.transform("rows", lambda x: x["close"])),
-        }
-    )
-    pieces = span_blocks(spans, "p0", "p1", size=size).join(blocks, [*KEYS, "blk"])
-
-    def gain(c: Column) -> Column:
-        return (c / F.col("_c0") - 1) * F.col("side")
-
-    def touch(hit) -> Column:
-        reach = F.when(
-            hit(gain(F.col("_hi"))) | hit(gain(F.col("_lo"))),
-            F.get(
-                F.filter(
-                    "rows", lambda x: (x["pos"] >= F.col("p0")) & (x["pos"] <= F.col("p1")) & hit(gain(x["close"]))
-                ),
-                F.lit(0),
-            )["ts"],
-        )
-        return F.min(reach)
-
-    never = F.lit(None).cast("timestamp")
-    up = touch(lambda g: g > pt * F.col("trgt")) if pt > 0 else F.min(never)
-    down = touch(lambda g: g < -sl * F.col("trgt")) if sl > 0 else F.min(never)
-    return pieces.groupBy(*KEYS, *cols).agg(down.alias("sl_ts"), up.alias("pt_ts"))
+    goals = [F.lit(g) for g, on in (("pt", pt > 0), ("sl", sl > 0)) if on]
+    untouched = spans.select(*KEYS, *cols, F.lit(None).cast("string").alias("goal"), F.lit(None).cast("timestamp").alias("ts"))
+    if goals:
+        ranges = spans.withColumns({"goal": F.explode(F.array(*goals)), "lo": F.col("p0"), "hi": F.col("p1")})
+        event = [*KEYS, *cols, "_c0", "p0", "p1", "goal"]
+
+        def hit(price: Column) -> Column:
+            gain = (price / F.col("_c0") - 1) * F.col("side")
+            return F.when(F.col("goal") == "pt", gain > pt * F.col("trgt")).otherwise(gain < -sl * F.col("trgt"))
+
+        for size in levels:
+            blk = F.floor(F.col("pos") / size).cast("long")
+            extremes = bars.groupBy(*KEYS, blk.alias("blk")).agg(F.max("close").alias("_hi"), F.min("close").alias("_lo"))
+            met = span_blocks(ranges, "lo", "hi", size=size).join(extremes, [*KEYS, "blk"]).where(hit(F.col("_hi")) | hit(F.col("_lo")))
+            inside = (F.col("blk") * size >= F.col("p0")) & ((F.col("blk") + 1) * size - 1 <= F.col("p1"))
+            found = met.groupBy(*event).agg(F.min(F.when(inside, F.col("blk"))).alias("_whole"), F.collect_set(F.when(~inside, F.col("blk"))).alias("_cut"))
+            kept = F.array_compact(F.concat(F.filter("_cut", lambda x: F.col("_whole").isNull() | (x < F.col("_whole"))), F.array("_whole")))
+            ranges = found.withColumn("blk", F.explode(kept)).select(
+                *event, F.greatest("p0", F.col("blk") * size).alias("lo"), F.least("p1", (F.col("blk") + 1) * size - 1).alias("hi")
+            )
+        last = F.floor(F.col("pos") / levels[-1]).cast("long").alias("blk")
+        path = span_blocks(ranges, "lo", "hi", size=levels[-1]).join(bars.select(*KEYS, "pos", "close", F.col("ts").alias("_ts"), last), [*KEYS, "blk"])
+        touches = path.where(F.col("pos").between(F.col("lo"), F.col("hi")) & hit(F.col("close")))
+        untouched = untouched.unionByName(touches.select(*KEYS, *cols, "goal", F.col("_ts").alias("ts")))
+    at = lambda g: F.min(F.when(F.col("goal") == g, F.col("ts")))
+    return untouched.groupBy(*KEYS, *cols).agg(at("sl").alias("sl_ts"), at("pt").alias("pt_ts"))
 
 
 def barrier_events(

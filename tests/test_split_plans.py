@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import col, series, trades
 from tapeloom.operators import bars as B
 from tapeloom.operators import breaks, entropy, labels, portfolio, ticks
+from tapeloom.operators.flow_history import FlowHistory
 from tapeloom.plans.series import ewm_sums, framed, position, quantiles, running
 
 approx = pytest.approx
@@ -195,3 +196,70 @@ def test_labels_split_equals_plain(spark, split):
 def test_tick_rule_split(spark, split):
     t = series(spark, [100, 101, 101, 99, 99, 100, 100, 100], name="price")
     assert col(ticks.tick_rule(t), "tick") == [1, 1, 1, -1, -1, 1, 1, 1]
+
+
+def test_first_touch_levels(spark):
+    b = series(spark, [100 + 5 * math.sin(i * 0.7) + 0.1 * i for i in range(90)])
+    ev = b.where("pos % 7 = 2").select(
+        "instrument", F.col("ts").alias("t0"), F.when(F.col("pos") % 2 == 0, F.col("ts") + F.expr("INTERVAL 40 DAYS")).alias("t1"),
+        F.lit(0.02).alias("trgt"), F.when(F.col("pos") % 3 == 0, -1).otherwise(1).alias("side"),
+    )
+    out = [labels.first_touch(b, ev, pt=1.0, sl=1.5, levels=x).orderBy("instrument", "t0").collect() for x in ((1 << 16, 256), (32, 8, 2), (2,))]
+    assert out[0] == out[1] == out[2] and any(r.pt_ts for r in out[0]) and any(r.sl_ts for r in out[0])
+    assert labels.first_touch(b, ev, pt=0, sl=0).where("pt_ts is not null or sl_ts is not null").isEmpty()
+
+
+def test_flow_history_is_the_recursion():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=60_000) + 0.1
+    whole, parts = FlowHistory(), FlowHistory()
+    whole.append(x)
+    for i in range(0, len(x), 37):
+        parts = FlowHistory.of(parts.state())
+        parts.append(x[i : i + 37])
+    assert whole.state() == parts.state()
+    for window in (1, 10, 5_000, 200_000):
+        a = 2 / (window + 1)
+        w = a * (1 - a) ** np.arange(len(x) - 1, -1, -1.0)
+        w[0] /= a
+        assert abs(whole.average(window) - float(w @ x)) < 1e-12
+
+
+@pytest.mark.parametrize("block", ["1000000", "60"])
+def test_long_imbalance_span_does_not_depend_on_blocks(spark, block):
+    """Bars whose span is far longer than a block, with a DOUBLE measure beside them."""
+    rng = np.random.default_rng(2)
+    t = spark.createDataFrame(pd.DataFrame({"instrument": "a", "pos": range(700), "seq": range(700), "ts": pd.date_range("2020", periods=700, freq="h"), "price": 100 + rng.normal(size=700).cumsum(), "qty": rng.uniform(0.5, 2, 700), "side": rng.choice([-1, 1], 700)}))
+    t = t.withColumn("dollar", F.col("price") * F.col("qty"))
+    spark.conf.set("tapeloom.series.block_rows", block)
+    try:
+        bars = B.tick_imbalance_bars(t, init_ticks=5, prev_bars=40, floor="abs").orderBy("bar_id").collect()
+        dollars = B.dollar_bars(t, threshold=1000.5).orderBy("bar_id").collect()
+    finally:
+        spark.conf.unset("tapeloom.series.block_rows")
+    flow = t.orderBy("pos").toPandas()
+    ends, acc = [], 0.0
+    for i, v in enumerate(flow["dollar"].tolist()):
+        acc += v
+        if acc >= 1000.5:
+            ends.append(i)
+            acc = 0.0
+    assert [r.end_pos for r in dollars] == ends
+    side, ends, theta, ticks, span, bars_done, length, goal = flow["side"].tolist(), [], 0.0, 0, 5.0, 0, 0.0, 0.0
+
+    def mean(n, window):
+        a, m = 2 / (window + 1), side[0]
+        for v in side[1:n]:
+            m = a * v + (1 - a) * m
+        return max(abs(m), 1e-6)
+
+    for i, v in enumerate(side):
+        theta, ticks = theta + v, ticks + 1
+        if not bars_done:
+            goal = span * mean(i + 1, 5) if i + 1 >= 5 else math.inf
+        if abs(theta) >= goal * (1 + 1e-12):
+            length = ticks if not bars_done else 2 / 41 * ticks + (1 - 2 / 41) * length
+            goal = length * mean(i + 1, max(1, int(40 * length)))
+            ends.append(i)
+            theta, ticks, bars_done = 0.0, 0, 1
+    assert [r.end_pos for r in bars] == ends
