@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from tapeloom.functions.gaussian import with_norm_cdf
 from tapeloom.plans.series import KEYS, div, framed, lagged, map_blocks, packed, position, running, running_product
 
-LAG_LIMIT = 64
 
 # Published response surface of the constant-only unit-root test (one series).
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -113,35 +112,17 @@ def ffd_grid(df: DataFrame, *, x: str, ds: Sequence[float], thres: float) -> Dat
     table = {float(d): weights_until(d, thres) for d in ds}
     width = max(len(w) for w in table.values()) - 1
     base = _filled(df.select(*KEYS, "pos", x), x)
-    if width <= LAG_LIMIT:
-        lags = framed(
-            base, lambda w: {f"_l{i}": F.lag("_x", i).over(w) for i in range(1, width + 1)}, pos="_k", before=width
-        )
-
-        def value(w: np.ndarray) -> Column:
-            total = F.col("_x") * F.lit(float(w[0]))
-            for i, c in enumerate(w[1:], start=1):
-                total = total + F.col(f"_l{i}") * F.lit(float(c))
-            return total
-
-        items = [
-            F.when(F.col("_k") >= len(w) - 1, F.struct(F.lit(d).alias("d"), value(w).alias("value")))
-            for d, w in table.items()
-        ]
-    else:
-        schema = T.StructType(
-            [*base.schema.fields] + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(table))]
-        )
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            v = pdf["_x"].to_numpy(dtype=float)
-            return pdf.assign(**{f"_v{i}": np.convolve(v, w)[: len(v)] for i, w in enumerate(table.values())})
-
-        lags = map_blocks(base, run, schema, pos="_k", before=width)
-        items = [
-            F.when(F.col("_k") >= len(w) - 1, F.struct(F.lit(d).alias("d"), F.col(f"_v{i}").alias("value")))
-            for i, (d, w) in enumerate(table.items())
-        ]
+    schema = T.StructType([*base.schema.fields] + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(table))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["_x"].to_numpy(dtype=float)
+        return pdf.assign(**{f"_v{i}": np.convolve(v, w)[: len(v)] for i, w in enumerate(table.values())})
+
+    lags = map_blocks(base, run, schema, pos="_k", before=width)
+    items = [
+        F.when(F.col("_k") >= len(w) - 1, F.struct(F.lit(d).alias("d"), F.col(f"_v{i}").alias("value")))
+        for i, (d, w) in enumerate(table.items())
+    ]
     return (
         lags.where(F.col(x).isNotNull())
         .select(*KEYS, "pos", x, F.explode(F.array_compact(F.array(*items))).alias("_e"))

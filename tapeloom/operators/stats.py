@@ -8,7 +8,6 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeloom.functions.gaussian import with_norm_cdf, with_norm_ppf
 from tapeloom.plans.series import KEYS, affine_scan, div, lagged, position, running
@@ -41,7 +40,7 @@ def block_statistics(trials: DataFrame, *, blocks: int) -> DataFrame:
         extra + F.floor(div(F.col("pos") - cut, base))
     )
     cells = (
-        trials.join(F.broadcast(size), "study")
+        trials.join(size, "study")
         .groupBy("study", "trial", blk.cast("int").alias("blk"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("ss"))
     )
