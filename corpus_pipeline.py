@@ -32,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that links connect; documents without doc_id stay."""
+    """One document, that of the smallest doc_id, of each group that links connect; rows that repeat a doc_id are that one
+    document and stay or go together, documents without doc_id stay."""
     bounded_batches(spark)
     groups = shingle_join.near_duplicates(docs)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
