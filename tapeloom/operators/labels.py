@@ -105,13 +105,15 @@ def vertical_barrier(bars: DataFrame, events: DataFrame, *, days: float) -> Data
     return found.where(F.col("t1").isNotNull())
 
 
-def first_touch(bars: DataFrame, events: DataFrame, *, pt: float, sl: float, levels: Sequence[int] = (1 << 16, BLOCK)) -> DataFrame:
+def first_touch(bars: DataFrame, events: DataFrame, *, pt: float, sl: float, size: int = BLOCK, levels: Sequence[int] | None = None) -> DataFrame:
     """Earliest profit-taking and stop-loss times of each event's path, null when untouched.
 
     ``events`` has t0, t1 (nullable vertical barrier), trgt and side.  The search goes from coarse to
     fine: of the blocks an event overlaps only the first whole one whose price range reaches the barrier
     is kept (it holds a touch for sure), and the cut ones at the edges before it; bars are read for the last level only.
+    ``levels`` are block lengths, each a multiple of the next (256 x ``size``, then ``size``).
     """
+    levels = levels or (256 * size, size)
     cols = [c for c in events.columns if c not in KEYS]
     spans = locate(bars, events)
     spans = spans.join(bars.select(*KEYS, F.col("pos").alias("p0"), F.col("close").alias("_c0")), [*KEYS, "p0"])

@@ -242,7 +242,8 @@ def asof(
     """For each left row the nearest right row at or before (``forward``: at or after) its time.
 
     ``cols`` maps output name to right column.  ``left_on``/``right_on`` are LONG sort keys, so both
-    sides become one ordered series and the lookup is a running last-non-null: no range join.
+    sides become one ordered series and the lookup is a running last-non-null: no range join. Even range
+    partitions are scanned on their own and pass their newest right row on.
     """
     keys = list(keys)
     sign = -1 if forward else 1
@@ -260,7 +261,13 @@ def asof(
             F.lit(None).cast(ltype).alias("_l"), payload.alias("_r"),
         )
     )
-    found = running(position(both, ["_t", "_s"], keys=keys, name="_p"), {"_m": ("last", F.col("_r"))}, keys=keys, pos="_p")
+    cell = [*keys, "_part"]
+    ranged = reuse(both.repartitionByRange(*keys, "_t", "_s").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    newest = ranged.groupBy(*cell).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_s"))).alias("_n"))
+    carry = newest.select(*cell, F.last("_n", ignorenulls=True).over(before).alias("_c"))
+    here = F.last("_r", ignorenulls=True).over(Window.partitionBy(*cell).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("_h", here).join(carry, cell).withColumn("_m", F.coalesce("_h", "_c"))
     return found.where(F.col("_l").isNotNull()).select(
         *keys, *[F.col("_l")[c].alias(c) for c in lcols], *[F.col("_m")[n].alias(n) for n in cols]
     )
