@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ def chunks(text: bytes) -> list[bytes]:
     out, last = [], 0
     for end in cut_places(text):
         piece = text[last:end]
-        if len(_SAFE.findall(piece)) >= 4:
+        if sum(1 for _ in islice(_SAFE.finditer(piece), 4)) == 4:
             out.append(piece)
             last = end
     if last < len(text):
@@ -97,50 +98,81 @@ class Assembler:
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.encoded = self.repairs = 0
 
-    def chunk_ids(self, parts: list[bytes]) -> list[np.ndarray]:
-        names = [name_of(p) for p in parts]
-        new = {k: p for k, p in zip(names, parts, strict=True) if k not in self.shared and k not in self.local}
+    def chunk_ids(self, parts: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids by chunk; chunks that are new to this task are encoded in one call."""
+        names = {p: name_of(p) for p in parts}
         if len(self.local) > LOCAL_CHUNKS:
-            self.local = {k: v for k in names if (v := self.local.get(k)) is not None}
+            self.local = {k: v for k in names.values() if (v := self.local.get(k)) is not None}
+        new = {k: p for p, k in names.items() if k not in self.shared and k not in self.local}
         self.encoded += len(new)
         self.local.update(zip(new, self.enc.encode_many([p.decode() for p in new.values()]), strict=True))
-        return [np.frombuffer(self.shared[k] if k in self.shared else self.local[k], "<u4") for k in names]
-
-    def text_ids(self, text: str) -> np.ndarray:
-        """Ids of one segment without added tokens."""
-        if not text:
-            return np.empty(0, "<u4")
-        parts = chunks(text.encode())
-        ids = self.chunk_ids(parts)
-        if len(parts) == 1:
-            return ids[0]
-        starts = [np.concatenate(([0], np.cumsum(self.sizes[x]))) for x in ids]
-        safe = [[m.start() for m in _SAFE.finditer(p)] for p in parts]
-        out, begin = [], 0
-        for k in range(len(parts) - 1):
-            left, right = safe[k], safe[k + 1]
-            i, j, grow = len(left) - 2, 1, 0
-            while True:
-                a0, a1, b0, b1 = left[max(i, 0)], left[max(i, 0) + 1], right[j - 1], right[min(j, len(right) - 1)]
-                new = np.frombuffer(self.enc.encode_many([(parts[k][a0:] + parts[k + 1][:b1]).decode()])[0], "<u4")
-                p0, p1 = np.searchsorted(starts[k], (a0, a1))
-                q0, q1 = np.searchsorted(starts[k + 1], (b0, b1))
-                kept_a, kept_b = ids[k][p0:p1], ids[k + 1][q0:q1]
-                if p0 >= begin and len(new) >= len(kept_a) + len(kept_b) and np.array_equal(new[: len(kept_a)], kept_a) and np.array_equal(new[len(new) - len(kept_b) :], kept_b):
+        return {p: np.frombuffer(self.shared[k] if k in self.shared else self.local[k], "<u4") for p, k in names.items()}
+
+    def window(self, left: bytes, right: bytes, grow: int) -> tuple[int, int, int, int] | None:
+        """Around the join of two chunks: places of safe blanks, two before it and two behind, ``grow`` steps away; None if they
+        run out. Between the outer and the inner place the ids must agree."""
+        near = 64 * (grow + 4)
+        base = max(0, len(left) - near)
+        before = [base + m.start() for m in _SAFE.finditer(left[base:])]
+        if len(before) < grow + 2:
+            before = [m.start() for m in _SAFE.finditer(left)]
+        behind = [m.start() for m in islice(_SAFE.finditer(right), grow + 2)]
+        if len(before) < grow + 2 or len(behind) < grow + 2:
+            return None
+        return before[-grow - 2], before[-grow - 1], behind[grow], behind[grow + 1]
+
+    def repaired(self, a: np.ndarray, b: np.ndarray, at: tuple[int, int, int, int], new: np.ndarray) -> tuple[int, np.ndarray, int] | None:
+        """Ids of ``a`` to keep, ids of the join, first id of ``b`` to keep; None if the new ids do not agree on both sides."""
+        x, y = (np.concatenate(([0], np.cumsum(self.sizes[i]))) for i in (a, b))
+        p0, p1 = np.searchsorted(x, at[:2])
+        q0, q1 = np.searchsorted(y, at[2:])
+        n, m = p1 - p0, q1 - q0
+        if len(new) >= n + m and np.array_equal(new[:n], a[p0:p1]) and np.array_equal(new[len(new) - m :], b[q0:q1]):
+            return int(p0), new[: len(new) - m], int(q0)
+        return None
+
+    def texts_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens; chunks and joins of all of them are encoded together."""
+        parts = [chunks(t.encode()) if t else [] for t in texts]
+        ids = self.chunk_ids([c for p in parts for c in p])
+        joins = [(i, k, self.window(p[k], p[k + 1], 0)) for i, p in enumerate(parts) for k in range(len(p) - 1)]
+        text_at = lambda i, k, at: (parts[i][k][at[0] :] + parts[i][k + 1][: at[3]]).decode()
+        fresh = iter(self.enc.encode_many([text_at(*j) for j in joins if j[2]]))
+        fixed: dict[tuple[int, int], tuple | None] = {}
+        for i, k, at in joins:
+            grow, found = 0, None
+            while at and found is None:
+                new = next(fresh) if grow == 0 else self.enc.encode_many([text_at(i, k, at)])[0]
+                found = self.repaired(ids[parts[i][k]], ids[parts[i][k + 1]], at, np.frombuffer(new, "<u4"))
+                grow += 1
+                at = self.window(parts[i][k], parts[i][k + 1], grow) if found is None else at
+            fixed[i, k] = found
+        out = []
+        for i, p in enumerate(parts):
+            made, begin = [], 0
+            for k in range(len(p) - 1):
+                join = fixed[i, k]
+                if join is None or join[0] < begin:  # no agreement inside these two chunks: no chunk is used
+                    made = None
                     break
-                i, j, grow = i - 1, j + 1, grow + 1
-                if i < 0 or j >= len(right):  # no agreement inside these two chunks: no chunk is used
-                    return np.frombuffer(self.enc.encode_many([text])[0], "<u4")
-            self.repairs += 1
-            out += [ids[k][begin:p0], new[: len(new) - len(kept_b)]]
-            begin = q0
-        return np.concatenate([*out, ids[-1][begin:]])
-
-    def ids(self, text: str) -> np.ndarray:
-        segments = _segments(self.enc, text)
-        if len(segments) == 1:
-            return self.text_ids(text)
-        return np.concatenate([self.text_ids(s) if i % 2 == 0 else np.array([self.enc.tok.token_to_id(s)], "<u4") for i, s in enumerate(segments)])
+                made += [ids[p[k]][begin : join[0]], join[1]]
+                begin = join[2]
+                self.repairs += 1
+            if made is None:
+                out.append(np.frombuffer(self.enc.encode_many([texts[i]])[0], "<u4"))
+            else:
+                out.append(np.concatenate([*made, ids[p[-1]][begin:]]) if p else np.empty(0, "<u4"))
+        return out
+
+    def ids_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        split = [_segments(self.enc, t) for t in texts]
+        got = iter(self.texts_ids([s for segments in split for s in segments[::2]]))
+        out = []
+        for segments in split:
+            each = [next(got) if i % 2 == 0 else np.array([self.enc.tok.token_to_id(s)], "<u4") for i, s in enumerate(segments)]
+            out.append(each[0] if len(each) == 1 else np.concatenate(each))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
@@ -208,8 +240,7 @@ def encoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         work = Assembler(encoder(tokenizer), dict(zip(got["h"], got["ids"], strict=True)))
         for b in small_batches(batches):
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = work.ids(t or "")
+            for d, ids in zip(b.column(0).to_pylist(), work.ids_many([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 rows.append((d, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(work.decode(ids).encode()).hexdigest()))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())

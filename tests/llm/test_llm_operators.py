@@ -208,7 +208,7 @@ def test_encoder_equals_library(tok):
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(BPE).encode_many(texts)] == want
     work = chunk_bpe.Assembler(encoder(BPE), {})
-    assert [work.ids(t).tolist() for t in texts] == want
+    assert [i.tolist() for i in work.ids_many(texts)] == want
     assert work.repairs > 0
     assert [work.decode(np.array(i, "<u4")) for i in want] == [tok.decode(i, skip_special_tokens=False) for i in want]
 
