@@ -183,6 +183,20 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in language_id.with_language(df, {}).collect()} == {"und"}
 
 
+def test_language_of_a_long_clean_text(spark):
+    """10 MB in one language are as clear as 50 KB; a text in two halves is read to its end."""
+    rng = random.Random(12)
+    pools = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(4000)] for k, letters in (("aa", "abcdefghi"), ("bb", "abcdefghj"))}
+    known = language_id.learn(spark.createDataFrame([(i, words(rng, 100, pools[("aa", "bb")[i % 2]]), ("aa", "bb")[i % 2], 0, None, None) for i in range(600)], DOC))
+    pages = {k: " ".join(rng.choices(p, k=1_700_000)) for k, p in pools.items()}
+    assert all(len(p) > 10_000_000 for p in pages.values())
+    rows = [(0, pages["aa"]), (1, pages["bb"]), (2, pages["aa"][:50_000]), (3, pages["aa"][:300_000] + pages["bb"][:600_000])]
+    out = language_id.with_language(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    got = {r["doc_id"]: r for r in out.select("doc_id", "lang_pred", "score", language_id.accepted().alias("ok")).collect()}
+    assert [got[k]["lang_pred"] for k in range(4)] == ["aa", "bb", "aa", "bb"] and all(got[k]["ok"] for k in range(4))
+    assert abs(got[0]["score"] / got[2]["score"] - 1) < 0.2
+
+
 def test_quality(spark, none):
     rows = labelled()
     df = spark.createDataFrame(rows, DOC)
