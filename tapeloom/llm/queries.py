@@ -122,6 +122,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+OP2_LINKS_SQL = OP2_SQL.removesuffix(" FROM s") + ", (SELECT count(DISTINCT b) FROM l WHERE l.a = s.doc_id) AS n_links FROM s"
+
+
+@query("op2_jaccard_links", OP2_LINKS_SQL)
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 @query("op5_chunk_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encoded_documents(read(spark, sf_dir, "documents"), BYTE_BPE)

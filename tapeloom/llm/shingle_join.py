@@ -14,8 +14,9 @@ of the next. Words are joined on (scheme, place, value):
   another word. The others are linked to the smallest member first; members still apart afterwards are compared block by
   block through parity bits, whose Hamming distance bounds the difference from below.
 
-Candidates are verified on the texts: first one partner per set, then only pairs that are still in different components. Equal sets
-are one node from the start. No group is emitted in pairs and nothing of the corpus reaches the driver but one fixed-size bitmap.
+``near_duplicates`` verifies candidates on the texts: first one partner per set, then only pairs that are still in different components.
+``jaccard_join`` and ``jaccard_links`` verify every candidate, large groups tile by tile, and give all links. Equal sets are one node
+from the start. ``near_duplicates`` emits no group in pairs; nothing of the corpus reaches the driver but one fixed-size bitmap.
 
 Words are runs of characters other than blank and \\x09 to \\x0D after A-Z are lowered. Sets with fewer than five words are
 the whole sequence; without words the set is empty and linked with nothing. Nulls: a null text is empty; rows with null doc_id
@@ -39,7 +40,7 @@ from tapeloom.llm.common import small_batches, stored
 from tapeloom.llm.components import components
 
 WIDTH, FEW, FLUSH, TILE, SKETCH_BITS = 5, 8, 1 << 21, 512, 2048
-BITMAP_PARTS = 128
+BITMAP_PARTS, TILE_BYTES = 128, 8 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -160,7 +161,7 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
                 h, g, band, fp = shingle_hashes(t), (0, 0), -1, None
                 if len(h):
                     band = band_of(len(h))
-                    fp = np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h)) + _U(len(h))], np.uint64).tobytes()
+                    fp = _fingerprint(h)
                     made = [sketch_keys(h, band), sketch_keys(h, band + 1)]
                     g = (made[0][1], made[1][1])
                     if d is not None and fp not in seen:
@@ -301,30 +302,38 @@ def _apart(members: DataFrame, texts: DataFrame) -> DataFrame:
     return tiles.groupBy("grp", "i", "j").applyInPandas(tile, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+def _candidates(docs: DataFrame, buckets: int | None, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents; (doc_id, rep, fp) of every set; pairs (p, q) of representatives that share few-set words; members (grp, p) of large
+    groups. A representative is a struct of the columns ``key`` of its set: rep alone or rep and fp."""
     docs = docs.select("doc_id", "text")
     buckets = buckets or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = stored(_postings(docs, buckets).groupBy("bucket").applyInPandas(_match, FOUND), "found")
     about = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "scheme", "g0", "g1", "fp")
     nodes = about.where("doc_id is not null and fp is not null")
-    least = nodes.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    node_of = stored(nodes.join(least, "fp").groupBy("doc_id").agg(F.min("rep").alias("rep")), "nodes")
-    same = nodes.join(least, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # only rows that repeat an id add links
+    sets = stored(nodes.join(nodes.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp").select("doc_id", "rep", "fp").distinct(), "sets")
     bound = nodes.select("doc_id", F.explode(F.array(F.struct("scheme", F.col("g0").alias("g")), F.struct((F.col("scheme") + 1).alias("scheme"), F.col("g1").alias("g")))).alias("x"))
     bound = bound.groupBy("doc_id", "x.scheme").agg(F.min("x.g").alias("g"))
 
     crowd = found.where("kind = 1").groupBy("a", "b", "scheme").agg(F.sum("n").alias("n"))
     crowded = crowd.groupBy(F.col("b").alias("doc_id"), "scheme").agg(F.sum("n").alias("h"))
-    limits = stored(bound.join(crowded, ["doc_id", "scheme"], "left").na.fill(0, ["h"]).join(node_of, "doc_id"), "limits")
-    of = lambda c: limits.select(F.col("doc_id").alias(c), "scheme", F.col("g").alias(f"g{c}"), F.col("h").alias(f"h{c}"), F.col("rep").alias(f"r{c}"))
+    own = sets.select("doc_id", F.struct(*key).alias("p")).distinct()  # a word of a doc_id with several sets may be any one's
+    limits = stored(bound.join(crowded, ["doc_id", "scheme"], "left").na.fill(0, ["h"]).join(own, "doc_id"), "limits")
+    of = lambda c: limits.select(F.col("doc_id").alias(c), "scheme", F.col("g").alias(f"g{c}"), F.col("h").alias(f"h{c}"), F.col("p").alias(f"p{c}"))
     few = found.where("kind = 0").groupBy("a", "b", "scheme").agg(F.sum("n").alias("n"))
     few = few.join(of("a"), ["a", "scheme"]).join(of("b"), ["b", "scheme"]).where("n + least(ha, hb) >= greatest(ga, gb)")
-    few = few.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    many = crowd.join(of("b"), ["b", "scheme"]).where("hb >= gb").select(F.xxhash64("a", "scheme").alias("grp"), F.col("rb").alias("doc_id")).distinct()
-    many = stored(many, "crowds")
+    few = few.select(F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q")).where("p <> q").distinct()
+    many = crowd.join(of("b"), ["b", "scheme"]).where("hb >= gb").select(F.xxhash64("a", "scheme").alias("grp"), F.col("pb").alias("p")).distinct()
+    return about, sets, stored(few, "few"), stored(many, "crowds")
+
+
+def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach). Links within a
+    component are tested only as far as they are needed to connect it; ``jaccard_join`` has them all."""
+    about, sets, few, many = _candidates(docs, buckets, ["rep"])
+    few, many = few.select("p.rep", F.col("q.rep").alias("b")).toDF("a", "b"), many.select("grp", F.col("p.rep").alias("doc_id"))
+    node_of = sets.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    same = sets.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # only rows that repeat an id add links
     star = many.join(many.groupBy("grp").agg(F.min("doc_id").alias("a")), "grp").select("a", F.col("doc_id").alias("b"))
-    few = stored(few.where("a <> b").distinct(), "few")
     star = star.where("a <> b").distinct()
 
     ids = few.select(F.col("a").alias("doc_id")).union(few.select("b")).union(star.select("a")).union(many.select("doc_id")).distinct()
@@ -339,3 +348,113 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     comp = components(edges.union(_verified(rest, texts)))
     out = about.join(node_of, "doc_id", "left").join(comp, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+# --------------------------------------------------------------------------- all links
+def _fingerprint(h: np.ndarray) -> bytes:
+    return np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h)) + _U(len(h))], np.uint64).tobytes()
+
+
+LINK = "a long, fa binary, b long, fb binary"
+
+
+def _verified_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (p, q) of sets that are linked, as LINK; of a doc_id with several texts the one with the set's fingerprint counts."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last = zstandard.ZstdDecompressor(), (None, None, None)
+        for b in small_batches(batches):
+            keep = []
+            for fa, fb, x, y in zip(*(b.column(c).to_pylist() for c in (1, 3, 4, 5)), strict=True):
+                if last[0] != x:
+                    h = shingle_hashes(unpack.decompress(x).decode())
+                    last = (x, h, _fingerprint(h))
+                other = shingle_hashes(unpack.decompress(y).decode())
+                keep.append(last[2] == fa and _fingerprint(other) == fb and _linked(last[1], other))
+            yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    flat = pairs.select(F.col("p.rep").alias("a"), F.col("p.fp").alias("fa"), F.col("q.rep").alias("b"), F.col("q.fp").alias("fb"))
+    x = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("x"))
+    y = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("y"))
+    return flat.join(y, "b").join(x, "a").select("a", "fa", "b", "fb", "x", "y").mapInArrow(test, LINK)
+
+
+def _shared(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another, ``width`` shingles at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
+    out = np.zeros((len(one), len(two)), np.int64)
+    at = [[np.flatnonzero(np.isin(both, h, assume_unique=True)) for h in side] for side in (one, two)]
+    for x in range(0, len(both), width):
+        parts = []
+        for side in at:
+            m = np.zeros((len(side), width), np.float32)
+            for k, i in enumerate(side):
+                lo, hi = np.searchsorted(i, (x, x + width))
+                m[k, i[lo:hi] - x] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _crowd_links(many: DataFrame, texts: DataFrame) -> DataFrame:
+    """All linked pairs of sets of one large group, as LINK; blocks of at most about TILE sets or TILE_BYTES of packed text meet as tiles."""
+    rows = many.select("grp", F.col("p.rep").alias("doc_id"), F.col("p.fp").alias("fp")).join(texts, "doc_id")
+    size = rows.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("z")) / TILE_BYTES)).cast("long").alias("blocks"))
+    rows = rows.join(size, "grp").withColumn("blk", F.pmod(F.xxhash64("fp"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    tiles = rows.withColumn("o", other).select("grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "doc_id", "fp", "z", "blk")
+
+    def tile(f: pd.DataFrame) -> pd.DataFrame:
+        unpack, sides = zstandard.ZstdDecompressor(), {}
+        for d, fp, z, blk in zip(f["doc_id"], f["fp"], f["z"], f["blk"], strict=True):
+            h = shingle_hashes(unpack.decompress(z).decode())
+            if _fingerprint(h) == bytes(fp):
+                sides.setdefault(int(blk), {})[(int(d), bytes(fp))] = h
+        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
+        one, two = (list(sides.get(k, {}).items()) for k in (i, j))
+        if not one or not two:
+            return pd.DataFrame(columns=["a", "fa", "b", "fb"])
+        both = _shared([h for _, h in one], [h for _, h in two])
+        n, m = (np.array([len(h) for _, h in side]) for side in (one, two))
+        hit = (both > 0) & (100 * both >= 75 * (n[:, None] + m[None, :] - both))
+        found = [(*min(one[x][0], two[y][0]), *max(one[x][0], two[y][0])) for x, y in np.argwhere(np.triu(hit, 1) if i == j else hit)]
+        return pd.DataFrame(found, columns=["a", "fa", "b", "fb"])
+
+    return tiles.groupBy("grp", "i", "j").applyInPandas(tile, LINK)
+
+
+def _all_links(docs: DataFrame, buckets: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    about, sets, few, many = _candidates(docs, buckets, ["rep", "fp"])
+    p = sets.select(F.struct("rep", "fp").alias("p")).distinct()
+    twice = p.groupBy("p.rep").count().where("count > 1").select("rep")
+    p = p.join(twice, F.col("p.rep") == F.col("rep")).select("rep", "p")  # sets of one representative, where a doc_id has several
+    few = few.union(p.join(p.withColumnRenamed("p", "q"), "rep").where("p < q").select("p", "q")).distinct()
+    ids = few.select(F.col("p.rep").alias("doc_id")).union(few.select("q.rep")).union(many.select("p.rep")).distinct()
+    texts = _texts(docs.select("doc_id", "text"), ids)
+    return about, sets, stored(_verified_sets(few, texts).union(_crowd_links(many, texts)).distinct(), "links")
+
+
+def jaccard_links(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The join: all links (a, fa, b, fb) between different sets, each named by its smallest doc_id and its fingerprint, once; and the
+    membership (doc_id, rep, fp) of documents in sets, as documents with equal sets are linked too."""
+    _, sets, links = _all_links(docs, buckets)
+    return links, sets
+
+
+def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``near_duplicates`` and n_links: to how many other doc_ids the row's document is linked. Every link is verified. Its work grows with
+    the number of links, in a large family with the square of its different texts."""
+    about, sets, links = _all_links(docs, buckets)
+    node_of = sets.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.count("*").alias("k"), F.min("fp").alias("f"))
+    # Documents of one set only share that set's count; one of several sets has its own, over the union of what they reach.
+    node_of = node_of.withColumn("key", F.when(F.col("k") == 1, F.col("f")).otherwise(F.encode(F.lpad(F.col("doc_id").cast("string"), 24, " "), "utf-8"))).drop("f")
+    member = stored(sets.drop("rep").join(node_of, "doc_id"), "members")
+    near = links.select(F.col("fa").alias("fp"), F.col("fb").alias("to")).union(links.select("fb", "fa")).union(sets.select("fp", "fp").distinct())
+    reach = stored(member.select("key", "fp").distinct().join(near, "fp").select("key", F.col("to").alias("fp")).distinct(), "reach")
+    ones = member.where("k = 1").groupBy("fp").agg(F.count("*").alias("n"))
+    ones = reach.join(ones, "fp").groupBy("key").agg(F.sum("n").alias("n_one"))
+    more = reach.join(member.where("k > 1").select("fp", "doc_id"), "fp").groupBy("key").agg(F.countDistinct("doc_id").alias("n_more"))
+    comp = components(links.select("a", "b").union(sets.select("rep", "doc_id")))
+    out = about.join(node_of, "doc_id", "left").join(comp, F.col("rep") == F.col("node"), "left").join(ones, "key", "left").join(more, "key", "left")
+    n = F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.coalesce("n_one", F.lit(0)) + F.coalesce("n_more", F.lit(0)) - 1)
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), n.cast("long").alias("n_links"))

@@ -134,6 +134,43 @@ def test_near_duplicates(docs, few, monkeypatch):
     assert got == brute_links([tuple(r) for r in docs.collect()])
 
 
+def brute_pairs(rows):
+    """Number of linked other doc_ids of every doc_id, and linked pairs of different sets."""
+    sets = defaultdict(set)
+    for d, t, *_ in rows:
+        w = [x.decode() for x in (t or "").encode().lower().split()]
+        s = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+        if d is not None and s:
+            sets[s].add(d)
+    near, pairs, all_ = defaultdict(set), 0, list(sets)
+    for i, s in enumerate(all_):
+        for t in all_[: i + 1]:
+            if 100 * len(s & t) >= 75 * len(s | t):
+                pairs += s != t
+                for x in sets[s]:
+                    near[x] |= sets[t]
+                for x in sets[t]:
+                    near[x] |= sets[s]
+    return {d: len(v - {d}) for d, v in near.items()}, pairs
+
+
+@pytest.mark.parametrize("few", [8, 2])
+def test_all_links(spark, docs, few, monkeypatch):
+    """Every link is found and counted, repeated doc_ids with other texts included."""
+    monkeypatch.setattr(shingle_join, "FEW", few)
+    monkeypatch.setattr(shingle_join, "TILE", 4)
+    rows = [tuple(r)[:2] for r in docs.collect()]
+    texts = [t for _, t in rows if t and len(t) > 300]
+    rows += [(rows[k][0], texts[k]) for k in range(0, 40, 3)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    links, pairs = brute_pairs(rows)
+    got = shingle_join.jaccard_join(many).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["n_links"]) for r in got} == {(d, links.get(d, 0)) for d, _ in rows}
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in shingle_join.near_duplicates(many).collect())
+    found, _ = shingle_join.jaccard_links(many)
+    assert found.count() == found.distinct().count() == pairs > 400
+
+
 def test_sketch_guarantee():
     """Linked sets share at least as many non-empty words, in the scheme of the larger, as either guarantees."""
     rng = np.random.default_rng(4)
