@@ -408,7 +408,7 @@ def wgt7(spark, d):
 @query("wgt8_sequential_bootstrap")
 def wgt8(spark, d):
     b = bars(spark, d)
-    return W.sequential_bootstrap(b, tb_events(b), max_events=50, trials=2).select("instrument", "window", "trial", "draw", T0())
+    return W.sequential_bootstrap(b, tb_events(b), trials=2).select("instrument", "window", "trial", "draw", T0())
 
 
 @query("wgt9_bootstrap_comparison")

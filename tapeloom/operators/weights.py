@@ -101,6 +101,35 @@ def _draws(lo: np.ndarray, hi: np.ndarray, n: int, rng: np.random.Generator, seq
     return picks
 
 
+def _draws_by_blocks(lo: np.ndarray, hi: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` draws over all events (sorted by ``lo``), each by its mean 1/(c+1) given all draws before. The block is chosen by its
+    total and the event inside it; a draw changes only events that overlap it, and the totals of their blocks."""
+    size = max(1, int(len(lo) ** 0.5))
+    count = np.zeros(int(hi.max()) + 1, np.int64)
+    reach = np.maximum.accumulate(hi)
+    u = (hi >= lo).astype(float)  # an event between two bars has no bar and is never drawn
+    if not u.any():
+        return np.empty(0, np.int64)
+    edges = np.arange(0, len(lo), size)
+    total = np.add.reduceat(u, edges)
+    picks = np.empty(n, np.int64)
+    for i in range(n):
+        cum = np.cumsum(total)
+        x = rng.random() * cum[-1]
+        b = min(int(np.searchsorted(cum, x, side="right")), len(cum) - 1)
+        inside = np.cumsum(u[b * size : (b + 1) * size])
+        k = b * size + min(int(np.searchsorted(inside, x - (cum[b - 1] if b else 0.0), side="right")), len(inside) - 1)
+        picks[i] = k
+        count[lo[k] : hi[k] + 1] += 1
+        first, last = int(np.searchsorted(reach, lo[k])), int(np.searchsorted(lo, hi[k], side="right"))
+        base = lo[first]
+        sums = np.concatenate([[0.0], np.cumsum(1.0 / (count[base : reach[last - 1] + 1] + 1.0))])
+        u[first:last] = (sums[hi[first:last] + 1 - base] - sums[lo[first:last] - base]) / np.maximum(hi[first:last] - lo[first:last] + 1, 1)
+        for c in range(first // size, (last - 1) // size + 1):
+            total[c] = u[c * size : (c + 1) * size].sum()
+    return picks
+
+
 def _mean_uniqueness(lo: np.ndarray, hi: np.ndarray, picks: np.ndarray) -> float:
     count = np.zeros(int(hi.max()) + 2)
     np.add.at(count, lo[picks], 1)
@@ -110,11 +139,11 @@ def _mean_uniqueness(lo: np.ndarray, hi: np.ndarray, picks: np.ndarray) -> float
     return float(np.mean((cum[hi[picks] + 1] - cum[lo[picks]]) / (hi[picks] - lo[picks] + 1)))
 
 
-def _bootstrap_groups(bars: DataFrame, events: DataFrame, max_events: int, trials: int) -> DataFrame:
-    """(instrument, window, trial) groups of at most ``max_events`` consecutive events."""
+def _bootstrap_groups(bars: DataFrame, events: DataFrame, max_events: int | None, trials: int) -> DataFrame:
+    """(instrument, window, trial) groups of at most ``max_events`` consecutive events, or window 0 with all of them."""
     spans = position(locate(bars, events).select(*KEYS, "t0", "p0", "p1"), ["t0", "p1"])
     return (
-        spans.withColumn("window", F.floor(F.col("pos") / max_events).cast("long"))
+        spans.withColumn("window", F.floor(F.col("pos") / max_events).cast("long") if max_events else F.lit(0).cast("long"))
         .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
         .drop("pos")
     )
@@ -126,16 +155,17 @@ def _seed(pdf: pd.DataFrame, seed: int) -> np.random.Generator:
 
 
 def sequential_bootstrap(
-    bars: DataFrame, events: DataFrame, *, max_events: int = 200, trials: int = 1, length: int | None = None, seed: int = 7
+    bars: DataFrame, events: DataFrame, *, max_events: int | None = None, trials: int = 1, length: int | None = None, seed: int = 7
 ) -> DataFrame:
-    """Draws in order for every window and trial; all windows of all instruments run in parallel."""
+    """Draws in order over all events of an instrument, each given all draws before it, so one task per instrument and trial. With
+    ``max_events``, windows of so many consecutive events are drawn on their own instead."""
     schema = T.StructType.fromDDL("instrument string, window long, trial int, draw int, t0 timestamp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t0", "p1"], ignore_index=True)
         base = pdf["p0"].min()
         lo, hi = (pdf["p0"] - base).to_numpy(), (pdf["p1"] - base).to_numpy()
-        picks = _draws(lo, hi, length or len(pdf), _seed(pdf, seed), True)
+        picks = _draws_by_blocks(lo, hi, length or len(pdf), _seed(pdf, seed))
         return pd.DataFrame(
             {
                 "instrument": pdf["instrument"].iloc[0],

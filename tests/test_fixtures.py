@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import statistics
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,24 @@ def test_bootstrap_prefers_unique(spark):
     assert out.mean_seq > out.mean_std
 
 
+def test_bootstrap_draws_over_the_whole_series(spark):
+    """Every draw follows the probabilities given all draws before it, over all events of the series."""
+    rng = np.random.default_rng(3)
+    lo = np.sort(rng.integers(0, 900, 300))
+    hi = lo + rng.integers(0, 40, 300)
+    count, u01, want = np.zeros(hi.max() + 1), np.random.default_rng(5), []
+    for _ in range(300):
+        p = np.array([np.mean(1 / (count[a : b + 1] + 1)) for a, b in zip(lo, hi)])
+        k = int(np.searchsorted(np.cumsum(p), u01.random() * p.sum(), side="right"))
+        want.append(k)
+        count[lo[k] : hi[k] + 1] += 1
+    assert weights._draws_by_blocks(lo, hi, 300, np.random.default_rng(5)).tolist() == want
+    b = series(spark, [100.0] * 1000)
+    ev = spark.createDataFrame([("a", T0 + dt.timedelta(days=int(x)), T0 + dt.timedelta(days=int(y))) for x, y in zip(lo, hi)], "instrument string, t0 timestamp, t1 timestamp")
+    got = weights.sequential_bootstrap(b, ev, trials=2).groupBy("window", "trial").agg(F.count("*"), F.max("draw")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 300, 299), (0, 1, 300, 299)]
+
+
 def test_fracdiff_weights(spark):
     assert list(fracdiff.weights(0.4, 5)) == [approx(v) for v in (1, -0.4, -0.12, -0.064, -0.0416)]
     w = fracdiff.weights_until(0.4, 0.05)
