@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat_format, chunk_bpe, language_id, line_crf, packing, quality_score, records, shingle_join, suffix_dedup, top_k
+from tapeloom.llm import chat_format, chunk_bpe, collocations, divergence, language_id, line_crf, line_dedup, packing, quality_score, records, shingle_join, suffix_dedup, top_k
 from tapeloom.llm.common import bounded_batches, bucket_of, read
 
 QUERIES, ORACLES = {}, {}
@@ -125,7 +125,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_LINKS_SQL = OP2_SQL.removesuffix(" FROM s") + ", (SELECT count(DISTINCT b) FROM l WHERE l.a = s.doc_id) AS n_links FROM s"
 
 
-@query("op2_jaccard_links", OP2_LINKS_SQL)
+@query("jaccard_links", OP2_LINKS_SQL)
 def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -139,3 +139,78 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.without_repeats(docs, keep_text=False)
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest(flatten([[w[i:i+k-1] FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 6)])) AS g FROM w WHERE len(w) > 0),
+c AS (SELECT lang, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+cut AS (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM c WHERE len(g) > 1),
+s AS (
+  SELECT cut.lang, cut.g, cut.f AS a, k, x.f AS l, y.f AS r, n.n, 1000 * cut.f * n.n // (x.f * y.f) AS score
+  FROM cut JOIN c x ON x.lang = cut.lang AND x.g = cut.g[:k] JOIN c y ON y.lang = cut.lang AND y.g = cut.g[k+1:] JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, unnest(flatten([[g[i:i+m-1] FOR i IN range(1, len(g) - m + 2)] FOR m IN range(2, len(g))])) AS g, f FROM c WHERE len(g) > 2)
+SELECT b.lang, row_number() OVER o AS rank, array_to_string(b.g, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.g = b.g AND i.f >= b.a)
+WINDOW o AS (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.g, ' ')) QUALIFY row_number() OVER o <= 2000"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT d, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT gn.lang, gn.source, kept.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 1) // (gn.n + v.v) AS p
+  FROM gn JOIN v ON v.lang = gn.lang JOIN kept ON kept.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+lc AS (SELECT lang, term, sum(c)::HUGEINT AS c, sum(sum(c)) OVER (PARTITION BY lang)::HUGEINT AS n FROM c GROUP BY lang, term),
+lp AS (SELECT lc.lang, term, 1 + 1000000000 * (c + 1) // (n + v) AS q FROM lc JOIN v ON v.lang = lc.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(max(f), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN lp ON lp.lang = p.lang AND lp.term = p.term WHERE c > 0 AND p > q),
+both_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER o AS INTEGER) AS rank FROM both_
+WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER o <= 200"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k, len(ls) AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, coalesce(k.doc_id <> c.keeper, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query("op13_line_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
