@@ -1,12 +1,19 @@
 """Quality rules with line labels: a linear-chain conditional random field marks each line as content or boilerplate.
 
-Lines are split at line feeds; a line's features are shares of byte kinds, repetition and length. Weights come from a bounded
-sample of labelled documents (``SAMPLE`` rows, ``TRAIN_LINES`` lines each; every line of a good document is content, of a bad one
-boilerplate), by gradient steps on the conditional likelihood. Viterbi decoding labels all lines of every text; a document is
-kept when content lines hold at least ``KEEP_SHARE`` of its words and the base rules pass.
+Lines are split at line feeds; a line's features are shares of byte kinds, repetition and length. Labels are known for documents only, so
+line labels are latent: lines of good documents are content; lines of a bad document are whatever the model holds for most
+likely, under the constraint that the document is bad, i.e. that boilerplate lines have more than ``1 - KEEP_SHARE`` of its words.
+Weights of features and of transitions are learned in ``ROUNDS`` rounds: the first without transitions from bad documents as a whole,
+then each from the line labels that the last model and the constraint give, by quasi-Newton steps on the conditional likelihood.
+Viterbi decoding labels all lines of every text; a document is kept when content lines hold at least ``KEEP_SHARE`` of its
+words and the base rules pass.
+
+Learned from: ``SAMPLE`` labelled doc_ids in order of the id's hash, one row each, and of each at most ``TRAIN_LINES`` lines, a run that
+begins where the id's hash says. Everything else covers all rows and whole texts.
 
 Nulls: a null text has no words and fails the base rules; null labels or ids teach nothing. Without both classes all lines are
-content. Repeated rows each get their row. Extra columns stay; an empty table gives no rows.
+content. Repeated rows each get their row; of rows that repeat a labelled doc_id one (by the text's hash) teaches. Ties between labels go to
+content. Extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.common import small_batches
 
-SAMPLE, TRAIN_LINES, KEEP_SHARE = 4_000, 64, 0.5
+SAMPLE, TRAIN_LINES, KEEP_SHARE, ROUNDS = 4_000, 256, 0.5, 4
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 #: Continuation bytes of UTF-8 and white space: what is left after their removal is one byte per code point in words.
@@ -36,7 +43,7 @@ _KIND[[c for c in range(33, 48)] + [*range(58, 65), *range(91, 97), *range(123,
 _KIND[list(SYMBOLS)] = 3
 _KIND[list(b".,;:?")] = 4
 _KIND[[0x20, *range(0x09, 0x0E)]] = 5
-N_FEATURES = 15
+N_FEATURES = 16
 
 
 def repeat_words(words: list[bytes], width: int = _WINDOW) -> int:
@@ -48,8 +55,9 @@ def repeat_words(words: list[bytes], width: int = _WINDOW) -> int:
     ids = np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, n)
     key = ids[: n - width + 1]
     for i in range(1, width):
-        key = np.unique(key, return_inverse=True)[1] * len(table) if key.max(initial=0) * len(table) > 1 << 61 else key * len(table)
-        key = key + ids[i : n - width + 1 + i]
+        if int(key.max()) >= (1 << 62) // len(table):  # the next product would not fit
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * len(table) + ids[i : n - width + 1 + i]
     _, at, count = np.unique(key, return_inverse=True, return_counts=True)
     twice = np.flatnonzero(count[at] > 1)
     if not len(twice):
@@ -77,8 +85,10 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     kinds = _KIND[np.frombuffer(text, np.uint8)]
     owner = np.repeat(np.arange(len(lines)), lengths + 1)[: len(kinds)]
     counts = np.bincount(owner * 8 + kinds, minlength=8 * len(lines)).reshape(-1, 8)[: len(lines)].astype(float)
-    words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
-    different = np.fromiter((len(set(x.split())) for x in lines), np.int64, len(lines))
+    split = [x.split() for x in lines]
+    words = np.fromiter(map(len, split), np.int64, len(lines))
+    different = np.fromiter((len(set(x)) for x in split), np.int64, len(lines))
+    pairs = np.fromiter((len(set(zip(x, x[1:], strict=False))) for x in split), np.int64, len(lines))
     seen: set[bytes] = set()
     again = np.fromiter(((x in seen) or bool(seen.add(x)) for x in lines), bool, len(lines))
     marks = counts[:, :5].sum(1) + counts[:, 6] + counts[:, 7] + 1
@@ -87,43 +97,125 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         np.ones(len(lines)), counts[:, 1] / marks, np.minimum(counts[:, 1] / w, 4) / 4, counts[:, 2] / marks, counts[:, 3] / marks,
         np.minimum(counts[:, 3] / w, 2), np.minimum(counts[:, 4] / w, 1), counts[:, 7] / marks, np.minimum(counts[:, 7] / w, 2),
         different / w, np.log1p(words) / 5, words == 0, again & (words > 0), counts[:, 1] > 0.5 * marks, counts[:, 3] > 0.25 * w,
+        (np.maximum(words - 1, 0) - pairs) / w,
     ))
     return out, words
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 250, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of ``content`` against ``boilerplate`` and the 2 x 2 transition scores, by Adam on the mean log-likelihood per line."""
-    n, longest = len(sequences), max(len(x) for x, _ in sequences)
-    x, mask, y = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), bool), np.zeros((n, longest), int)
-    for i, (f, label) in enumerate(sequences):
-        x[i, : len(f)], mask[i, : len(f)], y[i, : len(f)] = f, True, label
-    classes = np.array([mask[y == 0].sum(), mask[y == 1].sum()], float)
-    weigh = (mask / np.maximum(1, classes)[y]) / 2  # both classes count alike
-    by_doc = weigh.sum(1) / np.maximum(1, mask.sum(1))
-    w, t = np.zeros(N_FEATURES), np.zeros((2, 2))
-    moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(t), np.zeros_like(t)]]
-    lse = lambda a, axis: np.log(np.exp(a - (m := a.max(axis, keepdims=True))).sum(axis)) + np.squeeze(m, axis)
-    for step in range(1, steps + 1):
-        e = np.stack((np.zeros((n, longest)), x @ w), 2)
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, longest):
-            alpha[:, k] = np.where(mask[:, k, None], lse(alpha[:, k - 1, :, None] + t, 1) + e[:, k], alpha[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            beta[:, k] = np.where(mask[:, k + 1, None], lse(t + (e[:, k + 1] + beta[:, k + 1])[:, None, :], 2), 0)
-        total = lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - total[:, None, None])[:, :, 1] * mask
-        gw = np.einsum("ij,ijk->k", ((y == 1) - p) * mask * by_doc[:, None], x) - ridge * w
-        gt = -ridge * t
-        for k in range(1, longest):
-            pair = np.exp(alpha[:, k - 1, :, None] + t + (e[:, k] + beta[:, k])[:, None, :] - total[:, None, None])
-            real = np.zeros_like(pair)
-            real[np.arange(n), y[:, k - 1], y[:, k]] = 1
-            gt = gt + ((real - pair) * (mask[:, k] * by_doc)[:, None, None]).sum(0)
-        for value, grad, m in ((w, gw, moments[0]), (t, gt, moments[1])):
-            m[0][...] = 0.9 * m[0] + 0.1 * grad
-            m[1][...] = 0.99 * m[1] + 0.01 * grad**2
-            value += rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+class Chains:
+    """Lines of many documents, laid out by place: all first lines, then all second lines of those that have one, and so on."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        self.order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        self.lengths = np.array([len(sequences[i]) for i in self.order])
+        self.active = [int((self.lengths > k).sum()) for k in range(self.lengths.max(initial=0))]
+        self.start = np.concatenate(([0], np.cumsum(self.active))).astype(int)
+        self.at = np.concatenate([self.start[: n] + r for r, n in enumerate(self.lengths)])  # place of each line, document by document
+        self.x = self.spread(np.concatenate([sequences[i] for i in self.order]))
+
+    def spread(self, by_document: np.ndarray) -> np.ndarray:
+        out = np.empty_like(by_document)
+        out[self.at] = by_document
+        return out
+
+    def marginals(self, score: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Log of the sum over all labellings (per document), probability of content per line and of each transition per line."""
+        top, n = len(self.active), self.active[0]
+        alpha, beta = np.zeros((len(score), 2)), np.zeros((len(score), 2))
+        lines = [slice(self.start[k], self.start[k + 1]) for k in range(top)]
+        e = np.column_stack((np.zeros(len(score)), score))
+        alpha[lines[0]] = e[lines[0]]
+        for k in range(1, top):
+            before = alpha[lines[k - 1]][: self.active[k]]
+            alpha[lines[k]] = np.logaddexp(before[:, :1] + t[0], before[:, 1:] + t[1]) + e[lines[k]]
+        for k in range(top - 1, 0, -1):
+            after = e[lines[k]] + beta[lines[k]]
+            beta[lines[k - 1]][: self.active[k]] = np.logaddexp(after[:, :1] + t[:, 0], after[:, 1:] + t[:, 1])
+        total = np.logaddexp(*(alpha[: n] + beta[: n]).T)
+        mine = np.concatenate([total[:m] for m in self.active])
+        p = np.exp(alpha[:, 1] + beta[:, 1] - mine)
+        pairs = np.zeros((len(score), 2, 2))
+        for k in range(1, top):
+            m = self.active[k]
+            pairs[lines[k]] = np.exp(alpha[lines[k - 1]][:m, :, None] + t + (e[lines[k]] + beta[lines[k]])[:, None, :] - total[:m, None, None])
+        return total, p, pairs, e
+
+
+def _minimum(f, v: np.ndarray, steps: int) -> np.ndarray:
+    """Quasi-Newton steps (BFGS) with backtracking; ``f`` gives value and gradient."""
+    value, grad = f(v)
+    inverse = np.eye(len(v))
+    for _ in range(steps):
+        move = -inverse @ grad
+        slope = float(grad @ move)
+        if slope > -1e-10:
+            break
+        rate = min(1.0, 4.0 / (np.abs(move).max() + 1e-12))
+        while (new := f(v + rate * move))[0] > value + 1e-4 * rate * slope and rate > 1e-6:
+            rate /= 2
+        s, y = rate * move, new[1] - grad
+        if (sy := float(s @ y)) > 1e-12:
+            left = np.eye(len(v)) - np.outer(s, y) / sy
+            inverse = left @ inverse @ left.T + np.outer(s, s) / sy
+        done = value - new[0] < 1e-7
+        v, (value, grad) = v + s, new
+        if done:
+            break
+    return v
+
+
+def _weights(chains: Chains, labels: np.ndarray, linked: bool, start: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """Feature weights and transition scores for given line labels; both labels count alike."""
+    x, k = chains.x, chains.x.shape[1]
+    share = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    weight = 0.5 / np.maximum(1, share)[labels]
+    top, n = len(chains.active), chains.active[0]
+    by_doc = np.zeros(n)
+    for j in range(top):
+        by_doc[: chains.active[j]] += weight[chains.start[j] : chains.start[j + 1]]
+    by_doc /= chains.lengths
+    line = np.concatenate([by_doc[:m] for m in chains.active])
+    before = np.concatenate([np.zeros(n, int), *(chains.start[j - 1] + np.arange(chains.active[j]) for j in range(1, top))])
+    real = np.zeros((2, 2))
+    np.add.at(real, (labels[before[n:]], labels[n:]), line[n:])
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w, t = v[:k], v[k:].reshape(2, 2)
+        if not linked:
+            score = x @ w
+            p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            fit = (weight * (np.logaddexp(0, score) - labels * score)).sum()
+            return fit + ridge * (w @ w) / 2, np.concatenate((x.T @ (weight * (p - labels)) + ridge * w, np.zeros(4)))
+        score = x @ w
+        total, p, pairs, _ = chains.marginals(score, t)
+        fit = by_doc @ total - (line * labels * score).sum() - (real * t).sum()
+        return fit + ridge * (v @ v) / 2, np.concatenate((x.T @ (line * (p - labels)), ((line[:, None, None] * pairs).sum(0) - real).ravel())) + ridge * v
+
+    return _minimum(loss, start, steps)
+
+
+def line_labels(score: np.ndarray, words: np.ndarray, t: np.ndarray, keep_share: float = KEEP_SHARE) -> np.ndarray:
+    """Most likely labels of a bad document's lines (True: content); then the lines likeliest to be boilerplate are that too, until
+    content has less than ``keep_share`` of the words."""
+    content = viterbi(score, t)
+    order = np.argsort(score, kind="stable")
+    order = order[content[order]]
+    over = words[content].sum() - np.concatenate(([0], np.cumsum(words[order])))
+    content[order[: int((over >= max(keep_share * words.sum(), 1e-9)).sum())]] = False
+    return content
+
+
+def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS, ridge: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of ``content`` against ``boilerplate`` and the 2 x 2 transition scores from (line features, line words, quality)."""
+    documents = [d for d in documents if len(d[0])]
+    chains = Chains([f for f, _, _ in documents])
+    documents = [documents[i] for i in chains.order]
+    labels = [np.full(len(f), q == 1) for f, _, q in documents]
+    v = np.zeros(N_FEATURES + 4)
+    for r in range(rounds):
+        v = _weights(chains, chains.spread(np.concatenate(labels)).astype(int), r > 0, v, ridge, steps)
+        w, t = v[:N_FEATURES], v[N_FEATURES:].reshape(2, 2)
+        labels = [old if q else line_labels(f @ w, words, t) for (f, words, q), old in zip(documents, labels, strict=True)]
     return w, t
 
 
@@ -148,16 +240,21 @@ def viterbi(score: np.ndarray, t: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    lines = F.array_join(F.slice(F.split("text", "\n"), 1, TRAIN_LINES), "\n")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)  # ``sample`` rows at most
+    lines = F.split("text", "\n")
+    room = F.greatest(F.size(lines) - TRAIN_LINES, F.lit(0)) + 1
+    run = F.array_join(F.slice(lines, (F.pmod(F.xxhash64("doc_id", F.lit(3)), room) + 1).cast("int"), TRAIN_LINES), "\n")
+    rows = docs.where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", run.alias("text"))  # ``sample`` ids at most
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "quality")).alias("x")).select("doc_id", "x.quality", "x.text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "quality": b.column(1).cast("int32"), "f": [line_features(t)[0].astype("<f4").tobytes() for t in b.column(2).to_pylist()]})
+            told = [line_features(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "quality": b.column(1), "f": [f.astype("<f4").tobytes() for f, _ in told], "words": [w.astype("<i4").tobytes() for _, w in told]})
 
-    got = rows.select("doc_id", F.col("quality").cast("int"), lines.cast("binary")).mapInArrow(measured, "doc_id long, quality int, f binary").collect()
-    seqs = [(np.frombuffer(r["f"], "<f4").reshape(-1, N_FEATURES).astype(float), r["quality"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["f"]))]
-    return fit(seqs) if len({q for _, q in seqs}) == 2 else None
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.select("doc_id", F.col("quality").cast("int"), F.col("text").cast("binary")).mapInArrow(measured, f"doc_id {kind}, quality int, f binary, words binary").collect()
+    seqs = [(np.frombuffer(r["f"], "<f4").reshape(-1, N_FEATURES).astype(float), np.frombuffer(r["words"], "<i4"), r["quality"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+    return fit(seqs) if len({q for _, _, q in seqs}) == 2 else None
 
 
 def content_share(text: bytes, model: tuple[np.ndarray, np.ndarray] | None) -> float:
