@@ -29,7 +29,7 @@ def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
 
 
 def raw_dictionary(parts: Iterable[bytes], size: int = DICT_BYTES) -> bytes:
-    """The parts one after another, up to ``size`` bytes; later content is cheaper to refer to, so order does not matter much."""
+    """The parts one after another, up to ``size`` bytes; the caller gives them in order of a hash, so that no ids are favoured."""
     return b"\n".join(parts)[:size]
 
 
