@@ -1,7 +1,7 @@
 """Language by compression: the language whose dictionary makes the text smallest.
 
-A dictionary per language holds windows of a bounded sample of labelled texts (``PER_LANGUAGE`` documents). Letters are
-lowered first. A text is compressed in consecutive blocks of ``BLOCK`` bytes, each against every dictionary, and the sizes of its
+A dictionary per language holds windows (512 code points) of a bounded sample of labelled texts: the ``PER_LANGUAGE`` documents of the
+smallest hashes of doc_id, in that order, up to ``DICT_BYTES`` bytes. Letters are lowered first. A text is compressed in consecutive blocks of ``BLOCK`` bytes, each against every dictionary, and the sizes of its
 blocks are added: what a dictionary saves is then a share of the text and not a fixed number of bytes. The score is how much smaller
 the text gets than under the second-best dictionary, as a share of that; a document is rejected when the score is under
 ``MIN_MARGIN`` or its text has no letter.
@@ -36,7 +36,7 @@ def learn(docs: DataFrame, fold: int = 2, folds: int = 4, per_language: int = PE
     names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     windows = sampled(rows.select("doc_id", "lang", F.lower(text_window(F.col("text"), F.col("doc_id"))).alias("w")), "lang", "doc_id", per_language)
     parts: dict[str, list[bytes]] = {n: [] for n in names}
-    for r in windows.orderBy("lang", "doc_id", "w").collect():
+    for r in windows.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "w").collect():
         parts[r["lang"]].append(r["w"].encode())
     return {n: raw_dictionary(p, DICT_BYTES) for n, p in parts.items()}
 
