@@ -248,6 +248,31 @@ def test_quality(spark, none):
     assert quality_score.with_quality(none, quality_score.learn(none, labels)).count() == 0
 
 
+def test_quality_of_long_texts(spark):
+    """The score follows what a text is made of and not its length: 1 KB, 100 KB and 10 MB."""
+    rng = random.Random(13)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    good = lambda k: " ".join(rng.choices(pool, k=k))
+    bad = lambda k: " ".join(w.upper() + "$$$" for w in rng.choices(pool, k=k))
+    rows = [(i, (bad if i % 3 == 0 else good)(rng.choice([5, 40, 300])), 0 if i % 3 == 0 else 1) for i in range(900)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality_score.learn(df, labels)
+    long = {}
+    for k, f in enumerate((good, bad)):
+        for j, n in enumerate((1_000, 100_000, 10_000_000)):
+            page = f(150_000 if n > 1e6 else 15_000)
+            long[10 * k + j] = (page * (1 + n // len(page)))[:n]
+    got = {r["doc_id"]: r for r in quality_score.with_quality(spark.createDataFrame(list(long.items()), "doc_id long, text string"), model).collect()}
+    assert all(got[j]["score"] > 0.9 and got[10 + j]["score"] < 0.1 for j in range(3))
+    assert abs(got[1]["score"] - got[2]["score"]) < 0.02 and abs(got[11]["score"] - got[12]["score"]) < 0.02
+    # ties, and a labelled doc_id that many rows repeat
+    twice = quality_score.with_quality(df.union(df), model).groupBy("doc_id").agg(F.countDistinct("score").alias("n"))
+    assert twice.where("n > 1").count() == 0
+    again = df.unionByName(spark.createDataFrame([(1, t) for _, t, _ in rows], "doc_id long, text string"))
+    assert quality_score.learn(again, labels)["curve"] is not None
+
+
 # tokens
 
 
@@ -414,6 +439,91 @@ def test_base_rules():
         assert line_crf.repeat_words([x.encode() for x in w]) == len(hit)
 
 
+def brute_repeat_words(w):
+    seen = defaultdict(list)
+    for i in range(len(w) - 4):
+        seen[tuple(w[i : i + 5])].append(i)
+    return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 5)})
+
+
+@pytest.mark.parametrize("vocabulary", [8_192, 32_768, 60_000, 65_536])
+def test_repeat_words_of_large_vocabularies(vocabulary):
+    """Windows that differ in any one word only, however many words a text has."""
+    rng = random.Random(vocabulary)
+    w = [f"w{i}" for i in range(vocabulary)]
+    assert line_crf.repeat_words([x.encode() for x in [*w, w[0], *w[4097:4101]]]) == 0
+    for _ in range(200):
+        a = rng.randrange(vocabulary - 5)
+        tail = w[a : a + 5]
+        if rng.random() < 0.9:
+            tail[rng.randrange(5)] = w[(a + rng.choice([1, 2, 4, 64, 2048, 4096, 8191])) % vocabulary]
+        w += tail
+    assert line_crf.repeat_words([x.encode() for x in w]) == brute_repeat_words(w) > 0
+
+
+def test_chains_equal_enumeration():
+    """Sums over labellings, marginals of lines and of transitions."""
+    rng = np.random.default_rng(2)
+    seqs = [rng.normal(size=(n, 3)) for n in (3, 1, 5, 4)]
+    c, w, t = line_crf.Chains(seqs), rng.normal(size=3), rng.normal(size=(2, 2))
+    total, p, pairs, _ = c.marginals(c.x @ w, t)
+    lines = np.split(c.at, np.cumsum(c.lengths)[:-1])
+    for r, i in enumerate(c.order):
+        n, s = len(seqs[i]), seqs[i] @ w
+        paths = np.array([[b >> k & 1 for k in range(n)] for b in range(1 << n)])
+        weight = np.exp([s @ y + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)) for y in paths])
+        assert total[r] == pytest.approx(np.log(weight.sum()))
+        assert p[lines[r]] == pytest.approx(weight @ paths / weight.sum())
+        for k in range(1, n):
+            both = weight[(paths[:, k - 1] == 1) & (paths[:, k] == 0)].sum() / weight.sum()
+            assert pairs[lines[r][k], 1, 0] == pytest.approx(both)
+
+
+def mixed_corpus(rng, n=600):
+    """Good documents, and bad ones of which some have a few good lines; the labels tell documents only."""
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(400)]
+    good = lambda: words(rng, 12, pool).capitalize() + "."
+    bad = lambda: " ".join(x.upper() + rng.choice(["$$$", "!!", "&&&"]) for x in words(rng, 12, pool).split())
+    rows = []
+    for i in range(n):
+        if i % 4:
+            rows.append((i, "\n".join(good() for _ in range(rng.randint(2, 12))), 1))
+        else:
+            lines = [bad() for _ in range(rng.randint(3, 9))]
+            if i % 8:
+                lines = [good(), *lines, *([good()] if i % 16 == 4 else [])]
+            rows.append((i, "\n".join(lines), 0))
+    return rows, good, bad
+
+
+def test_lines_of_mixed_documents(spark):
+    """Labels of documents are enough to find the bad lines between good ones, wherever they stand."""
+    rng = random.Random(21)
+    rows, good, bad = mixed_corpus(rng)
+    df, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = line_crf.learn(df, labels)
+    assert model[1][0, 1] - model[1][0, 0] > -8 and model[1][1, 0] - model[1][1, 1] > -8  # a change of label has a finite price
+    for _ in range(20):
+        a, b, c = [[f() for _ in range(n)] for f, n in ((good, 6), (bad, 10), (good, 6))]
+        assert line_crf.content_share("\n".join(a + b + c).encode(), model) == pytest.approx(12 / 22, abs=0.03)
+        assert line_crf.content_share("\n".join(a + b + a).encode(), model) == pytest.approx(12 / 22, abs=0.03)
+    held = mixed_corpus(random.Random(22), 200)[0]
+    assert sum((line_crf.content_share(t.encode(), model) >= 0.5) == (q == 1) for _, t, q in held) >= 190
+    # a labelled doc_id that many rows repeat teaches once
+    again = df.unionByName(spark.createDataFrame([(0, t) for _, t, _ in rows] * 3, "doc_id long, text string"))
+    other = line_crf.learn(again, labels)
+    assert np.abs(other[0] - model[0]).max() < 2
+
+
+def test_rules_of_a_long_text():
+    rng = random.Random(5)
+    rows, good, bad = mixed_corpus(rng)
+    model = line_crf.fit([(*line_crf.line_features(t.encode()), q) for _, t, q in rows])
+    text = "\n".join([good() for _ in range(30_000)] + [bad() for _ in range(10_000)]).encode()
+    assert len(text) > 3_000_000 and line_crf.content_share(text, model) == pytest.approx(0.75, abs=0.02)
+    assert line_crf.base_rules(text)[0] == 480_000
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(6)
     for _ in range(60):
