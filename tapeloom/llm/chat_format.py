@@ -82,6 +82,15 @@ def format_turns(turns: DataFrame) -> DataFrame:
     ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
 
+def plain_content(segment: Column) -> Column:
+    """Content of formatted turns with the escapes undone: what ties are ordered by."""
+    out = F.substr(segment, F.locate("\n", segment, len(TURN) + 1) + 1)
+    out = F.substr(out, F.lit(1), F.length(out) - len(END))
+    for i, c in reversed([*enumerate((ESCAPE, *CONTROL))]):
+        out = F.replace(out, F.lit(f"{ESCAPE}{i}"), F.lit(c))
+    return out
+
+
 def parse_segment(segment: str) -> tuple[str, str]:
     """Role and escaped content of one formatted turn."""
     if not (segment.startswith(TURN) and segment.endswith(END)):
@@ -123,7 +132,8 @@ def conversation_facts(formatted: DataFrame) -> DataFrame:
             yield _batch([*done, _facts(now)])
 
     rows = formatted.select("conv_id", "segment", "turn", "role").repartition("conv_id")
-    return rows.sortWithinPartitions("conv_id", "turn", "role", "segment").select("conv_id", "segment").mapInArrow(digest, FACTS)
+    rows = rows.withColumn("plain", plain_content(F.col("segment")))
+    return rows.sortWithinPartitions("conv_id", "turn", "role", "plain", "segment").select("conv_id", "segment").mapInArrow(digest, FACTS)
 
 
 def _facts(x: list) -> tuple:
