@@ -101,8 +101,8 @@ def rate(n: str, total: str, kept: str) -> Column:
 def _shards(classes: DataFrame) -> DataFrame:
     """Run-length columns: a row (lang, shard, source, counts, ends) for each source that occurs in a shard, and one of a
     null source with the shard's length."""
-    order = ["lang", "vector"]
-    dealt = classes.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges by the start of the vector and a hash: Spark samples the keys on the driver, and whole vectors are long
+    dealt = classes.repartitionByRange("lang", F.slice("vector", 1, 2), F.xxhash64("vector")).sortWithinPartitions("lang", "vector")
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, shard = None, 0
