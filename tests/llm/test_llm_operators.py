@@ -93,6 +93,15 @@ def test_chat_parts_and_escapes(spark):
     assert facts[None]["turns_sha256"] == hashlib.sha256(b"a\nb<|end|>\n\n").hexdigest()
 
 
+def test_chat_ties_by_plain_text(spark):
+    """Turns of one number and role are ordered by their text as it came, control strings or not."""
+    texts = ["a", "a b", "<s>a", "a\n", "[INST]", "␛", "<|x", "zz", "", "Ω", "␛1"]
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn int, role string, text string")
+    (got,) = chat_format.conversation_facts(chat_format.format_turns(chat_format.with_text_part(turns))).collect()
+    want = "".join(f"user\n{t}\n" for t in sorted(texts, key=str.encode))
+    assert got["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_chat_unescape_is_inverse(spark):
     rng = random.Random(2)
     bits = ["␛", "<", "|", ">", "[INST]", "</s>", "<s>", "0", "1", "9", "x", "\n", "<<SYS>>"]
@@ -390,6 +399,26 @@ def test_top_k(spark):
     assert top_k.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_on_a_grid(spark, monkeypatch):
+    """Many small cells, vectors of other lengths and repeated ids."""
+    monkeypatch.setattr(top_k, "BLOCK", 8)
+    monkeypatch.setattr(top_k, "SIDE", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in rng.normal(size=3 if i % 9 else 5) * (1e6 if i % 13 == 0 else 1)]) for i in range(300)]
+    rows += [(i, [float(c) for c in rng.normal(size=3)]) for i in range(0, 300, 10)] + [rows[4]] * 3 + [(777, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in top_k.top_k(df, F.col("vec_id") % 5 == 0, 4).collect())
+    whole = {}
+    for i, x in rows:
+        v = [int(np.floor(256 * c)) for c in x]
+        whole[i] = min(whole.get(i, v), v)
+    want = []
+    for q in (i for i in whole if i % 5 == 0):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], x, strict=True)), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:4]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert got == sorted(want)
+
+
 # repeated strings
 
 
