@@ -156,34 +156,35 @@ class CountTransducer:
     def __init__(self) -> None:
         self.states: list[tuple[int, tuple]] = []
         self.register: dict[tuple[int, tuple], int] = {}
-        self.open: list[list] = [[0, 0, []]]  # word, weight and arcs of the states along the last window
-        self.last: tuple = ()
+        self.open: list[tuple[int, int, list]] = [(0, 0, [])]  # word, windows before it, arcs of the states along the last window
+        self.last = np.zeros(0, np.int64)
+        self.seen = 0
 
     def _close(self, depth: int) -> None:
-        while len(self.open) > depth + 1:
-            word, weight, arcs = self.open.pop()
-            state = (weight, tuple(arcs))
-            number = self.register.setdefault(state, len(self.states))
-            if number == len(self.states):
-                self.states.append(state)
-            self.open[-1][2].append((word, number))
-
-    def add(self, window: tuple, times: int) -> None:
-        common = 0
-        for a, b in zip(window, self.last, strict=False):
-            if a != b:
-                break
-            common += 1
-        self._close(common)
-        for word in window[common:]:
-            self.open.append([word, 0, []])
-        for node in self.open:
-            node[1] += times
-        self.last = window
+        states, register, path = self.states, self.register, self.open
+        while len(path) > depth:
+            word, before, arcs = path.pop()
+            state = (self.seen - before, tuple(arcs))
+            number = register.setdefault(state, len(states))
+            if number == len(states):
+                states.append(state)
+            path[-1][2].append((word, number))
+
+    def extend(self, rows: np.ndarray, times: np.ndarray) -> None:
+        """Sorted distinct windows (0 after the last word) that come after all before."""
+        above = np.vstack((np.pad(self.last, (0, rows.shape[1] - len(self.last)))[None], rows[:-1]))
+        common = np.cumprod((rows == above) & (rows > 0), axis=1).sum(axis=1)
+        for row, n, c, t in zip(rows.tolist(), (rows > 0).sum(axis=1).tolist(), common.tolist(), times.tolist(), strict=True):
+            if len(self.open) > c + 1:
+                self._close(c + 1)
+            self.open += [(w, self.seen, []) for w in row[c:n]]
+            self.seen += t
+        if len(rows):
+            self.last = rows[-1]
 
     def finish(self) -> list[tuple[int, int]]:
         """Arcs of the start state."""
-        self._close(0)
+        self._close(1)
         return self.open[0][2]
 
     def below(self, arcs: Iterable[tuple[int, int]], weight: int, words: list[bytes]) -> bytes:
@@ -248,8 +249,7 @@ def shard_rows(ids: np.ndarray, words: list[bytes], hashes: np.ndarray, known: F
         return
     distinct, times = np.unique(rows, axis=0, return_counts=True) if longest * len(named).bit_length() > 126 else _distinct(rows, len(named).bit_length())
     automaton = CountTransducer()
-    for row, c in zip(distinct.tolist(), times.tolist(), strict=True):
-        automaton.add(tuple(row[: row.index(0)] if row[-1] == 0 else row), c)
+    automaton.extend(distinct, times)
     ranges = (hashes[order] >> np.uint64(40)) % np.uint64(FAN)
     for first, state in automaton.finish():
         parts: dict[int, list] = defaultdict(list)
@@ -320,6 +320,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
 
     ranges = ["lang", "first", "part"]
     shards = _pieces(docs).mapInArrow(automata, "lang string, first binary, part int, automaton binary")
+    shards = stored(shards, "automata")  # Spark samples what it range-partitions: without this they would be built twice
     return shards.repartitionByRange(*ranges).sortWithinPartitions(*ranges).mapInArrow(united, "lang string, phrase string, size int, f long")
 
 

@@ -72,8 +72,8 @@ def test_phrases(spark, monkeypatch, least, shard, size, top):
 def test_transducer_is_minimal_and_united():
     """Equal continuations are one state, and the union has the sums."""
     a = collocations.CountTransducer()
-    for w, n in [((1, 2, 3), 2), ((4, 2, 3), 2), ((4, 2, 5), 1), ((6,), 1)]:
-        a.add(w, n)
+    a.extend(np.array([(1, 2, 3), (4, 2, 3)]), np.array([2, 2]))
+    a.extend(np.array([(4, 2, 5), (6, 0, 0)]), np.array([1, 1]))
     arcs = dict(a.finish())
     assert len(a.states) == len(set(a.states)) == 6 and a.states[arcs[4]][0] == 3 and a.states[arcs[1]][0] == 2
     rng = np.random.default_rng(3)
@@ -82,8 +82,7 @@ def test_transducer_is_minimal_and_united():
     for _ in range(20):
         shard = Counter(tuple(int(x) for x in rng.integers(1, 7, rng.integers(1, 6))) for _ in range(40))
         t = collocations.CountTransducer()
-        for w, n in sorted(shard.items()):
-            t.add(w, n)
+        t.extend(np.array([(*w, *[0] * (5 - len(w))) for w in sorted(shard)]), np.array([shard[w] for w in sorted(shard)]))
         states = collocations.marshal.loads(t.below(t.finish(), 0, words))
         collocations.unite(tree, states, len(states) - 1)
         for w, n in shard.items():
