@@ -2,25 +2,24 @@
 
 Order inside an instrument is restored by holding rows until the watermark has passed them; released
 rows go through the same marking functions as the batch operators, so both give the same bars.  State
-per instrument is the open bar, the marker's numbers and the rows newer than the watermark.
+per instrument (``transformWithState``) is the open bar and the marker's numbers as one value, rows newer than the watermark in
+a map of time buckets, and a timer that flushes them; the barrier monitor keeps each open event as an entry of its own.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.operators import bars as B
 
-STATE = "held binary, nums array<double>, open array<double>"
-
 
 def trade_stream(
     spark: SparkSession, path: str, schema: T.StructType, *, delay: str = "10 minutes", files_per_trigger: int | None = None,
@@ -53,34 +52,105 @@ def session_bars(stream: DataFrame, *, gap: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- ordered release
 Step = Callable[[pd.DataFrame, list[float], list[float]], tuple[pd.DataFrame, list[float], list[float]]]
+#: Width of the time buckets in which rows wait for the watermark.
+BUCKET_US = 60_000_000
+
+
+def _stored_rows(rows: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read_rows(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+class _Ordered(StatefulProcessor):
+    """Hands the rows of one key to ``release`` in event-time order once the watermark has passed them.
+
+    Rows wait in a map state, one entry per time bucket: a micro-batch reads the buckets the watermark has reached and writes those
+    that get rows, whatever else is waiting. A timer at the first waiting row flushes keys that get no more rows.
+    """
+
+    def __init__(self, out: T.StructType, order: list[str]):
+        self.out, self.order = out.fieldNames(), order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows binary")
+
+    def release(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._advance(key, [f for f in rows if len(f)], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key: tuple, new: list[pd.DataFrame], mark_ms: int) -> Iterator[pd.DataFrame]:
+        mark = pd.Timestamp(mark_ms, unit="ms")
+        reached = mark.value // 1000 // BUCKET_US
+        buckets = {k[0] for k in self.waiting.keys()}
+        ready = [*new]
+        for b in sorted(x for x in buckets if x <= reached):
+            ready.append(_read_rows(self.waiting.getValue((b,))[0]))
+            self.waiting.removeKey((b,))
+            buckets.discard(b)
+        if ready:
+            pool = pd.concat(ready, ignore_index=True)
+            passed = (pool["ts"] < mark).to_numpy()
+            for b, rows in pool[~passed].groupby(pool["ts"].astype("datetime64[us]").astype("int64")[~passed] // BUCKET_US):
+                if b in buckets:
+                    rows = pd.concat((_read_rows(self.waiting.getValue((b,))[0]), rows), ignore_index=True)
+                self.waiting.updateValue((int(b),), (_stored_rows(rows),))
+                buckets.add(int(b))
+            if passed.any():
+                out = self.release(key, pool[passed].sort_values(self.order, ignore_index=True))
+                if out is not None and len(out):
+                    yield out.assign(instrument=key[0])[self.out]
+        for t in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(t)
+        if buckets:  # at the end of the earliest bucket's first row, or when its bucket is reached
+            first = _read_rows(self.waiting.getValue((min(buckets),))[0])["ts"].min()
+            self.handle.registerTimer(max(first.value // 1_000_000 + 1, mark_ms + 1))
+
+
+class _Fold(_Ordered):
+    """A marker's numbers and the open bar (or whatever ``step`` keeps open) in a value state."""
+
+    def __init__(self, step: Step, first: list[float], out: T.StructType, order: list[str]):
+        super().__init__(out, order)
+        self.step, self.first = step, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.numbers = handle.getValueState("numbers", "nums array<double>, open array<double>")
+
+    def release(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        nums, opened = map(list, self.numbers.get()) if self.numbers.exists() else (list(self.first), [])
+        result, nums, opened = self.step(rows, nums, opened)
+        self.numbers.update(([float(v) for v in nums], [float(v) for v in opened]))
+        return result
+
+
+def _stateful(stream: DataFrame, processor: StatefulProcessor, out: T.StructType, *more: str) -> DataFrame:
+    """Spark renames columns that begin with an underscore on their way to a processor, so there must be none."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if stream.sparkSession.conf.get(provider, "") != rocks:  # map states and timers need it
+        stream.sparkSession.conf.set(provider, rocks)
+    return stream.groupBy("instrument", *more).transformWithStateInPandas(processor, out, "Append", "EventTime")
 
 
 def _ordered(stream: DataFrame, step: Step, init: list[float], out: T.StructType, order: list[str]) -> DataFrame:
     """Run ``step(rows, numbers, open)`` over each instrument's rows in event-time order."""
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, nums, opened = (pickle.loads(state.get[0]), list(state.get[1]), list(state.get[2])) if state.exists else (None, list(init), [])
-        rows = [f for f in frames if len(f)]
-        rows = ([held] if held is not None and len(held) else []) + rows
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        result = None
-        if rows:
-            pool = pd.concat(rows, ignore_index=True).sort_values(order, ignore_index=True)
-            ready = pool["ts"] < mark
-            if ready.any():
-                result, nums, opened = step(pool[ready].reset_index(drop=True), nums, opened)
-            pool = pool[~ready].reset_index(drop=True)
-        else:
-            pool = None
-        state.update((pickle.dumps(pool), [float(v) for v in nums], [float(v) for v in opened]))
-        if pool is not None and len(pool):
-            state.setTimeoutTimestamp(max(int(pool["ts"].min().timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        if result is not None and len(result):
-            yield result.assign(instrument=key[0])[out.fieldNames()]
-
-    return stream.groupBy("instrument").applyInPandasWithState(
-        run, out, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return _stateful(stream, _Fold(step, init, out, order), out)
 
 
 BAR_SCHEMA = T.StructType(
@@ -117,8 +187,8 @@ def _bar_step(marker) -> Step:
 
 
 def tick_bars(stream: DataFrame, *, n: int) -> DataFrame:
-    counted = stream.withColumn("_one", F.lit(1).cast("long"))
-    return _ordered(counted, _bar_step(B.threshold_marker("_one", float(n))), [0.0], BAR_SCHEMA, ["ts", "seq"])
+    counted = stream.withColumn("one", F.lit(1).cast("long"))
+    return _ordered(counted, _bar_step(B.threshold_marker("one", float(n))), [0.0], BAR_SCHEMA, ["ts", "seq"])
 
 
 def threshold_bars(stream: DataFrame, *, measure: str, threshold: float) -> DataFrame:
@@ -134,8 +204,8 @@ def imbalance_bars(
     stream: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, measure: str | None = None, floor: str = "signed"
 ) -> DataFrame:
     flow = F.col("side") if measure is None else F.col("side") * F.col(measure)
-    flowed = stream.withColumn("_flow", flow.cast("double"))
-    marker = B.imbalance_marker("_flow", init_ticks, prev_bars, floor)
+    flowed = stream.withColumn("flow", flow.cast("double"))
+    marker = B.imbalance_marker("flow", init_ticks, prev_bars, floor)
     return _ordered(flowed, _bar_step(marker), [0.0, 0.0, float(init_ticks), 0.0, 0.0, 0.0], BAR_SCHEMA, ["ts", "seq"])
 
 
@@ -151,40 +221,91 @@ def cusum_events(stream: DataFrame, *, h: float, value: str = "price") -> DataFr
     return _ordered(stream, step, [0.0] * 4, out, ["ts", "seq"])
 
 
-def barrier_monitor(stream: DataFrame, *, pt: float, sl: float) -> DataFrame:
+def _first_touches(price: np.ndarray, ts: np.ndarray, start: np.ndarray, level: np.ndarray, up: np.ndarray, down: np.ndarray, end: np.ndarray, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each event the first row after ``start`` that touches it, and its gain (row -1: none).
+
+    Blocks of rows meet only events that their price range or last time can touch.
+    """
+    row, gain = np.full(len(start), -1), np.full(len(start), np.nan)
+    for a in range(0, len(price), size):
+        p, t = price[a : a + size], ts[a : a + size]
+        live = np.flatnonzero((row < 0) & (start < a + len(p) - 1))
+        near = live[(p.max() / level[live] - 1 > up[live]) | (p.min() / level[live] - 1 < down[live]) | (t[-1] >= end[live])]
+        if len(near):
+            move = p[None, :] / level[near, None] - 1
+            hit = ((move > up[near, None]) | (move < down[near, None]) | (t[None, :] >= end[near, None])) & (a + np.arange(len(p)) > start[near, None])
+            found = hit.any(axis=1)
+            at = hit.argmax(axis=1)[found]
+            row[near[found]], gain[near[found]] = a + at, move[found, at]
+    return row, gain
+
+
+class _Barriers(_Ordered):
+    """Open events in a map state, one entry per event, and their nearest levels in a value state, so that released rows which reach none
+    of them read no event."""
+
+    def __init__(self, pt: float, sl: float, out: T.StructType, order: list[str]):
+        super().__init__(out, order)
+        self.pt, self.sl = pt, sl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", "t0 long, seq long", "price double, trgt double, expires long")
+        self.nearest = handle.getValueState("nearest", "above double, below double, expires long")
+
+    def release(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        us = lambda x: x.astype("datetime64[us]").astype("int64").to_numpy()
+        price, ts = rows["price"].to_numpy(float), us(rows["ts"])
+        mine = rows["trgt"].notna().to_numpy() & (rows["shard"].to_numpy() == key[1])
+        above, below, soonest = self.nearest.get() if self.nearest.exists() else (np.inf, -np.inf, np.iinfo(np.int64).max)
+        held = []
+        if price.max() > above or price.min() < below or ts[-1] >= soonest:
+            held = [(*k, *v) for k, v in self.open.iterator()]
+        at = np.flatnonzero(mine)
+        new = list(zip(ts[at].tolist(), rows["seq"].to_numpy()[at].tolist(), price[at].tolist(), rows["trgt"].to_numpy(float)[at].tolist(), us(rows["expires"].iloc[at]).tolist(), strict=True))
+        events = [*held, *new]
+        if not events:
+            return None
+        t0, level, trgt, end = (np.array([e[i] for e in events]) for i in (0, 2, 3, 4))
+        up = np.where(self.pt > 0, self.pt * trgt, np.inf)
+        down = np.where(self.sl > 0, -self.sl * trgt, -np.inf)
+        row, gain = _first_touches(price, ts, np.concatenate((np.full(len(held), -1), at)).astype(int), level, up, down, end)
+        for i, e in enumerate(events):
+            if row[i] >= 0 and i < len(held):
+                self.open.removeKey(e[:2])
+            elif row[i] < 0 and i >= len(held):
+                self.open.updateValue(e[:2], e[2:])
+        left = row < 0
+        # a step of one part in 10^9 keeps the levels on the near side of what the exact test finds
+        edge = (level * (1 + up))[left].min(initial=np.inf) * (1 - 1e-9), (level * (1 + down))[left].max(initial=-np.inf) * (1 + 1e-9), int(end[left].min(initial=np.iinfo(np.int64).max))
+        known = (above, below, soonest) if not held else (np.inf, -np.inf, np.iinfo(np.int64).max)
+        self.nearest.update((float(min(edge[0], known[0])), float(max(edge[1], known[1])), min(edge[2], known[2])))
+        done = np.flatnonzero(~left)
+        why = np.where(gain[done] > up[done], "pt", np.where(gain[done] < down[done], "sl", "time"))
+        return pd.DataFrame({"t0": t0[done].astype("datetime64[us]"), "t1": ts[row[done]].astype("datetime64[us]"), "ret": gain[done], "touched": why})
+
+
+def barrier_monitor(stream: DataFrame, *, pt: float, sl: float, shards: int = 1) -> DataFrame:
     """Labels events as soon as a barrier is touched or their time is up.
 
     ``stream`` carries bars (instrument, ts, seq, price); rows opening an event also carry its ``trgt``
-    and ``expires``.  The first row at or after ``expires`` is the vertical barrier.
+    and ``expires``.  The first row at or after ``expires`` is the vertical barrier. The open events of an instrument are dealt to
+    ``shards`` states, each of which gets all its bars.
     """
     out = T.StructType.fromDDL("instrument string, t0 timestamp, t1 timestamp, ret double, touched string")
-
-    def step(rows: pd.DataFrame, nums: list[float], opened: list[float]):
-        live = [opened[i : i + 4] for i in range(0, len(opened), 4)]
-        done = []
-        for ts, price, trgt, exp in zip(rows["ts"], rows["price"], rows["trgt"], rows["expires"]):
-            now = ts.value // 1000
-            still = []
-            for t0, c0, tg, end in live:
-                gain = price / c0 - 1
-                why = "pt" if pt > 0 and gain > pt * tg else "sl" if sl > 0 and gain < -sl * tg else "time" if now >= end else None
-                if why:
-                    done.append((pd.Timestamp(int(t0), unit="us"), ts, gain, why))
-                else:
-                    still.append([t0, c0, tg, end])
-            live = still
-            if trgt is not None and trgt == trgt:
-                live.append([float(now), float(price), float(trgt), float(exp.value // 1000)])
-        return pd.DataFrame(done, columns=["t0", "t1", "ret", "touched"]), nums, [v for e in live for v in e]
-
-    return _ordered(stream, step, [], out, ["ts", "seq"])
+    dealt = stream.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("long")).withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
+    return _stateful(dealt, _Barriers(pt, sl, out, ["ts", "seq"]), out, "dealt")
 
 
 # --------------------------------------------------------------------------- incremental job
-def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
+PROGRESS = "batch long, rows_in long, watermark string, operator string, state_rows long, state_bytes long"
+
+
+def run_available(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
     """Process all landed files once into Parquet; a rerun continues from the checkpoint.
 
-    Each micro-batch replaces its own folder, so a repeated batch does not duplicate rows.
+    Each micro-batch replaces its own folder, so a repeated batch does not duplicate rows. Returns one row per micro-batch and
+    stateful operator (``PROGRESS``): rows read, watermark, and the rows and bytes its state holds.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -192,3 +313,8 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    told = [
+        (p["batchId"], p["numInputRows"], p.get("eventTime", {}).get("watermark"), o["operatorName"], o["numRowsTotal"], o["memoryUsedBytes"])
+        for p in query.recentProgress for o in p["stateOperators"]
+    ]
+    return stream.sparkSession.createDataFrame(told, PROGRESS)
