@@ -129,7 +129,7 @@ def _first_hit(x: np.ndarray, at: int, carry: np.ndarray, test, free: int = 0) -
     return None, carry
 
 
-def _numbered(tape: DataFrame, fn, init) -> DataFrame:
+def _numbered(tape: DataFrame, fn, init, *, forgets: bool = True) -> DataFrame:
     """Run an end-marking fold and turn its marks into global bar ids."""
     schema = T.StructType(
         list(tape.schema.fields)
@@ -142,7 +142,7 @@ def _numbered(tape: DataFrame, fn, init) -> DataFrame:
         done = ends.cumsum()
         return pdf.assign(is_end=ends, _local=done - ends)[cols], state
 
-    marked = fold(tape, run, init, schema)
+    marked = fold(tape, run, init, schema, forgets=forgets)
     out = block_offsets(marked, F.col("is_end").cast("long"), "_off")
     return out.withColumn("bar_id", F.col("_local") + F.col("_off")).drop("_local", "_off")
 
@@ -260,7 +260,7 @@ def _floored(v: float, floor: str) -> float:
 def _imbalance_bars(tape: DataFrame, flow: Column, init: int, prev: int, floor: str) -> DataFrame:
     flowed = tape.withColumn("_flow", flow.cast("double"))
     state = [0.0, 0.0, float(init), 0.0, 0.0, 0.0]
-    return _complete(_numbered(flowed, imbalance_marker("_flow", init, prev, floor), state).drop("_flow"))
+    return _complete(_numbered(flowed, imbalance_marker("_flow", init, prev, floor), state, forgets=False).drop("_flow"))
 
 
 def tick_imbalance_bars(tape: DataFrame, *, init_ticks: int = 10, prev_bars: int = 3, floor: str = "signed") -> DataFrame:

@@ -5,13 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapeloom.plans.series import KEYS, div, fold, framed, lagged, position, running, running_product
+from tapeloom.plans.series import KEYS, div, framed, lagged, linear_scan, position, running, running_product
 
 
 def front_month_by_volume(panel: DataFrame) -> DataFrame:
@@ -91,50 +88,38 @@ def aligned_returns(returns: DataFrame, products: Sequence[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- basket index
-def _field(name: str):
-    return lambda x: x[name].cast("double")
-
-
 def etf_trick(legs: DataFrame) -> DataFrame:
     """One-dollar basket index with costs and tradable volume.
 
-    ``legs`` is (basket, pos, asset, open, close, w, phi, div, cost, volume, rebalance); legs of one bar
-    form a small array, bars are folded in order per basket.
+    ``legs`` is (basket, pos, asset, open, close, w, phi, div, cost, volume, rebalance), every asset in every bar. After a bar
+    that rebalances, value k is spread by the bar's weights at the next open. Holdings are thus a scale times a shape: the shape (units
+    per unit of value) is known from the legs, the scale is the value at the last rebalance. Value and scale before a bar become
+    those after it by a 2 x 2 matrix, so the index is a matrix scan over all bars; costs are sums over shapes times scales.
     """
-    leg = F.struct("asset", "open", "close", "w", "phi", "div", "cost", "volume")
-    bars = legs.groupBy("basket", "pos").agg(
-        F.array_sort(F.collect_list(leg)).alias("_l"), F.max("rebalance").alias("rebalance")
+    asset, bar = ["basket", "asset"], ["basket", "pos"]
+    gross = legs.groupBy(*bar).agg(F.sum(F.abs("w")).alias("_gross"))
+    before = {f"_{c}": F.col(c) for c in ("w", "phi", "close", "rebalance", "_gross")}
+    legs = lagged(legs.join(gross, bar), before, keys=asset)
+    fresh = F.coalesce(F.col("_rebalance").cast("boolean"), F.lit(False))
+    legs = legs.withColumn("_new", F.when(fresh, div(F.col("_w"), F.col("open") * F.col("_phi") * F.col("__gross"))))
+    legs = running(legs, {"_was": ("last", F.col("_new"))}, keys=asset, exclusive=True)
+    was, now = F.coalesce("_was", F.lit(0.0)), F.coalesce("_new", "_was", F.lit(0.0))
+    move = F.when(fresh, F.col("close") - F.col("open")).otherwise(F.coalesce(F.col("close") - F.col("_close"), F.lit(0.0)))
+    charge = F.col("phi") * F.col("cost")
+    bars = legs.groupBy(*bar).agg(
+        F.max(fresh).alias("_fresh"),
+        F.sum(was * F.col("phi") * (move + F.col("div"))).alias("_gain"),
+        F.sum(F.abs(was) * F.col("close") * charge).alias("_held"),
+        F.sum(F.abs(now) * F.col("open") * charge).alias("_bought"),
+        F.min(F.when(was != 0, F.col("volume") / F.abs(was))).alias("_room"),
     )
-    cols = ["open", "close", "w", "phi", "div", "cost", "volume"]
-    bars = bars.select(
-        "basket", "pos", "rebalance",
-        *[F.transform("_l", _field(c)).alias(c) for c in cols],
+    one, set_ = F.lit(1.0), F.col("_fresh").cast("double")
+    bars = linear_scan(bars, [[one, F.col("_gain")], [set_, one - set_]], ["_k", "_s"], [1.0, 0.0], keys=["basket"])
+    scale = F.abs("_s")
+    return bars.select(
+        *bar,
+        (F.col("_k") + F.col("_s") * F.col("_gain")).alias("k"),
+        F.when(F.col("_fresh"), scale * F.col("_held") + F.abs("_k") * F.col("_bought")).otherwise(F.lit(0.0)).alias("rebalance_cost"),
+        (scale * F.col("_held")).alias("bid_ask_cost"),
+        F.coalesce(F.col("_room") / F.nullif(scale, F.lit(0.0)), F.lit(0.0)).alias("volume"),
     )
-    schema = T.StructType(
-        [bars.schema["basket"], bars.schema["pos"]]
-        + [T.StructField(c, T.DoubleType()) for c in ("k", "rebalance_cost", "bid_ask_cost", "volume")]
-    )
-
-    def run(pdf: pd.DataFrame, state):
-        out = []
-        for row in pdf.itertuples(index=False):
-            o, c, w, phi, dv, cost, vol = (np.asarray(getattr(row, n), dtype=float) for n in cols)
-            if not state:
-                k, h = 1.0, np.zeros(len(c))
-                out.append((row.basket, row.pos, 1.0, 0.0, 0.0, 0.0))
-            else:
-                n = len(c)
-                k, was = state[0], state[1] > 0
-                h_prev, w_prev, phi_prev, c_prev = (np.asarray(state[2 + i * n : 2 + (i + 1) * n]) for i in range(4))
-                h = w_prev * k / (o * phi_prev * np.abs(w_prev).sum()) if was else h_prev
-                move = c - o if was else c - c_prev
-                k += float((h_prev * phi * (move + dv)).sum())
-                reb = float(((np.abs(h_prev) * c + np.abs(h) * o) * phi * cost).sum()) if was else 0.0
-                ask = float((np.abs(h_prev) * c * phi * cost).sum())
-                held = np.abs(h_prev) > 0
-                can = float((vol[held] / np.abs(h_prev[held])).min()) if held.any() else 0.0
-                out.append((row.basket, row.pos, k, reb, ask, can))
-            state = [k, float(bool(row.rebalance)), *h, *w, *phi, *c]
-        return pd.DataFrame(out, columns=["basket", "pos", "k", "rebalance_cost", "bid_ask_cost", "volume"]), state
-
-    return fold(bars, run, [], schema, keys=["basket"]).drop("_blk")

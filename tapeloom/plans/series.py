@@ -317,6 +317,7 @@ def fold(
     *,
     keys: Sequence[str] = KEYS,
     pos: str = "pos",
+    forgets: bool = True,
 ) -> DataFrame:
     """Sequential fold with carried state, exact and without one task per key.
 
@@ -329,6 +330,10 @@ def fold(
     again, until nothing changes.  That fixpoint is the sequential result.  Reset folds forget their
     past at the first common reset, so a few rounds suffice; the number of rounds can never exceed
     the number of blocks.
+
+    A fold that never forgets (``forgets=False``) would find every later block stale in every round. It runs as a wavefront instead:
+    round ``b`` folds block ``b`` of every series once, from the exit state of block ``b - 1``, so the work is linear in the rows;
+    series advance side by side. Either way a round reads only the folders of the blocks that it folds.
     """
     keys = list(keys)
     out = T.StructType(list(schema.fields) + [T.StructField("_blk", T.LongType())])
@@ -350,43 +355,65 @@ def fold(
         [base.schema[k] for k in cell]
         + [T.StructField("_in", T.ArrayType(T.DoubleType())), T.StructField("_out", T.ArrayType(T.DoubleType()))]
     )
+    path = scratch(df.sparkSession, "blocks")
+    base.repartition(*cell).write.partitionBy("_blk").parquet(path)
+    base = df.sparkSession.read.schema(base.schema).parquet(path)
 
     def step(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or entry.empty:
-            return pd.DataFrame({f.name: [] for f in stype})
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in stype})
         state = list(entry["_in"].iloc[0])
         after = fn(rows.drop(columns="_blk").sort_values(pos, ignore_index=True), list(state))[1]
         head = {k: [rows[k].iloc[0]] for k in cell}
         return pd.DataFrame({**head, "_in": [state], "_out": [[float(v) for v in after]]})
 
+    def advance(todo: DataFrame, blocks: list[int] | None) -> DataFrame:
+        """Entry and exit states of the blocks in ``todo`` (keys, _blk, _in); ``blocks`` are their numbers."""
+        stale = base if blocks is None else base.where(F.col("_blk").isin(blocks))
+        stale = stale.join(todo.select(*cell), cell, "left_semi")
+        return stale.groupBy(*cell).cogroup(todo.groupBy(*cell)).applyInPandas(step, stype)
+
     first = F.array(*[F.lit(float(v)) for v in init]) if init else F.array().cast("array<double>")
-    todo = reuse(base.select(*cell).distinct().withColumn("_in", first))
-    known: DataFrame | None = None
+    todo = base.select(*cell).distinct().withColumn("_in", first)
+    if forgets:
+        known = _settled(reuse(todo), advance, first, keys, last)
+    else:
+        folder, todo = scratch(df.sparkSession, "states"), reuse(todo.where("_blk = 0"))
+        for b in range(last + 1):
+            advance(todo, [b]).write.parquet(f"{folder}/round={b}")
+            done = df.sparkSession.read.schema(stype).parquet(f"{folder}/round={b}")
+            todo = done.select(*keys, (F.col("_blk") + 1).alias("_blk"), F.col("_out").alias("_in"))
+        known = df.sparkSession.read.schema(stype).parquet(folder)
+
+    def emit(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({n: [] for n in names})
+        b = int(rows["_blk"].iloc[0])
+        res = fn(rows.drop(columns="_blk").sort_values(pos, ignore_index=True), list(entry["_in"].iloc[0]))[0]
+        return tidy(res, b)
+
+    return base.groupBy(*cell).cogroup(known.select(*cell, "_in").groupBy(*cell)).applyInPandas(emit, out)
+
+
+def _settled(todo: DataFrame, advance: Callable[[DataFrame, list[int] | None], DataFrame], first: Column, keys: list[str], last: int) -> DataFrame:
+    """States (keys, _blk, _in, _out) after rounds that fold the blocks whose entry state has changed, until none has."""
+    cell, known, blocks = [*keys, "_blk"], None, None
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     rounds = last + 2
     for n in range(rounds + 1):
         if n == rounds:
             raise RuntimeError("fold state does not settle: states must be finite numbers")
-        stale = base.join(todo.select(*cell), cell, "left_semi")
-        fresh = stale.groupBy(*cell).cogroup(todo.groupBy(*cell)).applyInPandas(step, stype)
+        fresh = advance(todo, blocks)
         if known is not None:
             fresh = fresh.unionByName(known.join(todo.select(*cell), cell, "left_anti"))
         known = reuse(fresh)
         entries = known.withColumn("_want", F.coalesce(F.lag("_out").over(by_block), first))
-        todo = reuse(
-            entries.where(~F.col("_want").eqNullSafe(F.col("_in"))).select(*cell, F.col("_want").alias("_in"))
-        )
-        if todo.isEmpty():
+        todo = reuse(entries.where(~F.col("_want").eqNullSafe(F.col("_in"))).select(*cell, F.col("_want").alias("_in")))
+        few = [r[0] for r in todo.select("_blk").distinct().limit(1001).collect()]
+        if not few:
             break
-
-    def emit(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({n: [] for n in names})
-        b = int(rows["_blk"].iloc[0])
-        res = fn(rows.drop(columns="_blk").sort_values(pos, ignore_index=True), list(entry["_in"].iloc[0]))[0]
-        return tidy(res, b)
-
-    return base.groupBy(*cell).cogroup(known.select(*cell, "_in").groupBy(*cell)).applyInPandas(emit, out)
+        blocks = few if len(few) <= 1000 else None
+    return known
 
 
 def _compose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,6 +461,52 @@ def affine_scan(
     return base.groupBy(*cell).cogroup(entries.groupBy(*cell)).applyInPandas(run, out)
 
 
+def _products(m: np.ndarray) -> np.ndarray:
+    """Products m[i] @ ... @ m[0] for every i, by doubling steps."""
+    m, s = m.copy(), 1
+    while s < len(m):
+        m[s:] = m[s:] @ m[:-s]
+        s *= 2
+    return m
+
+
+def linear_scan(
+    df: DataFrame, matrix: Sequence[Sequence[Column]], names: Sequence[str], init: Sequence[float], *, keys: Sequence[str] = KEYS, pos: str = "pos"
+) -> DataFrame:
+    """``names`` = the state vector before each row of the recurrence ``state' = matrix @ state``, started at ``init``.
+
+    As :func:`affine_scan` with a small matrix per row: each block is one matrix, the matrices of a series are composed, then all
+    blocks run from their entry vectors, in two passes whatever the number of blocks.
+    """
+    keys, size = list(keys), len(names)
+    cell = keys + ["_blk"]
+    flat = F.array(*[c.cast("double") for row in matrix for c in row])
+    base = reuse(df.withColumns({"_blk": _block(pos, block_rows(df)), "_m": flat}))
+    arrays = T.ArrayType(T.DoubleType())
+    maps = T.StructType([base.schema[k] for k in cell] + [T.StructField("_m", arrays)])
+    stack = lambda rows: np.array(rows["_m"].tolist(), float).reshape(len(rows), size, size)
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(pos)
+        return rows.iloc[-1:][cell].assign(_m=[_products(stack(rows))[-1].ravel().tolist()])
+
+    def enter(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_blk")
+        after = _products(stack(rows)) @ np.array(init, float)
+        return rows.assign(_m=[list(init), *after[:-1].tolist()])
+
+    entries = base.select(*cell, pos, "_m").groupBy(*cell).applyInPandas(whole, maps).groupBy(*keys).applyInPandas(enter, maps)
+    out = T.StructType([*(f for f in base.schema.fields if f.name not in ("_blk", "_m")), *(T.StructField(n, T.DoubleType()) for n in names)])
+    columns = out.fieldNames()
+
+    def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        rows, start = rows.sort_values(pos), np.array(entry["_m"].iloc[0], float)
+        states = np.vstack((start[None], (_products(stack(rows)) @ start)[:-1]))
+        return rows.assign(**{n: states[:, i] for i, n in enumerate(names)})[columns]
+
+    return base.groupBy(*cell).cogroup(entries.groupBy(*cell)).applyInPandas(run, out)
+
+
 def block_offsets(df: DataFrame, count: Column, name: str, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add to each row ``name`` = sum of ``count`` over all earlier fold blocks of its series."""
     keys = list(keys)

@@ -263,3 +263,49 @@ def test_long_imbalance_span_does_not_depend_on_blocks(spark, block):
             ends.append(i)
             theta, ticks, bars_done = 0.0, 0, 1
     assert [r.end_pos for r in bars] == ends
+
+
+@pytest.mark.parametrize("blocks", [10, 100])
+def test_wavefront_visits_rows_once(spark, tmp_path, blocks):
+    """Folds that never forget: one visit for the states and one for the rows, however many blocks."""
+    from pyspark.sql import types as T
+
+    from tapeloom.plans.series import fold
+
+    n = 300
+    df = series(spark, [float(i % 11) for i in range(n)])
+    log = str(tmp_path / "visits")
+
+    def total(rows, state):
+        with open(log, "a") as f:
+            f.write(f"{len(rows)}\n")
+        sums = state[0] + rows["close"].cumsum()
+        return rows.assign(total=sums), [float(sums.iloc[-1])]
+
+    schema = T.StructType([*df.schema.fields, T.StructField("total", T.DoubleType())])
+    spark.conf.set("tapeloom.series.block_rows", str(n // blocks))
+    try:
+        out = fold(df, total, [0.0], schema, forgets=False).collect()
+    finally:
+        spark.conf.unset("tapeloom.series.block_rows")
+    want = {"a": 0.0, "z": 0.0}
+    for r in sorted(out, key=lambda r: (r["instrument"], r["pos"])):
+        want[r["instrument"]] += r["close"]
+        assert r["total"] == want[r["instrument"]]
+    assert len(out) == 2 * n and sum(map(int, open(log))) == 2 * 2 * n
+
+
+def test_linear_scan_is_the_recurrence(spark, split):
+    from pyspark.sql import functions as F
+
+    from tapeloom.plans.series import linear_scan
+
+    df = series(spark, [0.1 * (i % 5) - 0.2 for i in range(20)], shift=0.05)
+    turn = (F.col("pos") % 4 == 1).cast("double")
+    got = linear_scan(df, [[F.lit(1.0), F.col("close")], [turn, 1 - turn]], ["k", "s"], [1.0, 0.5]).collect()
+    state = {}
+    for r in sorted(got, key=lambda r: (r["instrument"], r["pos"])):
+        k, s = state.get(r["instrument"], (1.0, 0.5))
+        assert (r["k"], r["s"]) == pytest.approx((k, s))
+        state[r["instrument"]] = (k + s * r["close"], k if r["pos"] % 4 == 1 else s)
+    assert len(got) == 40
