@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of
 ``documents``; the last returns the packed pieces. Models are learned from bounded samples of the stage's own documents.
+
+All stages: further columns of ``docs`` are dropped first, so none can clash with what an operator adds; repeated rows each get their
+own decision (equal ones an equal decision); texts are read whole, however long; an empty table gives an empty table. A null in
+``lang``, ``source`` or ``n_chars`` changes no decision.
 """
 
 from __future__ import annotations
@@ -18,14 +22,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose content lines hold most of their words."""
+    """Documents that pass the base rules and whose content lines hold half of their words or more.
+
+    A null or empty text has no words and goes; a share of exactly one half stays. Without labels of both kinds all lines are content."""
     bounded_batches(spark)
     model = line_crf.learn(docs, read(spark, sf_dir, "labels"))
     return line_crf.with_rules(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; ``lang`` stays as it came."""
+    """Documents whose language is clear; ``lang`` stays as it came.
+
+    A null, empty or letterless text goes, and so does a tie of the two best languages. Without a ``lang`` to learn from all go."""
     bounded_batches(spark)
     known = language_id.learn(docs)
     return language_id.with_language(docs.select(*COLUMNS), known).where(language_id.accepted()).select(*COLUMNS)
@@ -33,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group that links connect; rows that repeat a doc_id are that one
-    document and stay or go together, documents without doc_id stay."""
+    document and stay or go together, documents without doc_id stay. Null and empty texts are linked with nothing and stay."""
     bounded_batches(spark)
     groups = shingle_join.near_duplicates(docs)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
@@ -41,7 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without bytes of 100-byte strings that occur earlier; n_chars follows the text."""
+    """All documents, without bytes of 100-byte strings that occur earlier; n_chars follows the text.
+
+    Of equal rows of one doc_id the first in the stage's order keeps its text; a null text stays as it is or becomes empty."""
     bounded_batches(spark)
     cut = suffix_dedup.without_repeats(docs.select(*COLUMNS))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -49,7 +59,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; a null or empty text is one piece of the end token alone."""
     bounded_batches(spark)
     return packing.packed_documents(docs, BYTE_BPE, end_id=0, capacity=2048)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,11 +34,18 @@ def bucket_of(column: Column, modulus: int) -> Column:
 
 
 def small_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of about ``BATCH_BYTES``, so Python objects are made for few texts at a time."""
+    """Zero-copy slices of about ``BATCH_BYTES``, so Python objects are made for few texts at a time.
+
+    After the last one memory that is free goes back to the system: Spark uses a worker again for tasks of other stages.
+    """
     for b in batches:
         step = max(1, min(b.num_rows, int(b.num_rows * BATCH_BYTES / max(1, b.nbytes))))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    b = None
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -56,3 +56,30 @@ def test_stages(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() > 0
+
+
+def test_stages_with_odd_rows(spark):
+    """Null and empty texts, nulls in other columns, a repeated doc_id, ties, clashing columns and an empty table."""
+    docs = read(spark, SF, "documents").limit(60)
+    good = max((r["text"] for r in docs.where("lang = 'en'").collect()), key=len)
+    odd = [(9001, None, "en", "s", 0), (9002, "", None, None, None), (None, good, "en", "s", 1), (9003, "12 34 " * 30, "en", None, None), (9004, good + " tail", None, "s", 3), (9004, good + " tail", None, "s", 3)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for clash in ("score", "kept", "n_words", "lang_pred", "component_id", "n_removed", "length", "_text_print"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    docs = docs.cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == corpus_pipeline.COLUMNS
+        assert docs.count() <= before.count() and docs.count() > 10
+        if stage is corpus_pipeline.quality_rules:
+            ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            assert not {9001, 9002} & set(ids) and ids.count(9004) in (0, 2)
+            docs = docs.unionByName(spark.createDataFrame([odd[0], odd[1]], docs.schema)).cache()
+        if stage is corpus_pipeline.language:
+            assert docs.where("doc_id in (9001, 9002, 9003)").count() == 0
+    pieces = corpus_pipeline.packed(spark, docs.unionByName(spark.createDataFrame([odd[0], odd[1]], docs.schema)), SF)
+    assert {r["length"] for r in pieces.where("doc_id in (9001, 9002)").collect()} == {1}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
