@@ -13,22 +13,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.plans.series import div
+from tapeloom.plans.series import div, reuse
 
 
 # --------------------------------------------------------------------------- moments
+#: Assets on one side of a tile of the matrix; bytes of moments that a task holds before it hands them on; parts in which the
+#: moments of one tile are merged first.
+TILE, HELD_BYTES, PARTS = 128, 128 << 20, 64
+
+
+class _Moments:
+    """Pairwise-complete centred moments of two tiles of assets: counts, means of either side over common rows, co-moments."""
+
+    __slots__ = ("n", "x", "y", "c")
+
+    def __init__(self, n: np.ndarray, x: np.ndarray, y: np.ndarray, c: np.ndarray):
+        self.n, self.x, self.y, self.c = n, x, y, c
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray) -> _Moments:
+        """Of the columns of two blocks of the same rows, NaN where a value is missing."""
+        has_a, has_b = ~np.isnan(a), ~np.isnan(b)
+        # columns are shifted by their means in the block, so products stay small
+        shift_a, shift_b = (np.where(h.any(0), np.where(h, v, 0).sum(0) / np.maximum(1, h.sum(0)), 0) for v, h in ((a, has_a), (b, has_b)))
+        u, v = np.where(has_a, a - shift_a, 0), np.where(has_b, b - shift_b, 0)
+        p, q = has_a.astype(float), has_b.astype(float)
+        n = p.T @ q
+        some = np.maximum(1, n)
+        x, y = u.T @ q / some, p.T @ v / some
+        return cls(n, x + shift_a[:, None], y + shift_b[None, :], u.T @ v - n * x * y)
+
+    def add(self, o: _Moments) -> _Moments:
+        """Pairwise update with the moments of other rows."""
+        n = self.n + o.n
+        some = np.maximum(1, n)
+        dx, dy = o.x - self.x, o.y - self.y
+        c = self.c + o.c + dx * dy * self.n * o.n / some
+        return _Moments(n, self.x + dx * o.n / some, self.y + dy * o.n / some, c)
+
+    def tobytes(self) -> bytes:
+        return np.stack((self.n, self.x, self.y, self.c)).tobytes()
+
+    @classmethod
+    def frombytes(cls, raw: bytes, shape: tuple[int, int]) -> _Moments:
+        return cls(*np.frombuffer(raw, float).reshape(4, *shape))
+
+
 def covariance(wide: DataFrame, assets: Sequence[str], *, by: Sequence[str]) -> DataFrame:
-    """Long sample covariance and correlation (by..., a, b, cov, corr) from one pass of aggregates."""
-    assets = sorted(assets)
-    pairs = [(i, j) for i in range(len(assets)) for j in range(i, len(assets))]
-    m = wide.groupBy(*by).agg(*[F.covar_samp(assets[i], assets[j]).alias(f"_c{i}_{j}") for i, j in pairs])
-    cells = []
-    for i in range(len(assets)):
-        for j in range(len(assets)):
-            c = F.col(f"_c{min(i, j)}_{max(i, j)}")
-            rho = F.lit(1.0) if i == j else div(c, F.sqrt(F.col(f"_c{i}_{i}")) * F.sqrt(F.col(f"_c{j}_{j}")))
-            cells.append(F.struct(F.lit(assets[i]).alias("a"), F.lit(assets[j]).alias("b"), c.alias("cov"), rho.alias("corr")))
-    return m.select(*by, F.explode(F.array(*cells)).alias("_m")).select(*by, "_m.*")
+    """Long sample covariance and correlation (by..., a, b, cov, corr) of columns, over the rows that have both values.
+
+    Tiled Gram matrices: a task turns its rows into centred moments per tile pair of ``TILE`` x ``TILE`` assets and merges them as it
+    reads, so rows are never shuffled; moments of one tile pair are merged by pairwise updates, in ``PARTS`` parts and then
+    together. The plan does not grow with the number of assets.
+    """
+    assets, by = sorted(assets), list(by)
+    count = len(assets)
+    tiles = [(t, min(count, t + TILE)) for t in range(0, count, TILE)]
+    pairs = [(i, j) for i in range(len(tiles)) for j in range(i, len(tiles))]
+    keys = [wide.schema[k] for k in by]
+    made = T.StructType([*keys, T.StructField("_i", T.IntegerType()), T.StructField("_j", T.IntegerType()), T.StructField("_m", T.BinaryType())])
+    names = made.fieldNames()
+
+    def gather(frames):
+        held: dict[tuple, list[_Moments]] = {}
+        room = max(1, HELD_BYTES // (32 * count * count + 1))
+
+        def told():
+            rows = [(*k, i, j, m.tobytes()) for k, ms in held.items() for (i, j), m in zip(pairs, ms, strict=True)]
+            held.clear()
+            return pd.DataFrame(rows, columns=names)
+
+        for frame in frames:
+            groups = frame.groupby(by, dropna=False, sort=False) if by else [((), frame)]
+            for key, rows in groups:
+                x = rows[assets].to_numpy(float)
+                blocks = [x[:, a:z] for a, z in tiles]
+                new = [_Moments.of(blocks[i], blocks[j]) for i, j in pairs]
+                key = tuple(None if v is pd.NaT or v != v else v for v in key)
+                held[key] = [m.add(n) for m, n in zip(held[key], new, strict=True)] if key in held else new
+                if len(held) >= room:
+                    yield told()
+        if held:
+            yield told()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        (a, z), (c, e) = tiles[rows["_i"].iat[0]], tiles[rows["_j"].iat[0]]
+        total = None
+        for raw in rows["_m"]:
+            m = _Moments.frombytes(raw, (z - a, e - c))
+            total = m if total is None else total.add(m)
+        return rows.iloc[:1][[*by, "_i", "_j"]].assign(_m=[total.tobytes()])[names]
+
+    def cells(frames):
+        for rows in frames:
+            for r in rows.to_dict("records"):
+                (a, z), (c, e) = tiles[r["_i"]], tiles[r["_j"]]
+                m = _Moments.frombytes(r["_m"], (z - a, e - c))
+                cov = np.where(m.n > 1, m.c / np.maximum(1, m.n - 1), np.nan)
+                for flip in (False, True) if r["_i"] != r["_j"] else (False,):
+                    left, right, v = (assets[c:e], assets[a:z], cov.T) if flip else (assets[a:z], assets[c:e], cov)
+                    out = pd.DataFrame({"a": np.repeat(left, len(right)), "b": np.tile(right, len(left)), "cov": v.ravel()})
+                    yield out.assign(**{k: [r[k]] * len(out) for k in by})[[*by, "a", "b", "cov"]]
+
+    rows = wide.select(*by, *(F.col(c).cast("double").alias(c) for c in assets))
+    parts = rows.mapInPandas(gather, made).withColumn("_p", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    merged = parts.groupBy(*by, "_i", "_j", "_p").applyInPandas(merge, made).groupBy(*by, "_i", "_j").applyInPandas(merge, made)
+    long = T.StructType([*keys, T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("cov", T.DoubleType())])
+    cov = reuse(merged.mapInPandas(cells, long)).withColumn("cov", F.nanvl("cov", F.lit(None)))
+    var = cov.where("a = b").select(*by, "a", F.sqrt("cov").alias("_d"))
+    for side in ("a", "b"):
+        other = var.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col("a").alias("_asset"), F.col("_d").alias(f"_d{side}"))
+        same = F.col(side) == F.col("_asset")
+        for i, k in enumerate(by):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        cov = cov.join(other, same).drop("_asset", *(f"_k{i}" for i in range(len(by))))
+    rho = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(div(F.col("cov"), F.col("_da") * F.col("_db")))
+    return cov.select(*by, "a", "b", "cov", rho.alias("corr"))
 
 
 def inverse_variance(cov: DataFrame, *, by: Sequence[str]) -> DataFrame:
@@ -42,14 +142,32 @@ def correlation_distance(cov: DataFrame) -> DataFrame:
 
 
 def distance_of_distances(dist: DataFrame, *, by: Sequence[str]) -> DataFrame:
-    """Euclidean distance between the columns of each group's distance matrix."""
+    """Euclidean distance between the columns of each group's distance matrix.
+
+    A row of the matrix is one vector; blocks of vectors meet on a grid of cells, each pair of blocks once.
+    """
+    by = list(by)
     row = dist.groupBy(*by, "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "dist"))), lambda x: x["dist"]).alias("v"))
-    mat = row.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("a", "v"))).alias("m"))
-    gap = F.sqrt(F.aggregate(F.zip_with("_x.v", "_y.v", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    return (
-        mat.withColumn("_x", F.explode("m")).withColumn("_y", F.explode("m"))
-        .select(*by, F.col("_x.a").alias("a"), F.col("_y.a").alias("b"), gap.alias("dist2"))
-    )
+    row = row.withColumn("_n", F.ceil(F.size("v") / F.lit(TILE))).withColumn("_t", F.pmod(F.xxhash64("a"), F.col("_n")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o")
+    cells = row.select(*by, "a", "v", "_t", other).select(*by, "a", "v", "_t", F.least("_t", "_o").alias("_lo"), F.greatest("_t", "_o").alias("_hi"))
+    schema = T.StructType([*(dist.schema[k] for k in by), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("dist2", T.DoubleType())])
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        low = rows["_t"].to_numpy() == rows["_lo"].iat[0]
+        v, names = np.array(rows["v"].tolist(), float), rows["a"].to_numpy()
+        sides = [(low, low)] if rows["_lo"].iat[0] == rows["_hi"].iat[0] else [(low, ~low)]
+        out = []
+        for p, q in sides:
+            gap = np.array([np.sqrt(((v[q] - x) ** 2).sum(axis=1)) for x in v[p]])
+            left, right = np.repeat(names[p], q.sum()), np.tile(names[q], p.sum())
+            out.append(pd.DataFrame({"a": left, "b": right, "dist2": gap.ravel()}))
+            if p is not q:
+                out.append(pd.DataFrame({"a": right, "b": left, "dist2": gap.ravel()}))
+        whole = pd.concat(out)
+        return whole.assign(**{k: [rows[k].iat[0]] * len(whole) for k in by})[[*by, "a", "b", "dist2"]]
+
+    return cells.groupBy(*by, "_lo", "_hi").applyInPandas(cell, schema)
 
 
 def cluster_variance(cov: DataFrame, clusters: DataFrame, *, by: Sequence[str]) -> DataFrame:

@@ -309,3 +309,30 @@ def test_linear_scan_is_the_recurrence(spark, split):
         assert (r["k"], r["s"]) == pytest.approx((k, s))
         state[r["instrument"]] = (k + s * r["close"], k if r["pos"] % 4 == 1 else s)
     assert len(got) == 40
+
+
+@pytest.mark.parametrize("tile", [128, 7])
+def test_covariance_tiles(spark, monkeypatch, tile):
+    """Many assets, missing values and large means: pairwise-complete moments, merged over tasks."""
+    monkeypatch.setattr(portfolio, "TILE", tile)
+    rng = np.random.default_rng(11)
+    n, names = 240, [f"s{i:03d}" for i in range(500 if tile == 128 else 20)]
+    x = 1e6 + rng.normal(size=(n, len(names))) + rng.normal(size=(n, 1))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    frame = pd.DataFrame(x, columns=names).assign(u=np.where(np.arange(n) % 3 == 0, "p", "q"))
+    wide = spark.createDataFrame(frame).repartition(6)
+    wide = wide.select("u", *(F.nanvl(c, F.lit(None)).alias(c) for c in names))
+    got = portfolio.covariance(wide, names, by=["u"]).toPandas()
+    assert len(got) == 2 * len(names) ** 2
+    for u, part in got.groupby("u"):
+        want = frame[frame["u"] == u][names]
+        assert np.allclose(part.pivot(index="a", columns="b", values="cov")[names].loc[names], want.cov(), rtol=1e-6, atol=1e-9)
+        own = part[part["a"] == part["b"]]
+        assert (own["corr"] == 1.0).all() and part["corr"].abs().max() <= 1.2
+    dist = portfolio.correlation_distance(spark.createDataFrame(got[got["a"].isin(names[:15]) & got["b"].isin(names[:15])]))
+    two = portfolio.distance_of_distances(dist, by=["u"]).toPandas()
+    d = dist.toPandas()
+    for u, part in two.groupby("u"):
+        m = d[d["u"] == u].pivot(index="a", columns="b", values="dist")
+        want = np.sqrt(((m.to_numpy()[:, None, :] - m.to_numpy()[None, :, :]) ** 2).sum(2))
+        assert np.allclose(part.pivot(index="a", columns="b", values="dist2").loc[m.index, m.index], want)
