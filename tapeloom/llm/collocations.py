@@ -6,8 +6,8 @@ ways to cut it in two, with a, l and r the counts of phrase, first part and rest
 longer one of the same count are dropped, the first ``TOP`` of each language stay.
 
 Weighted automata: a task gathers shards of text, sorts the distinct word windows of a shard and builds from them, window by
-window, a minimal acyclic transducer whose states hold counts (``CountTransducer``). Its parts below each prefix (first word, and
-a range of second words) become rows; Spark brings the rows of one prefix range together in order, and equal prefixes are united
+window, a minimal acyclic transducer whose states hold counts (``CountTransducer``). Its parts below the prefixes of one range (first
+words, each with a part of its second words) become a row; Spark brings the rows of one prefix range together, and they are united
 with their weights summed. Phrases read off the united automata meet their parts by a join: the composition of all cuts of the
 candidates with the counts.
 
@@ -36,8 +36,9 @@ from tapeloom.llm.common import small_batches, stored
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2_000
 SHARD_BYTES, FILTER_BYTES = 12 << 20, 64 << 20
-#: Ranges into which the second words below one first word are dealt.
-FAN = 8
+#: Prefix ranges of a language: a first word with a part of its second words (``FAN`` parts) lies in one of them. They are the tasks that
+#: can unite automata side by side, and a shard gives at most one row to each.
+RANGES, FAN = 1024, 8
 BREAK = b"."
 _FLAT = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,8 +73,8 @@ class Shard:
         return np.concatenate(self.parts), list(self.table), np.array([xxhash.xxh64_intdigest(w, seed) for w in self.table], np.uint64)
 
 
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
-    """Shards of about ``SHARD_BYTES`` of a task's rows (lang, text)."""
+def _shards(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
+    """Shards of about ``most`` bytes of a task's rows (lang, text)."""
     held: dict[str, Shard] = defaultdict(Shard)
     size = 0
     for b in small_batches(batches):
@@ -81,7 +82,7 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
             raw = text.encode()
             held[lang].add(raw)
             size += len(raw)
-            if size > SHARD_BYTES:
+            if size > most:
                 yield from ((k, *x.arrays(k)) for k, x in held.items())
                 held.clear()
                 size = 0
@@ -100,8 +101,10 @@ def _pieces(docs: DataFrame) -> DataFrame:
 def frequent_hashes(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Hashes of the words and word pairs that occur ``min_count`` times (and of none that occur less, but for collisions)."""
 
+    most = SHARD_BYTES
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, words, hashes in _shards(batches):
+        for _, ids, words, hashes in _shards(batches, most):
             n = np.bincount(ids, minlength=len(words))[1:]
             both = (ids[:-1] > 0) & (ids[1:] > 0)
             key, times = np.unique(ids[:-1][both].astype(np.int64) * len(words) + ids[1:][both], return_counts=True)
@@ -187,19 +190,23 @@ class CountTransducer:
         self._close(1)
         return self.open[0][2]
 
-    def below(self, arcs: Iterable[tuple[int, int]], weight: int, words: list[bytes]) -> bytes:
-        """The part that can be reached by ``arcs``, its start state last, with words in place of numbers."""
+    def below(self, firsts: dict[int, list], weight: int, words: list[bytes]) -> bytes:
+        """One range as an automaton of its own, words in place of numbers: ``firsts`` has the weight and the arcs of its first words."""
         place: dict[int, int] = {}
         out: list[tuple[int, tuple]] = []
 
         def walk(number: int) -> int:
             if number not in place:
                 n, more = self.states[number]
-                out.append((n, tuple((words[w], walk(s)) for w, s in more)))
+                out.append((n, tuple([(words[w], walk(s)) for w, s in more])))
                 place[number] = len(out) - 1
             return place[number]
 
-        out.append((weight, tuple((words[w], walk(s)) for w, s in arcs)))
+        start = []
+        for first, (n, *arcs) in firsts.items():
+            out.append((n, tuple([(words[w], walk(s)) for w, s in arcs])))
+            start.append((words[first], len(out) - 1))
+        out.append((weight, tuple(start)))
         return marshal.dumps(out)
 
 
@@ -227,11 +234,10 @@ def windows(ids: np.ndarray, passes: np.ndarray, longest: int) -> np.ndarray:
     return out
 
 
-def shard_rows(ids: np.ndarray, words: list[bytes], hashes: np.ndarray, known: Filter, longest: int) -> Iterator[tuple[bytes, int, bytes]]:
-    """Rows (first word, range of second words, automaton) of one shard; -1 is the first word alone, and no word all words."""
+def shard_rows(ids: np.ndarray, words: list[bytes], hashes: np.ndarray, known: Filter, longest: int, count: int = RANGES) -> Iterator[tuple[int, bytes]]:
+    """Rows (range, automaton) of one shard; the start state of range 0 weighs all words."""
     n = np.bincount(ids, minlength=len(words))
     n[0] = 0
-    yield b"", -1, marshal.dumps([(int(n.sum()), ())])
     told = np.flatnonzero((n > 0) & known(hashes))
     both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
     passes = np.zeros(len(ids), bool)
@@ -242,21 +248,21 @@ def shard_rows(ids: np.ndarray, words: list[bytes], hashes: np.ndarray, known: F
     rank = np.zeros(len(words), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     named = [b"", *(words[i] for i in order)]
-    for i in told:
-        yield words[i], -1, marshal.dumps([(int(n[i]), ())])
-    rows = windows(rank[ids], passes, longest)
-    if not len(rows):
-        return
-    distinct, times = np.unique(rows, axis=0, return_counts=True) if longest * len(named).bit_length() > 126 else _distinct(rows, len(named).bit_length())
+    home, fan = (np.append(0, (hashes[order] >> np.uint64(k)) % np.uint64(m)).astype(int).tolist() for k, m in ((20, count), (40, FAN)))
+    ranges: dict[int, dict[int, list]] = defaultdict(dict)
+    ranges[0] = {}
+    for i, times in zip(rank[told].tolist(), n[told].tolist(), strict=True):
+        ranges[home[i]][i] = [times]
     automaton = CountTransducer()
-    automaton.extend(distinct, times)
-    ranges = (hashes[order] >> np.uint64(40)) % np.uint64(FAN)
+    rows = windows(rank[ids], passes, longest)
+    if len(rows):
+        bits = len(named).bit_length()
+        automaton.extend(*(np.unique(rows, axis=0, return_counts=True) if longest * bits > 126 else _distinct(rows, bits)))
     for first, state in automaton.finish():
-        parts: dict[int, list] = defaultdict(list)
         for word, target in automaton.states[state][1]:
-            parts[int(ranges[word - 1])].append((word, target))
-        for r, arcs in parts.items():
-            yield named[first], r, automaton.below(arcs, 0, named)
+            ranges[(home[first] + 131 * fan[word]) % count].setdefault(first, [0]).append((word, target))
+    for r, firsts in ranges.items():
+        yield r, automaton.below(firsts, int(n.sum()) if r == 0 else 0, named)
 
 
 def _distinct(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,29 +281,32 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
     """Rows (lang, phrase, size, f) of all phrases of up to ``longest`` words that occur ``min_count`` times; size 0 has the
     number of words."""
     hashes = stored(frequent_hashes(docs, min_count), "frequent")
-    known = docs.sparkSession.sparkContext.broadcast(filter_of(hashes))  # at most FILTER_BYTES
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(hashes, FILTER_BYTES))  # at most so many bytes
+    most, count = SHARD_BYTES, RANGES
 
     def automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words, hashes in _shards(batches):
-            rows = shard_rows(ids, words, hashes, known.value, longest)
-            while part := list(itertools.islice(rows, 4096)):
-                first, r, blob = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(first, pa.binary()), pa.array(r, pa.int32()), pa.array(blob, pa.binary())], ["lang", "first", "part", "automaton"])
+        for lang, ids, words, hashes in _shards(batches, most):
+            rows = shard_rows(ids, words, hashes, known.value, longest, count)
+            while part := list(itertools.islice(rows, 512)):
+                r, blob = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(r, pa.int32()), pa.array(blob, pa.binary())], ["lang", "part", "automaton"])
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree = None, [0, {}]
 
         def told() -> Iterator[tuple[str, bytes, int, int]]:
-            lang, first, part = key
-            if not first:
+            lang, part = key
+            if part == 0:
                 yield lang, b"", 0, tree[0]
-                return
-            stack = [((first,), tree)] if part < 0 else [((first, w), n) for w, n in tree[1].items()]
-            while stack:
-                phrase, node = stack.pop()
-                if node[0] >= min_count:
-                    yield lang, b" ".join(phrase), len(phrase), node[0]
-                    stack += [((*phrase, w), n) for w, n in node[1].items()]
+            for first, top in tree[1].items():
+                if top[0] >= min_count:  # elsewhere the first word has no weight, its longer phrases may
+                    yield lang, first, 1, top[0]
+                stack = [((first, w), n) for w, n in top[1].items()]
+                while stack:
+                    phrase, node = stack.pop()
+                    if node[0] >= min_count:
+                        yield lang, b" ".join(phrase), len(phrase), node[0]
+                        stack += [((*phrase, w), n) for w, n in node[1].items()]
 
         def batch(rows: list) -> pa.RecordBatch:
             lang, phrase, size, f = zip(*rows, strict=True)
@@ -305,10 +314,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
 
         rows: list = []
         for b in batches:
-            for lang, first, part, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (lang, first, part) != key:
+            for lang, part, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (lang, part) != key:
                     rows += told() if key else ()
-                    key, tree = (lang, first, part), [0, {}]
+                    key, tree = (lang, part), [0, {}]
                     if len(rows) > 10_000:
                         yield batch(rows)
                         rows = []
@@ -318,8 +327,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
         if rows:
             yield batch(rows)
 
-    ranges = ["lang", "first", "part"]
-    shards = _pieces(docs).mapInArrow(automata, "lang string, first binary, part int, automaton binary")
+    ranges = ["lang", "part"]
+    shards = _pieces(docs).mapInArrow(automata, "lang string, part int, automaton binary")
     shards = stored(shards, "automata")  # Spark samples what it range-partitions: without this they would be built twice
     return shards.repartitionByRange(*ranges).sortWithinPartitions(*ranges).mapInArrow(united, "lang string, phrase string, size int, f long")
 

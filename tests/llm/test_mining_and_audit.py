@@ -60,6 +60,7 @@ def test_phrases(spark, monkeypatch, least, shard, size, top):
     """Small shards, a filter that lets almost all pass and few top rows change nothing."""
     monkeypatch.setattr(collocations, "SHARD_BYTES", shard)
     monkeypatch.setattr(collocations, "FILTER_BYTES", size)
+    monkeypatch.setattr(collocations, "RANGES", 3 if shard == 500 else 1024)
     rows = rows_of(1)
     docs = spark.createDataFrame(rows, DOC).repartition(3)
     got = collocations.collocations(docs, min_count=least, top=top)
@@ -83,7 +84,8 @@ def test_transducer_is_minimal_and_united():
         shard = Counter(tuple(int(x) for x in rng.integers(1, 7, rng.integers(1, 6))) for _ in range(40))
         t = collocations.CountTransducer()
         t.extend(np.array([(*w, *[0] * (5 - len(w))) for w in sorted(shard)]), np.array([shard[w] for w in sorted(shard)]))
-        states = collocations.marshal.loads(t.below(t.finish(), 0, words))
+        firsts = {w: [t.states[i][0], *t.states[i][1]] for w, i in t.finish()}
+        states = collocations.marshal.loads(t.below(firsts, 0, words))
         collocations.unite(tree, states, len(states) - 1)
         for w, n in shard.items():
             for k in range(1, len(w) + 1):
