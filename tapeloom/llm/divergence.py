@@ -52,6 +52,7 @@ def term_counter(text: bytes, step: int = 1 << 20) -> Counter:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Rows (lang, source, term, n, docs), added up; tasks count before anything moves."""
+    most = HELD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple, Counter] = defaultdict(Counter)
@@ -76,7 +77,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 c.update(found)
                 size += len(c)
                 docs[lang, source].update(found.keys())
-                if size > HELD:
+                if size > most:
                     yield from rows()
                     size = 0
         yield from rows()
@@ -104,6 +105,8 @@ def _shards(classes: DataFrame) -> DataFrame:
     # ranges by the start of the vector and a hash: Spark samples the keys on the driver, and whole vectors are long
     dealt = classes.repartitionByRange("lang", F.slice("vector", 1, 2), F.xxhash64("vector")).sortWithinPartitions("lang", "vector")
 
+    most = SHARD
+
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, shard = None, 0
         widths: list[np.ndarray] = []
@@ -135,11 +138,11 @@ def _shards(classes: DataFrame) -> DataFrame:
             edges = [0, *(np.flatnonzero(langs.slice(1).to_pandas().to_numpy() != langs.slice(0, b.num_rows - 1).to_pandas().to_numpy()) + 1).tolist(), b.num_rows] if b.num_rows else [0]
             for a, z in zip(edges, edges[1:], strict=False):
                 while a < z:
-                    if lang is not None and (langs[a].as_py() != lang or held >= SHARD):
+                    if lang is not None and (langs[a].as_py() != lang or held >= most):
                         yield made()
                         shard, widths, rows, names, held = shard + 1, [], [], {}, 0
                     lang = langs[a].as_py()
-                    part = b.slice(a, min(z - a, SHARD - held))
+                    part = b.slice(a, min(z - a, most - held))
                     vector = part.column(1)
                     size = np.diff(vector.offsets.to_numpy())
                     entries = vector.flatten()
