@@ -13,6 +13,7 @@ from tapeloom.catalog.feature_queries import feature_views, fracdiff_views
 from tapeloom.catalog.label_queries import T0, T0_SQL, T1, T1_SQL, label_views
 from tapeloom.catalog.registry import query
 from tapeloom.catalog.tape_queries import US, US_SQL, cusum_views, threshold_views
+from tapeloom.operators.cell_fits import out_of_sample_cells
 from tapeloom.operators import bets as B
 from tapeloom.operators import cv as V
 from tapeloom.operators import importance as I
@@ -450,12 +451,10 @@ def sta4(spark, d):
     m = members(spark, d)
     bars = x.bars.select("instrument", "pos", "ts", "close")
     parts = None
-    for reg in (0.001, 0.01, 0.1, 1.0):
-        oos = reuse(
-            I.out_of_sample(m, FEATS, I.logistic(reg=reg), splits=range(3)).select(
-                "instrument", "t0", "t1", "prob", F.when(F.col("pred") == 1, 1).otherwise(-1).alias("pred")
-            )
-        )
+    regs = (0.001, 0.01, 0.1, 1.0)
+    every = reuse(out_of_sample_cells(m, {str(v): (FEATS, v) for v in regs}, splits=range(3), name="reg"))
+    for reg in regs:
+        oos = every.where(F.col("reg") == str(reg)).select("instrument", "t0", "t1", "prob", F.when(F.col("pred") == 1, 1).otherwise(-1).alias("pred"))
         for step in (0.05, 0.1, 0.15, 0.2, 0.25):
             pnl = B.strategy_pnl(B.positions_on_bars(bars, B.bet_signal(oos, n_classes=2, step=step)))
             part = pnl.select("instrument", F.lit(f"reg={reg},step={step}").alias("trial"), "pos", "position", "pnl")

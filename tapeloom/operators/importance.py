@@ -1,9 +1,8 @@
 """Cross-validated models, feature importance and tuning over purged membership.
 
-Each (split, parameter) fit is a distributed MLlib job on the members of that split; the driver only
-loops over splits, features and parameter points.  The classifiers are MLlib's: forests and logistic
-regression take the place of kernel machines, with the same contract (weights in fit and score, scaling
-inside the fold).
+Forests (one distributed MLlib job per split) and logistic regressions (all splits, features and parameter points in one scan per
+Newton step, ``cell_fits``) take the place of kernel machines, with the same contract (weights in fit and score, scaling inside
+the fold).
 """
 
 from __future__ import annotations
@@ -13,12 +12,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators.cell_fits import Logistic, out_of_sample_cells
 from tapeloom.operators.cv import path_assignment, weighted_scores
 from tapeloom.operators.portfolio import covariance
 from tapeloom.plans.series import KEYS, position, reuse
@@ -34,7 +34,7 @@ def forest(*, trees: int = 20, depth: int = 5, seed: int = 7) -> Factory:
 
 
 def logistic(*, reg: float = 0.01) -> Factory:
-    return lambda: LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=reg, maxIter=25)
+    return Logistic(reg)
 
 
 def fit(train: DataFrame, features: Sequence[str], factory: Factory):
@@ -61,6 +61,8 @@ def _split(members: DataFrame, s: int, role: str) -> DataFrame:
 
 def out_of_sample(members: DataFrame, features: Sequence[str], factory: Factory, *, splits: Sequence[int]) -> DataFrame:
     """Every test row predicted by a model that never saw its fold."""
+    if isinstance(factory, Logistic):
+        return out_of_sample_cells(members, {"": (list(features), factory.reg)}, splits=splits)
     parts = None
     for s in splits:
         model = fit(_split(members, s, "train"), features, factory)
@@ -134,11 +136,13 @@ def mda(
 
 def sfi(members: DataFrame, features: Sequence[str], factory: Factory, *, splits: Sequence[int], scoring: str = "neg_log_loss") -> DataFrame:
     """Cross-validated score of each feature on its own."""
+    spread = F.avg(scoring).alias("mean"), (F.stddev_samp(scoring) / F.sqrt(F.count(F.lit(1)))).alias("std")
+    if isinstance(factory, Logistic):
+        oos = out_of_sample_cells(members, {f: ([f], factory.reg) for f in features}, splits=splits, name="feature")
+        return weighted_scores(oos, ["feature", "split"], prob="prob1").groupBy("feature").agg(*spread)
     parts = None
     for f in features:
-        part = cv_score(members, [f], factory, splits=splits).agg(
-            F.lit(f).alias("feature"), F.avg(scoring).alias("mean"), (F.stddev_samp(scoring) / F.sqrt(F.count(F.lit(1)))).alias("std")
-        )
+        part = cv_score(members, [f], factory, splits=splits).agg(F.lit(f).alias("feature"), *spread)
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -228,12 +232,16 @@ def search(members: DataFrame, features: Sequence[str], candidates: dict[str, Fa
     """Mean score per candidate over purged splits, best first; F1 for 0/1 labels else log loss."""
     members = reuse(members)
     score = "f1" if binary else "neg_log_loss"
+    told = F.avg(F.coalesce(score, F.lit(0.0))).alias("score"), F.stddev_samp(score).alias("spread")
+    linear = {name: (list(features), f.reg) for name, f in candidates.items() if isinstance(f, Logistic)}
     parts = None
+    if linear:
+        oos = out_of_sample_cells(members, linear, splits=splits, name="candidate")
+        parts = weighted_scores(oos, ["candidate", "split"], prob="prob1").groupBy("candidate").agg(*told)
     for name, factory in candidates.items():
-        part = cv_score(members, features, factory, splits=splits).agg(
-            F.lit(name).alias("candidate"), F.avg(F.coalesce(score, F.lit(0.0))).alias("score"), F.stddev_samp(score).alias("spread")
-        )
-        parts = part if parts is None else parts.unionByName(part)
+        if name not in linear:
+            part = cv_score(members, features, factory, splits=splits).agg(F.lit(name).alias("candidate"), *told)
+            parts = part if parts is None else parts.unionByName(part)
     return parts.orderBy(F.col("score").desc(), "candidate")
 
 
