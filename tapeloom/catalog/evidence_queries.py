@@ -13,12 +13,13 @@ from tapeloom.catalog.feature_queries import feature_views, fracdiff_views
 from tapeloom.catalog.label_queries import T0, T0_SQL, T1, T1_SQL, label_views
 from tapeloom.catalog.registry import query
 from tapeloom.catalog.tape_queries import US, US_SQL, cusum_views, threshold_views
-from tapeloom.operators.cell_fits import out_of_sample_cells
 from tapeloom.operators import bets as B
 from tapeloom.operators import cv as V
 from tapeloom.operators import importance as I
 from tapeloom.operators import micro as M
+from tapeloom.operators import risk as K_R
 from tapeloom.operators import ticks as K
+from tapeloom.operators.cell_fits import out_of_sample_cells
 from tapeloom.operators.fracdiff import ffd_grid
 from tapeloom.operators.stats import sharpe_by
 from tapeloom.plans import evidence as E
@@ -430,6 +431,29 @@ def imp6(spark, d):
     return I.by_prefix(imp, by=["study"]).select("study", "family", r("total"), r("average"))
 
 
+@query("imp5_component_tau")
+def imp5_components(spark, d):
+    """Importances of principal components against the order of their variances."""
+    t = reuse(I.orthogonal_features(training(spark, d), FEATS))
+    parts = [c for c in t.columns if c.startswith("PC_")]
+    ranked = I.mdi(t, parts, MODEL).withColumn("y", 1.0 / F.substring("feature", 4, 9).cast("int"))
+    return I.weighted_tau(ranked.withColumn("k", F.lit("MDI")), x="mean", y="y", by=["k"]).select(F.col("k").alias("method"), "tau")
+
+
+@query("imp6_family_importance")
+def imp6_families(spark, d):
+    """Importances by all three methods, added up by family of features."""
+    return I.by_prefix(imp7(spark, d), by=["method"])
+
+
+@query("cv10_cpcv_path_variance")
+def cv10_paths(spark, d):
+    """Variance of the mean Sharpe ratio of the combinatorial paths: each path bets on its own out-of-sample predictions."""
+    side = F.when(F.col("pred") == 1, 1.0).otherwise(-1.0)
+    bets = reuse(path_predictions(spark, d)).select("instrument", "pos", "path", (side * F.col("ret")).alias("ret"))
+    return V.path_variance(bets, n_path=V.n_paths(4, 2))
+
+
 @query("imp7_importance_driver")
 def imp7(spark, d):
     t = training(spark, d)
@@ -467,7 +491,16 @@ def sta4(spark, d):
 
 # --------------------------------------------------------------------------- oversight
 def oversight(spark, d):
-    return Q.evidence(spark, d).withColumn("p_fail", F.col("tw_mean"))
+    """Evidence of each study with its best trial's probability of failure at the most demanding target."""
+    risk = K_R.probability_of_failure(Q.payoffs(spark, d)).groupBy("study", "trial").agg(F.max_by("p_fail", "target").alias("p_fail"))
+    return Q.evidence(spark, d).join(risk.withColumnRenamed("trial", "best_trial"), ["study", "best_trial"], "left")
+
+
+view(
+    "bestfail",
+    f"SELECT study, trial AS best_trial, {Q.norm_cdf_sql('z')} AS p_fail FROM (SELECT *, (need - p) / sqrt(p * (1 - p)) AS z FROM need QUALIFY row_number() OVER (PARTITION BY study, trial ORDER BY target DESC) = 1)",
+    "need",
+)
 
 
 _STAGE = "CASE WHEN t_eff < 30 OR n_trials < 10 OR dsr < 0.5 THEN 'EMBARGO' WHEN dsr < 0.95 THEN 'PAPER_TRADING' ELSE 'GRADUATION_CANDIDATE' END"
@@ -481,12 +514,12 @@ def pip6(spark, d):
 @query(
     "pip7_circuit_breaker",
     with_views(
-        "SELECT study, concat_ws(',', CASE WHEN pbo > 0.5 THEN 'pbo' END, CASE WHEN tw_mean > 0.5 THEN 'p_fail' END) AS reasons, pbo > 0.5 OR tw_mean > 0.5 AS triggered FROM evid",
-        "evid",
+        "SELECT study, concat_ws(',', CASE WHEN pbo > 0.5 THEN 'pbo' END, CASE WHEN p_fail > 0.5 THEN 'p_fail' END) AS reasons, pbo > 0.5 OR coalesce(p_fail > 0.5, false) AS triggered, round(p_fail, 6) AS p_fail FROM evid LEFT JOIN bestfail USING (study, best_trial)",
+        "evid", "bestfail",
     ),
 )
 def pip7(spark, d):
-    return E.circuit_breaker(oversight(spark, d)).select("study", F.array_join("reasons", ",").alias("reasons"), "triggered")
+    return E.circuit_breaker(oversight(spark, d)).select("study", F.array_join("reasons", ",").alias("reasons"), "triggered", r("p_fail"))
 
 
 @query(

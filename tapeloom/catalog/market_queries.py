@@ -572,8 +572,10 @@ def sbk5(spark, d):
     "sbk6_least_squares",
     with_views(
         """
-SELECT instrument, 'level' AS term, round(b, 6) AS beta, round((syy - b * sxy) * n / (n - 2) / (sxx * n), 6) AS var FROM (
-  SELECT instrument, count(*) AS n, regr_slope(y - l, l) AS b, var_pop(y - l) AS syy, covar_pop(y - l, l) AS sxy, var_pop(l) AS sxx FROM ylog WHERE l IS NOT NULL GROUP BY 1)
+SELECT instrument, unnest(['level', 'one']) AS term, round(unnest([b, my - b * mx]), 6) AS beta, round(unnest([s2 / (sxx * n), s2 * (1 / n + mx * mx / (sxx * n))]), 6) AS var
+FROM (SELECT *, (syy - b * sxy) * n / (n - 2) AS s2 FROM (
+  SELECT instrument, count(*) AS n, regr_slope(y - l, l) AS b, avg(y - l) AS my, avg(l) AS mx, var_pop(y - l) AS syy, covar_pop(y - l, l) AS sxy, var_pop(l) AS sxx
+  FROM ylog WHERE l IS NOT NULL GROUP BY 1))
 """,
         "ylog",
     ),
@@ -581,7 +583,7 @@ SELECT instrument, 'level' AS term, round(b, 6) AS beta, round((syy - b * sxy) *
 def sbk6(spark, d):
     design = X.regression_design(ylog(spark, d), lags=0, constant="c")
     out = X.least_squares(design, X.design_columns(0, "c"))
-    return out.where(F.col("term") == "level").select("instrument", "term", r("beta"), r("var"))
+    return out.select("instrument", "term", r("beta"), r("var"))
 
 
 MINSL = 20
