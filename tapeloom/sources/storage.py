@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders made inside each open ``scratch_scope``, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -32,4 +36,23 @@ def shared_base(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared folder."""
-    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators make inside the scope go when it ends, whether or not the job has failed.
+
+    Results are lazy and read these folders, so write them out inside the scope. Without a scope folders stay.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
