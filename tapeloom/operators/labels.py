@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.plans.series import KEYS, asof, ewm_sums, framed, lagged, packed, position, running, span_blocks
+from tapeloom.plans.series import KEYS, asof, asof_many, ewm_sums, framed, lagged, packed, position, running, span_blocks
 
 DAY_US = 86_400_000_000
 BLOCK = 256
@@ -25,9 +25,8 @@ def us(c: str | Column) -> Column:
 def locate(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Add ``p0`` (first bar at or after t0) and ``p1`` (last bar at or before t1; null t1: last bar)."""
     last = bars.groupBy(*KEYS).agg(F.max("pos").alias("_last"))
-    found = asof(events, bars, {"p0": "pos"}, left_on=us("t0"), right_on=us("ts"), forward=True)
     far = F.coalesce(us("t1"), F.lit((1 << 62)))
-    found = asof(found, bars, {"p1": "pos"}, left_on=far, right_on=us("ts"))
+    found = asof_many(events, bars, [({"p0": "pos"}, us("t0"), True), ({"p1": "pos"}, far, False)], right_on=us("ts"))
     return (
         found.join(last, list(KEYS), "left")
         .withColumn("p1", F.coalesce("p1", "_last"))
@@ -189,8 +188,7 @@ def meta_events(bars, events, vol, *, pt_sl, min_ret, num_days=None, t1=None) ->
 def _returns(bars: DataFrame, events: DataFrame) -> DataFrame:
     done = events.where(F.col("t1").isNotNull())
     last = bars.groupBy(*KEYS).agg(F.max_by("close", "pos").alias("_lc"))
-    done = asof(done, bars, {"_c0": "close"}, left_on=us("t0"), right_on=us("ts"), forward=True)
-    done = asof(done, bars, {"_c1": "close"}, left_on=us("t1"), right_on=us("ts"), forward=True)
+    done = asof_many(done, bars, [({"_c0": "close"}, us("t0"), True), ({"_c1": "close"}, us("t1"), True)], right_on=us("ts"))
     exit_ = F.coalesce("_c1", "_lc")
     return done.join(last, list(KEYS)).withColumn("ret", exit_ / F.col("_c0") - 1).drop("_c0", "_c1", "_lc")
 

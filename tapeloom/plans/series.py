@@ -273,6 +273,45 @@ def asof(
     )
 
 
+def asof_many(left: DataFrame, right: DataFrame, lookups: Sequence[tuple[dict[str, str], Column, bool]], *, right_on: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Several lookups of each left row in one ordered pass: ``lookups`` are (cols, left_on, forward), as in :func:`asof`.
+
+    Each lookup puts the left row's number into the one series at its own time; right rows are there once. A forward lookup stands
+    before right rows of its time and a backward one after them, and the last row before or the first row after it, in its
+    own partition or carried from the next one that has any, is what it finds. The findings of a left row meet at last.
+    """
+    keys, names = list(keys), sorted({c for cols, _, _ in lookups for c in cols.values()})
+    rows = reuse(left.withColumn("_id", F.monotonically_increasing_id()).withColumns({f"_at{i}": on for i, (_, on, _) in enumerate(lookups)}))
+    payload = F.struct(*[F.col(c) for c in names])
+    ptype = right.select(payload.alias("p")).schema["p"].dataType
+    mark = [F.struct(F.col(f"_at{i}").alias("t"), F.lit(0 if ahead else 2).alias("s"), F.lit(i).alias("k")) for i, (_, _, ahead) in enumerate(lookups)]
+    asked = rows.select(*keys, "_id", F.explode(F.array(*mark)).alias("_x")).where("_x.t IS NOT NULL")
+    series = asked.select(*keys, F.col("_x.t").alias("_t"), F.col("_x.s").alias("_s"), F.col("_x.k").alias("_k"), "_id", F.lit(None).cast(ptype).alias("_r")).unionByName(
+        right.where(right_on.isNotNull()).select(*keys, right_on.alias("_t"), F.lit(1).alias("_s"), F.lit(None).cast("int").alias("_k"), F.lit(None).cast("long").alias("_id"), payload.alias("_r"))
+    )
+    cell = [*keys, "_part"]
+    series = reuse(series.repartitionByRange(*keys, "_t", "_s").withColumn("_part", F.spark_partition_id()))
+    has = F.when(F.col("_r").isNotNull(), F.struct("_t", "_s"))
+    ends = series.groupBy(*cell).agg(F.max_by("_r", has).alias("_newest"), F.min_by("_r", has).alias("_oldest"))
+    by_part = Window.partitionBy(*keys).orderBy("_part")
+    carry = ends.select(
+        *cell,
+        F.last("_newest", ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_oldest", ignorenulls=True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    inside = Window.partitionBy(*cell).orderBy("_t", "_s")
+    here = series.withColumns(
+        {
+            "_b": F.last("_r", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "_f": F.last("_r", ignorenulls=True).over(Window.partitionBy(*cell).orderBy(F.desc("_t"), F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    ).where(F.col("_id").isNotNull())
+    found = here.join(carry, cell).select("_id", "_k", F.when(F.col("_s") == 0, F.coalesce("_f", "_after")).otherwise(F.coalesce("_b", "_before")).alias("_m"))
+    found = found.groupBy("_id").agg(*[F.first(F.when(F.col("_k") == i, F.col("_m")), ignorenulls=True).alias(f"_m{i}") for i in range(len(lookups))])
+    out = [F.col(f"_m{i}")[c].alias(n) for i, (cols, _, _) in enumerate(lookups) for n, c in cols.items()]
+    return rows.join(found, "_id", "left").select(*left.columns, *out)
+
+
 # --------------------------------------------------------------------------- exponential weights
 def ewm_sums(
     df: DataFrame, cols: dict[str, Column], beta: float, *, keys: Sequence[str] = KEYS, pos: str = "pos"
