@@ -24,6 +24,7 @@ from tapeloom.operators.fracdiff import ffd_grid
 from tapeloom.operators.stats import sharpe_by
 from tapeloom.plans import evidence as E
 from tapeloom.plans.series import position, reuse
+from tapeloom.plans.sweep import evidence_sweep, label_sweep
 from tapeloom.sources import artefacts as A
 from tapeloom.sources import canonical as C
 from tapeloom.sources.storage import scratch
@@ -533,14 +534,52 @@ def pip8(spark, d):
     return E.confidence_band(oversight(spark, d)).select("study", "confidence", r("dsr"), r("pbo"))
 
 
+SWEEP_H = (40.0, 120.0, 1e9)
+for _h in SWEEP_H:
+    _p = f"sw{_h:.0f}"
+    cusum_views(f"{_p}_ev", "pbars", "close", f"{_h:.0f}::DOUBLE")
+    label_views(_p, "pbars", f"{_p}_ev", beta="(1 - 2.0/21.0)::DOUBLE", pt=0.3, sl=0.1, min_ret=0.01, days=2)
+
+
+def frozen_tape(spark, d):
+    path = scratch(spark, "frozen")
+    A.freeze({"tape": C.ticks(spark, d)}, path)
+    return A.load_frozen(spark, path, ["tape"])["tape"]
+
+
+def sweep_grid():
+    return {f"h={h:g}": replace(CFG, cusum_h=h) for h in SWEEP_H} | {"no bars": replace(CFG, target_bars=0)}
+
+
+@query(
+    "pip10_label_sweep",
+    with_views(
+        " UNION ALL ".join(
+            f"""
+SELECT 'h={h:g}' AS config, n.instrument, CASE WHEN e.n_events IS NULL THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN s.n_sampled IS NULL THEN 'stage events produced no rows' WHEN e.n_events IS NULL THEN 'stage labels produced no rows' END AS error,
+       n.n_bars, s.n_sampled, e.n_events, e.tw_mean, e.t_eff
+FROM (SELECT instrument, count(*) AS n_bars FROM pbars GROUP BY 1) n
+LEFT JOIN (SELECT instrument, count(*) AS n_sampled FROM sw{h:.0f}_ev GROUP BY 1) s USING (instrument)
+LEFT JOIN (SELECT instrument, count(*) AS n_events, round(avg(tw), 6) AS tw_mean, round(sum(tw), 6) AS t_eff FROM sw{h:.0f}_weights GROUP BY 1) e USING (instrument)
+"""
+            for h in SWEEP_H
+        )
+        + " UNION ALL SELECT DISTINCT 'no bars', instrument, 'failed', 'target_bars must be positive', NULL, NULL, NULL, NULL, NULL FROM ticks",
+        "ticks", "pbars", *[f"sw{h:.0f}_{v}" for h in SWEEP_H for v in ("ev", "weights")],
+    ),
+)
+def pip10_labels(spark, d):
+    """Bars, events and uniqueness of every configuration from one job."""
+    return label_sweep(frozen_tape(spark, d), sweep_grid()).select(
+        "config", "instrument", "status", "error", "n_bars", "n_sampled", "n_events", r("tw_mean"), r("t_eff")
+    )
+
+
 @query("pip10_parameter_sweep")
 def pip10(spark, d):
-    tape = C.ticks(spark, d)
-    path = scratch(spark, "frozen")
-    A.freeze({"tape": tape}, path)
-    frozen = A.load_frozen(spark, path, ["tape"])["tape"]
-    grid = {f"h={h:g}": replace(CFG, cusum_h=h) for h in (40.0, 120.0, 1e9)}
-    return E.sweep(spark, grid, lambda cfg: E.sweep_point(frozen, cfg))
+    """The same with models, trials, probability of overfitting and deflated Sharpe ratio per configuration."""
+    return evidence_sweep(frozen_tape(spark, d), sweep_grid(), features=FEATS)
 
 
 @query(

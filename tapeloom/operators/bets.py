@@ -46,11 +46,15 @@ def average_active(signals: DataFrame) -> DataFrame:
     )
 
 
+def stepped(signal: Column, step: float | Column) -> Column:
+    """Half-even to multiples of ``step``, clipped to [-1, 1]."""
+    s = F.lit(step)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.rint(signal / s) * s)) + F.lit(0.0)
+
+
 def discretise(df: DataFrame, *, step: float, signal: str = "signal") -> DataFrame:
     """Round half-even to multiples of ``step`` and clip to [-1, 1]."""
-    return df.withColumn(
-        signal, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.rint(F.col(signal) / F.lit(step)) * F.lit(step))) + F.lit(0.0)
-    )
+    return df.withColumn(signal, stepped(F.col(signal), step))
 
 
 def bet_signal(df: DataFrame, *, n_classes: int, step: float) -> DataFrame:

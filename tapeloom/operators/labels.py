@@ -21,6 +21,11 @@ def us(c: str | Column) -> Column:
     return F.unix_micros(c)
 
 
+def level(v: float | str) -> Column:
+    """A setting: a constant, or the name of a column of the events."""
+    return F.col(v) if isinstance(v, str) else F.lit(v)
+
+
 # --------------------------------------------------------------------------- event windows
 def locate(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Add ``p0`` (first bar at or after t0) and ``p1`` (last bar at or before t1; null t1: last bar)."""
@@ -96,35 +101,35 @@ def daily_volatility(bars: DataFrame, *, span: int = 100, days: int = 1) -> Data
     return sums.withColumn("vol", F.when(F.col("k") > 0, F.sqrt(fixed))).select(*KEYS, "pos", "ts", "close", "ret", "vol")
 
 
-def vertical_barrier(bars: DataFrame, events: DataFrame, *, days: float) -> DataFrame:
-    """First bar at or after t0 + days as ``t1``; events without one are absent."""
-    found = asof(
-        events.select(*KEYS, "t0"), bars, {"t1": "ts"}, left_on=us("t0") + int(days * DAY_US), right_on=us("ts"), forward=True
-    )
-    return found.where(F.col("t1").isNotNull())
+def vertical_barrier(bars: DataFrame, events: DataFrame, *, days: float | str) -> DataFrame:
+    """First bar at or after t0 + days (constant or column) as ``t1``; events without one are absent."""
+    until = us("t0") + (level(days) * F.lit(DAY_US)).cast("long")
+    found = asof(events.select(*KEYS, "t0", until.alias("_until")), bars, {"t1": "ts"}, left_on=F.col("_until"), right_on=us("ts"), forward=True)
+    return found.where(F.col("t1").isNotNull()).drop("_until")
 
 
-def first_touch(bars: DataFrame, events: DataFrame, *, pt: float, sl: float, size: int = BLOCK, levels: Sequence[int] | None = None) -> DataFrame:
+def first_touch(bars: DataFrame, events: DataFrame, *, pt: float | str, sl: float | str, size: int = BLOCK, levels: Sequence[int] | None = None) -> DataFrame:
     """Earliest profit-taking and stop-loss times of each event's path, null when untouched.
 
     ``events`` has t0, t1 (nullable vertical barrier), trgt and side.  The search goes from coarse to
     fine: of the blocks an event overlaps only the first whole one whose price range reaches the barrier
     is kept (it holds a touch for sure), and the cut ones at the edges before it; bars are read for the last level only.
     ``levels`` are block lengths, each a multiple of the next (256 x ``size``, then ``size``).
+    ``pt`` and ``sl`` are constants or columns of the events; a barrier at 0 is switched off.
     """
     levels = levels or (256 * size, size)
     cols = [c for c in events.columns if c not in KEYS]
     spans = locate(bars, events)
     spans = spans.join(bars.select(*KEYS, F.col("pos").alias("p0"), F.col("close").alias("_c0")), [*KEYS, "p0"])
-    goals = [F.lit(g) for g, on in (("pt", pt > 0), ("sl", sl > 0)) if on]
+    goals = [F.when(level(v) > 0, F.lit(g)) for g, v in (("pt", pt), ("sl", sl)) if isinstance(v, str) or v > 0]
     untouched = spans.select(*KEYS, *cols, F.lit(None).cast("string").alias("goal"), F.lit(None).cast("timestamp").alias("ts"))
     if goals:
-        ranges = spans.withColumns({"goal": F.explode(F.array(*goals)), "lo": F.col("p0"), "hi": F.col("p1")})
+        ranges = spans.withColumns({"goal": F.explode(F.array_compact(F.array(*goals))), "lo": F.col("p0"), "hi": F.col("p1")})
         event = [*KEYS, *cols, "_c0", "p0", "p1", "goal"]
 
         def hit(price: Column) -> Column:
             gain = (price / F.col("_c0") - 1) * F.col("side")
-            return F.when(F.col("goal") == "pt", gain > pt * F.col("trgt")).otherwise(gain < -sl * F.col("trgt"))
+            return F.when(F.col("goal") == "pt", gain > level(pt) * F.col("trgt")).otherwise(gain < -level(sl) * F.col("trgt"))
 
         for size in levels:
             blk = F.floor(F.col("pos") / size).cast("long")
@@ -149,19 +154,21 @@ def barrier_events(
     events: DataFrame,
     vol: DataFrame,
     *,
-    pt_sl: tuple[float, float],
-    min_ret: float,
+    pt_sl: tuple[float | str, float | str],
+    min_ret: float | str,
     t1: DataFrame | None = None,
-    num_days: float | None = None,
+    num_days: float | str | None = None,
 ) -> DataFrame:
     """First barrier touched per event.  A ``side`` column makes the barriers asymmetric and is kept;
-    without one both use ``pt_sl[0]`` unless the pair is given explicitly."""
+    without one both use ``pt_sl[0]`` unless the pair is given explicitly.  Settings are constants or columns of
+    the events, so events of many configurations can share one job."""
     sided = "side" in events.columns
-    base = events.select(*KEYS, "t0", *(["side"] if sided else []))
+    settings = list(dict.fromkeys(v for v in (*pt_sl, min_ret, num_days) if isinstance(v, str)))
+    base = events.select(*KEYS, "t0", *(["side"] if sided else []), *settings)
     if not sided:
         base = base.withColumn("side", F.lit(1))
     ev = asof(base, vol, {"trgt": "vol"}, left_on=us("t0"), right_on=us("ts"), forward=True)
-    ev = ev.where(F.col("trgt") > min_ret)
+    ev = ev.where(F.col("trgt") > level(min_ret))
     if num_days is not None:
         t1 = vertical_barrier(bars, ev, days=num_days)
     if t1 is not None:
@@ -169,14 +176,13 @@ def barrier_events(
     else:
         ev = ev.withColumn("t1", F.lit(None).cast("timestamp"))
     hit = first_touch(bars, ev, pt=pt_sl[0], sl=pt_sl[1])
-    out = hit.withColumn("t1", F.least("t1", "sl_ts", "pt_ts")).drop("sl_ts", "pt_ts")
+    out = hit.withColumn("t1", F.least("t1", "sl_ts", "pt_ts")).drop("sl_ts", "pt_ts", *settings)
     return out if sided else out.drop("side")
 
 
 def triple_barrier_events(bars, events, vol, *, pt_sl, min_ret, num_days=None, t1=None) -> DataFrame:
     """Symmetric-side triple barrier with separate profit and loss multiples."""
-    base = events.select(*KEYS, "t0")
-    return barrier_events(bars, base, vol, pt_sl=pt_sl, min_ret=min_ret, num_days=num_days, t1=t1)
+    return barrier_events(bars, events.drop("side"), vol, pt_sl=pt_sl, min_ret=min_ret, num_days=num_days, t1=t1)
 
 
 def meta_events(bars, events, vol, *, pt_sl, min_ret, num_days=None, t1=None) -> DataFrame:
