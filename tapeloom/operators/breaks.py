@@ -11,13 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.plans.series import KEYS, div, lagged, packed, running
+from tapeloom.plans.series import KEYS, div, lagged, packed, reuse, running
 
-TILE = 512
+TILE, STRIPES = 512, 16
 
 
 # --------------------------------------------------------------------------- recursive residuals
@@ -73,18 +73,58 @@ def _field(name: str):
 
 def _tiles(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     """Every (start block, end block) pair with start <= end, keyed by start block."""
-    blocks = packed(df, cols, size=size).select(
-        *KEYS, "blk", *[F.transform("rows", _field(c)).alias(c) for c in cols]
-    )
+    blocks = _blocks(df, cols, size)
     ends = blocks.withColumn("_sblk", F.explode(F.sequence(F.lit(0).cast("long"), "blk")))
-    starts = blocks.select(*KEYS, F.col("blk").alias("_sblk"), *[F.col(c).alias(f"_s_{c}") for c in cols])
-    return ends.join(starts, [*KEYS, "_sblk"])
+    return ends.join(_starts(blocks, cols), [*KEYS, "_sblk"])
+
+
+def _blocks(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
+    return packed(df, cols, size=size).select(*KEYS, "blk", *[F.transform("rows", _field(c)).alias(c) for c in cols])
+
+
+def _starts(blocks: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return blocks.select(*KEYS, F.col("blk").alias("_sblk"), *[F.col(c).alias(f"_s_{c}") for c in cols])
+
+
+def _known(near: DataFrame, blocks: DataFrame) -> DataFrame:
+    """End blocks with the best departure of each end from its own block and the one before."""
+    value = lambda x: F.coalesce(x["v"], F.lit(float("-inf")))
+    own = near.where(F.col("blk") == F.col("_sblk")).select(*KEYS, "blk", F.transform("_best", value).alias("_own"))
+    prior = near.where(F.col("blk") > F.col("_sblk")).select(*KEYS, "blk", F.transform("_best", value).alias("_prior"))
+    both = blocks.join(own, [*KEYS, "blk"]).join(prior, [*KEYS, "blk"])
+    return both.withColumn("_known", F.zip_with("_own", "_prior", lambda a, b: F.greatest(a, b))).drop("_own", "_prior")
+
+
+def _far_tiles(near: DataFrame, blocks: DataFrame, y: str, size: int) -> DataFrame:
+    """(end block, start block) pairs, further than neighbours, that could hold a departure not below one already known.
+
+    ``near`` has each end block's values and the best departure of each end (``_known``). Ends are taken in stripes: no end of a stripe
+    departs from a start block by more than (stripe's maximum - block's minimum) / sqrt(shortest gap), or longest gap if that
+    is negative. Rounding keeps the order of these operations, so a tile left out cannot matter, ties included.
+    """
+    step = max(1, size // STRIPES)
+    piece = lambda c, i: F.slice(c, i * step + 1, step)
+    stripe = lambda i: F.struct(
+        (F.col("blk") * size + i * step).alias("at"), F.array_max(piece(y, i)).alias("hi"), F.array_min(piece("_known", i)).alias("known")
+    )
+    count = F.ceil(F.size(y) / step).cast("int")
+    ends = near.withColumn("_e", F.transform(F.sequence(F.lit(0), count - 1), stripe)).where(F.col("blk") >= 2)
+    pairs = ends.select(*KEYS, "blk", "_e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blk") - 2)).alias("_sblk"))
+    floor = blocks.select(*KEYS, F.col("blk").alias("_sblk"), F.array_min(y).alias("_lo"))
+
+    def open_(e: Column) -> Column:
+        rise = e["hi"] - F.col("_lo")
+        gap = F.when(rise > 0, e["at"] - (F.col("_sblk") + 1) * size + 1).otherwise(e["at"] + step - 1 - F.col("_sblk") * size)
+        return rise / F.sqrt(gap.cast("double")) >= e["known"]
+
+    return pairs.join(floor, [*KEYS, "_sblk"]).where(F.exists("_e", open_)).select(*KEYS, "blk", "_sblk")
 
 
 def level_shift_sup(df: DataFrame, *, y: str = "y", min_sample: int = 3, size: int = TILE) -> DataFrame:
     """Largest standardised departure of each end from all earlier reference levels.
 
-    Output per end: statistic, reference position (first maximum), 95% critical value there.
+    Output per end: statistic, reference position (first maximum), 95% critical value there.  Each end block meets itself and
+    the block before; of the others only those whose bound is not below what these gave.
     """
     moves = lagged(df.select(*KEYS, "pos", y), {"_p": F.col(y)}).withColumn("_d2", F.pow(F.col(y) - F.col("_p"), 2))
     var = running(moves, {"_ss": ("sum", F.col("_d2"))})
@@ -103,8 +143,14 @@ def level_shift_sup(df: DataFrame, *, y: str = "y", min_sample: int = 3, size: i
             out.append([{"v": float(q), "n": int(a * size + i)} if np.isfinite(q) else None for q, i in zip(v, n)])
         return pd.Series(out)
 
-    tiles = _tiles(var, [y], size)
-    scored = tiles.select(*KEYS, "blk", F.posexplode(best(y, f"_s_{y}", "blk", "_sblk")).alias("_i", "_b"))
+    blocks = reuse(_blocks(var, [y], size))
+    starts = _starts(blocks, [y])
+    found = best(y, f"_s_{y}", "blk", "_sblk").alias("_best")
+    close = blocks.withColumn("_sblk", F.explode(F.sequence(F.greatest(F.col("blk") - 1, F.lit(0)), "blk")))
+    near = reuse(close.join(starts, [*KEYS, "_sblk"]).select(*KEYS, "blk", "_sblk", found))
+    far = blocks.join(_far_tiles(_known(near, blocks), blocks, y, size), [*KEYS, "blk"]).join(starts, [*KEYS, "_sblk"])
+    met = near.unionByName(far.select(*KEYS, "blk", "_sblk", found))
+    scored = met.select(*KEYS, "blk", F.posexplode("_best").alias("_i", "_b"))
     sup = (
         scored.where(F.col("_b").isNotNull())
         .groupBy(*KEYS, (F.col("blk") * size + F.col("_i")).alias("pos"))
