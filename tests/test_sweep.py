@@ -103,3 +103,8 @@ def test_level_shift_leaves_out_tiles_that_cannot_matter(spark):
     near = spark.createDataFrame([(k, b, [float(v) for v in walks[k][b * size : (b + 1) * size]], [float(v) for v in known[k][b * size : (b + 1) * size]]) for k in walks for b in range(n // size)], "instrument string, blk long, y array<double>, _known array<double>")
     kept = K._far_tiles(near, blocks, "y", size).groupBy("instrument").count().toPandas().set_index("instrument")["count"]
     assert kept.get("down", 0) < 0.5 * (n // size - 1) * (n // size - 2) / 2
+
+
+def test_sweep_without_a_valid_point(spark, tape):
+    got = S.evidence_sweep(tape, {"w": replace(CFG, measure="absent")}).toPandas()
+    assert sorted(got["instrument"]) == ["a", "b"] and got["status"].eq("failed").all() and got["error"].eq("no column absent").all()
