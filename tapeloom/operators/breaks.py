@@ -71,13 +71,6 @@ def _field(name: str):
     return lambda x: x[name].cast("double")
 
 
-def _tiles(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
-    """Every (start block, end block) pair with start <= end, keyed by start block."""
-    blocks = _blocks(df, cols, size)
-    ends = blocks.withColumn("_sblk", F.explode(F.sequence(F.lit(0).cast("long"), "blk")))
-    return ends.join(_starts(blocks, cols), [*KEYS, "_sblk"])
-
-
 def _blocks(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     return packed(df, cols, size=size).select(*KEYS, "blk", *[F.transform("rows", _field(c)).alias(c) for c in cols])
 
@@ -252,45 +245,93 @@ def least_squares(design: DataFrame, x: Sequence[str], *, y: str = "dy", by: Seq
 
 
 def sup_adf(df: DataFrame, *, y: str = "y", min_length: int, lags: int = 1, constant: str = "nc", size: int = TILE) -> DataFrame:
-    """Backward-sup unit-root statistic for every end position (``pos`` = end)."""
-    x = design_columns(lags, constant)
-    p = len(x)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    design = regression_design(df, y=y, lags=lags, constant=constant).withColumn("_j", F.col("pos") - (lags + 1))
-    cells = {f"m{i}_{j}": F.col(x[i]) * F.col(x[j]) for i, j in pairs}
-    cells |= {f"v{i}": F.col(x[i]) * F.col("dy") for i in range(p)} | {"q": F.col("dy") * F.col("dy")}
-    raw = design.select(*KEYS, F.col("_j").alias("pos"), *[e.alias(n) for n, e in cells.items()])
-    own = running(raw, {f"c_{n}": ("sum", F.col(n)) for n in cells})
-    before = own.withColumns({f"b_{n}": F.col(f"c_{n}") - F.col(n) for n in cells})
-    names = [f"c_{n}" for n in cells] + [f"b_{n}" for n in cells]
-    k = len(cells)
-
-    @F.pandas_udf("array<double>")
-    def best(eb: pd.Series, sb: pd.Series, *arrays: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(eb, sb, *arrays):
-            b, a = row[0], row[1]
-            ends = np.stack([np.asarray(v, dtype=float) for v in row[2 : 2 + k]])
-            starts = np.stack([np.asarray(v, dtype=float) for v in row[2 + k :]])
-            e = b * size + np.arange(ends.shape[1])
-            s = a * size + np.arange(starts.shape[1])
-            rows = (e[:, None] - s[None, :] + 1).astype(float)
-            ok = (rows >= max(min_length - lags, p + 1)) & (e[:, None] >= min_length - 1)
-            if not ok.any():
-                out.append(np.full(len(e), np.nan))
-                continue
-            ei, si = np.nonzero(ok)
-            w = ends[:, ei] - starts[:, si]
-            t = _level_t(w, rows[ei, si], p, pairs)
-            full = np.full(ok.shape, -np.inf)
-            full[ei, si] = np.where(np.isfinite(t), t, -np.inf)
-            top = full.max(axis=1)
-            out.append(np.where(np.isfinite(top), top, np.nan))
-        return pd.Series(out)
+    """Backward-sup unit-root statistic for every end position (``pos`` = end).
+
+    A block of ends meets its own starts, those of the block before, and the first start of every block; further tiles are formed
+    only where their bound (:func:`_window_bound`) is not below what these gave. A window's moments are local sums of its edge blocks
+    and totals of the blocks between, each around the origin of the end block, so nothing is the difference of two long sums.
+    Windows whose regressors are collinear have no statistic.
+    """
+    p = len(design_columns(lags, constant))
+    raw = ["level", *[f"d{i}" for i in range(1, lags + 1)], "dy"]
+    design = regression_design(df, y=y, lags=lags, constant="nc").withColumn("pos", F.col("pos") - (lags + 1))
+    blocks = reuse(_blocks(design, raw, size))
+    least, first_end = max(min_length - lags, p + 1), min_length - 1
+    cells = p * (p + 1) // 2 + p + 1
+
+    totals_type = T.StructType([*[blocks.schema[c] for c in (*KEYS, "blk")], T.StructField("_t", T.ArrayType(T.DoubleType()))])
+
+    def totals(batches):
+        for pdf in batches:
+            rows = []
+            for b, *arrays in zip(pdf["blk"], *[pdf[c] for c in raw]):
+                block = np.stack([np.asarray(a, dtype=float) for a in arrays])
+                mid = _origin(block, constant)
+                z = _around(block, 0, mid, constant, size)
+                rows.append(np.concatenate(([b, mid], np.nan_to_num(_cells(z)).sum(axis=1))))
+            yield pdf[[*KEYS, "blk"]].assign(_t=rows)
+
+    per_series = (
+        blocks.mapInPandas(totals, totals_type).groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("blk", "_t"))), lambda x: x["_t"])).alias("_totals"))
+    )
+    prior = blocks.select(*KEYS, (F.col("blk") + 1).alias("blk"), *[F.col(c).alias(f"_s_{c}") for c in raw])
+    near = blocks.join(prior, [*KEYS, "blk"], "left").join(F.broadcast(per_series), list(KEYS))
+    arrays_of = lambda r, prefix="": np.stack([np.asarray(r[prefix + c], dtype=float) for c in raw])
+    doubles = T.ArrayType(T.DoubleType())
+    met_type = T.StructType(
+        [*[blocks.schema[c] for c in (*KEYS, "blk")], T.StructField("_best", doubles), T.StructField("_far", T.ArrayType(T.LongType())), T.StructField("_between", T.ArrayType(doubles))]
+    )
 
-    tiles = _tiles(before, names, size)
-    args = [F.col("blk"), F.col("_sblk"), *[F.col(f"c_{n}") for n in cells], *[F.col(f"_s_b_{n}") for n in cells]]
-    scored = tiles.select(*KEYS, "blk", F.posexplode(best(*args)).alias("_i", "_v"))
+    def meet_near(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                b, block = int(r["blk"]), arrays_of(r)
+                mid = _origin(block, constant)
+                own = _cells(_around(block, 0, mid, constant, size))
+                upto = np.cumsum(np.nan_to_num(own), axis=1)
+                ends = np.arange(block.shape[1])
+                before = np.hstack((np.zeros((len(own), 1)), upto[:, :-1]))
+                best = _tile_best(upto, -before, ends, ends, ~np.isnan(own).any(axis=0), p, least)
+                if b:
+                    z = _cells(_around(arrays_of(r, "_s_"), -1, mid, constant, size))
+                    back = np.cumsum(np.nan_to_num(z)[:, ::-1], axis=1)[:, ::-1]
+                    best = np.fmax(best, _tile_best(upto, back, ends, np.arange(z.shape[1]) - size, ~np.isnan(z).any(axis=0), p, least))
+                far, between = [], []
+                if b > 1:
+                    table = np.asarray(r["_totals"], dtype=float).reshape(-1, cells + 2)
+                    table = table[table[:, 0] < b]
+                    since = np.cumsum(_moved(table[:, 2:], table[:, 0] - b, table[:, 1] - mid, constant, p)[::-1], axis=0)[::-1]  # from the start of block k on
+                    best, far = _open_blocks(upto, since, ends, best, p, least, size)
+                    between = [since[a + 1].tolist() for a in far]
+                best[b * size + ends < first_end] = np.nan
+                yield pd.DataFrame({**{c: [r[c]] for c in (*KEYS, "blk")}, "_best": [best], "_far": [far], "_between": [between]})
+
+    met = reuse(near.mapInPandas(meet_near, met_type))
+    pairs = met.select(*KEYS, "blk", F.explode(F.arrays_zip("_far", "_between")).alias("_x")).select(*KEYS, "blk", F.col("_x._far").alias("_sblk"), F.col("_x._between").alias("_between"))
+    starts = blocks.select(*KEYS, F.col("blk").alias("_sblk"), *[F.col(c).alias(f"_s_{c}") for c in raw])
+    tiles = blocks.join(pairs.join(starts, [*KEYS, "_sblk"]), [*KEYS, "blk"])
+    far_type = T.StructType([*[blocks.schema[c] for c in (*KEYS, "blk")], T.StructField("_best", doubles)])
+
+    def meet_far(batches):
+        at, best = None, None
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                key, block = tuple(r[c] for c in (*KEYS, "blk")), arrays_of(r)
+                if key != at:
+                    if at is not None:
+                        yield pd.DataFrame({**{c: [v] for c, v in zip((*KEYS, "blk"), at)}, "_best": [best]})
+                    at, best, mid, ends = key, np.full(block.shape[1], np.nan), _origin(block, constant), np.arange(block.shape[1])
+                    upto = np.cumsum(np.nan_to_num(_cells(_around(block, 0, mid, constant, size))), axis=1)
+                shift = int(r["_sblk"]) - int(r["blk"])
+                z = _cells(_around(arrays_of(r, "_s_"), shift, mid, constant, size))
+                back = np.cumsum(np.nan_to_num(z)[:, ::-1], axis=1)[:, ::-1] + np.asarray(r["_between"], dtype=float)[:, None]
+                found = _tile_best(upto, back, ends, np.arange(z.shape[1]) + shift * size, ~np.isnan(z).any(axis=0), p, least)
+                found[key[-1] * size + ends < first_end] = np.nan
+                best = np.fmax(best, found)
+        if at is not None:
+            yield pd.DataFrame({**{c: [v] for c, v in zip((*KEYS, "blk"), at)}, "_best": [best]})
+
+    scored = met.select(*KEYS, "blk", "_best").unionByName(tiles.mapInPandas(meet_far, far_type)).select(*KEYS, "blk", F.posexplode("_best").alias("_i", "_v"))
     return (
         scored.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*KEYS, (F.col("blk") * size + F.col("_i") + lags + 1).alias("pos"))
@@ -298,22 +339,112 @@ def sup_adf(df: DataFrame, *, y: str = "y", min_length: int, lags: int = 1, cons
     )
 
 
-def _level_t(w: np.ndarray, rows: np.ndarray, p: int, pairs: list[tuple[int, int]]) -> np.ndarray:
-    """t-statistic of the first coefficient for stacked window moments."""
+def _origin(block: np.ndarray, constant: str) -> float:
+    """Level around which a block's moments are taken; only a regression with a constant may move it."""
+    return 0.0 if constant == "nc" or np.isnan(block[0]).all() else float(np.nanmean(block[0]))
+
+
+def _around(block: np.ndarray, shift: int, mid: float, constant: str, size: int) -> np.ndarray:
+    """Columns (constant, trend, trend2, differences, level, response) of a block ``shift`` blocks from the origin of the trend."""
+    level, moves = block[0] - mid, block[1:]
+    time = shift + np.arange(block.shape[1]) / size
+    powers = [time**k for k in range({"nc": 0, "c": 1, "ct": 2, "ctt": 3}[constant])]
+    return np.stack([*powers, *moves[:-1], level, moves[-1]])
+
+
+def _cells(z: np.ndarray) -> np.ndarray:
+    """Products of all column pairs (upper triangle, row by row)."""
+    i, j = np.triu_indices(len(z))
+    return z[i] * z[j]
+
+
+def _moved(cells: np.ndarray, shift: np.ndarray, rise: np.ndarray, constant: str, p: int) -> np.ndarray:
+    """Moments of blocks around their own origins, around an origin ``-shift`` blocks and ``-rise`` in level away."""
+    if constant == "nc":
+        return cells
+    m, (i, j) = p + 1, np.triu_indices(p + 1)
+    full = np.empty((len(cells), m, m))
+    full[:, i, j] = full[:, j, i] = cells
+    to = np.tile(np.eye(m), (len(cells), 1, 1))
+    to[:, p - 1, 0] = rise
+    if constant in ("ct", "ctt"):
+        to[:, 1, 0] = shift
+    if constant == "ctt":
+        to[:, 2, 0], to[:, 2, 1] = shift**2, 2 * shift
+    return (to @ full @ to.transpose(0, 2, 1))[:, i, j]
+
+
+def _partial(w: list[np.ndarray], p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Square sums of level and response and their product, all other columns partialled out, and where no pivot vanished."""
+    at = {ij: n for n, ij in enumerate(zip(*np.triu_indices(p + 1)))}
+    sound = np.ones(w[0].shape, dtype=bool)
+    scale = w[at[p - 1, p - 1]] * 1e-13
+    for k in range(p - 1):
+        pivot = w[at[k, k]]
+        if k:
+            sound &= pivot > least_pivot[k]
+        else:
+            sound &= pivot > 0
+            least_pivot = [w[at[n, n]] * 1e-13 for n in range(p - 1)]
+        inverse = 1.0 / pivot
+        for i in range(k + 1, p + 1):
+            f = w[at[k, i]] * inverse
+            for j in range(i, p + 1):
+                w[at[i, j]] = w[at[i, j]] - f * w[at[k, j]]
+    level = w[at[p - 1, p - 1]]
+    return level, w[at[p - 1, p]], w[at[p, p]], sound & (level > scale)
+
+
+def _tile_best(ends: np.ndarray, starts: np.ndarray, e: np.ndarray, s: np.ndarray, valid: np.ndarray, p: int, least: int, width: int = 64) -> np.ndarray:
+    """Largest t-statistic of the level per end over a block of starts; moments of a window are ``ends + starts``."""
+    best = np.full(len(e), np.nan)
+    with np.errstate(all="ignore"):
+        for a in range(0, len(s), width):
+            part = slice(a, a + width)
+            rows = (e[None, :] - s[part, None] + 1).astype(float)
+            ok = (rows >= least) & valid[part, None]
+            if not ok.any():
+                continue
+            level, both, own, sound = _partial([x[None, :] + y[part, None] for x, y in zip(ends, starts)], p)
+            t = both * np.sqrt((rows - p) / (level * own - both * both))
+            t[~(ok & sound & np.isfinite(t))] = -np.inf
+            top = t.max(axis=0)
+            best = np.fmax(best, np.where(np.isfinite(top), top, np.nan))
+    return best
+
+
+def _window_bound(inner: tuple, outer: tuple, n_inner: np.ndarray, n_outer: np.ndarray, p: int) -> np.ndarray:
+    """Largest t-statistic that a window between two nested ones can have.
+
+    With R the square sum of residuals and R0 that without the level, t^2 = (n - p)(R0 / R - 1), and both only grow with the window. If
+    R0 of the inner one exceeds R of the outer one, no window between them, nor any that counts rows in part, has t = 0, so all have
+    the sign of the inner one.
+    """
+    (a1, b1, q1, ok1), (a0, b0, q0, ok0) = inner, outer
+    r1, r0 = q1 - b1 * b1 / a1, q0 - b0 * b0 / a0
+    lowest, highest = q1 / r0 - 1 - 1e-9, q0 / r1 - 1 + 1e-9
+    bound = np.where((lowest > 0) & (b1 < 0), -np.sqrt((n_inner - p) * np.maximum(lowest, 0)), np.sqrt((n_outer - p) * np.maximum(highest, 0)))
+    usable = ok1 & ok0 & (n_inner > p) & (r1 > 1e-12 * q1) & (r0 > 1e-12 * q0) & np.isfinite(bound)
+    return np.where(usable, bound, np.inf)
+
+
+def _open_blocks(ends: np.ndarray, since: np.ndarray, e: np.ndarray, best: np.ndarray, p: int, least: int, size: int, width: int = 64) -> tuple[np.ndarray, list[int]]:
+    """Best statistics with the windows from each block's first start added, and the blocks that may hold a better one.
+
+    ``since[k]`` has the moments from the start of block ``k`` to the end block; the last one is the neighbour, met already.
+    """
+    n, bounds, best = len(since), [], best.copy()
     with np.errstate(all="ignore"):
-        if p == 1:
-            b = w[1] / w[0]
-            return b / np.sqrt((w[2] - b * w[1]) / (rows - 1) / w[0])
-        if p == 2:
-            m00, m01, m11, v0, v1, q = w
-            det = m00 * m11 - m01 * m01
-            b0, b1 = (m11 * v0 - m01 * v1) / det, (m00 * v1 - m01 * v0) / det
-            return b0 / np.sqrt((q - b0 * v0 - b1 * v1) / (rows - 2) * m11 / det)
-        m = np.empty((w.shape[1], p, p))
-        for c, (i, j) in enumerate(pairs):
-            m[:, i, j] = m[:, j, i] = w[c]
-        v = w[len(pairs) : len(pairs) + p].T
-        inv = np.linalg.pinv(m, hermitian=True)
-        b = np.einsum("nij,nj->ni", inv, v)
-        s2 = (w[-1] - np.einsum("ni,ni->n", b, v)) / (rows - p)
-        return b[:, 0] / np.sqrt(s2 * inv[:, 0, 0])
+        for lo in range(0, n - 1, width):
+            k = np.arange(lo, min(lo + width, n - 1) + 1)
+            rows = (e[None, :] + (n - k[:, None]) * size + 1).astype(float)
+            parts = _partial([x[None, :] + y[k, None] for x, y in zip(ends, since.T)], p)
+            level, both, own, sound = parts
+            t = both * np.sqrt((rows - p) / (level * own - both * both))
+            t[~(sound & np.isfinite(t) & (rows >= least))] = -np.inf
+            top = t.max(axis=0)
+            best = np.fmax(best, np.where(np.isfinite(top), top, np.nan))
+            bounds.append(_window_bound(tuple(x[1:] for x in parts), tuple(x[:-1] for x in parts), rows[1:], rows[:-1], p))
+    known = np.where(np.isnan(best), -np.inf, best)
+    known = known - 1e-7 * (1 + np.abs(known))
+    return best, np.flatnonzero((np.vstack(bounds) >= known[None, :]).any(axis=1)).tolist()
