@@ -7,7 +7,7 @@ over (instrument, block pair) and no (start, end) row is ever produced.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -81,9 +81,8 @@ def _starts(blocks: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _known(near: DataFrame, blocks: DataFrame) -> DataFrame:
     """End blocks with the best departure of each end from its own block and the one before."""
-    value = lambda x: F.coalesce(x["v"], F.lit(float("-inf")))
-    own = near.where(F.col("blk") == F.col("_sblk")).select(*KEYS, "blk", F.transform("_best", value).alias("_own"))
-    prior = near.where(F.col("blk") > F.col("_sblk")).select(*KEYS, "blk", F.transform("_best", value).alias("_prior"))
+    own = near.where(F.col("blk") == F.col("_sblk")).select(*KEYS, "blk", F.col("_v").alias("_own"))
+    prior = near.where(F.col("blk") > F.col("_sblk")).select(*KEYS, "blk", F.col("_v").alias("_prior"))
     both = blocks.join(own, [*KEYS, "blk"]).join(prior, [*KEYS, "blk"])
     return both.withColumn("_known", F.zip_with("_own", "_prior", lambda a, b: F.greatest(a, b))).drop("_own", "_prior")
 
@@ -113,6 +112,26 @@ def _far_tiles(near: DataFrame, blocks: DataFrame, y: str, size: int) -> DataFra
     return pairs.join(floor, [*KEYS, "_sblk"]).where(F.exists("_e", open_)).select(*KEYS, "blk", "_sblk")
 
 
+def _departures(y: str, size: int):
+    def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Best departure of each end from a block of starts; tiles leave in slices of a few MB."""
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                rows, vs, ns = pdf.iloc[at : at + 64], [], []
+                for e, s, b, a in zip(rows[y], rows[f"_s_{y}"], rows["blk"], rows["_sblk"]):
+                    e, s = np.asarray(e, dtype=float), np.asarray(s, dtype=float)
+                    gap = (b * size + np.arange(len(e)))[:, None] - (a * size + np.arange(len(s)))[None, :]
+                    ok = gap > 0
+                    val = np.where(ok, (e[:, None] - s[None, :]) / np.sqrt(np.where(ok, gap, 1)), -np.inf)
+                    n = val.argmax(axis=1)
+                    v = val[np.arange(len(e)), n]
+                    vs.append(np.where(np.isfinite(v), v, -np.inf))
+                    ns.append(a * size + n)
+                yield rows[[*KEYS, "blk", "_sblk"]].assign(_v=vs, _n=ns)
+
+    return best
+
+
 def level_shift_sup(df: DataFrame, *, y: str = "y", min_sample: int = 3, size: int = TILE) -> DataFrame:
     """Largest standardised departure of each end from all earlier reference levels.
 
@@ -123,29 +142,19 @@ def level_shift_sup(df: DataFrame, *, y: str = "y", min_sample: int = 3, size: i
     var = running(moves, {"_ss": ("sum", F.col("_d2"))})
     var = var.withColumn("_sig", F.sqrt(div(F.col("_ss"), (F.col("pos") - 1).cast("double")))).select(*KEYS, "pos", y, "_sig")
 
-    @F.pandas_udf("array<struct<v:double,n:long>>")
-    def best(ye: pd.Series, ys: pd.Series, eb: pd.Series, sb: pd.Series) -> pd.Series:
-        out = []
-        for e, s, b, a in zip(ye, ys, eb, sb):
-            e, s = np.asarray(e, dtype=float), np.asarray(s, dtype=float)
-            gap = (b * size + np.arange(len(e)))[:, None] - (a * size + np.arange(len(s)))[None, :]
-            ok = gap > 0
-            val = np.where(ok, (e[:, None] - s[None, :]) / np.sqrt(np.where(ok, gap, 1)), -np.inf)
-            n = val.argmax(axis=1)
-            v = val[np.arange(len(e)), n]
-            out.append([{"v": float(q), "n": int(a * size + i)} if np.isfinite(q) else None for q, i in zip(v, n)])
-        return pd.Series(out)
-
-    blocks = reuse(_blocks(var, [y], size))
+    doubles = T.ArrayType(T.DoubleType())
+    fields = [df.schema[c] for c in KEYS] + [T.StructField("blk", T.LongType()), T.StructField("_sblk", T.LongType())]
+    met_type = T.StructType([*fields, T.StructField("_v", doubles), T.StructField("_n", T.ArrayType(T.LongType()))])
+
+    best, blocks = _departures(y, size), reuse(_blocks(var, [y], size))
     starts = _starts(blocks, [y])
-    found = best(y, f"_s_{y}", "blk", "_sblk").alias("_best")
     close = blocks.withColumn("_sblk", F.explode(F.sequence(F.greatest(F.col("blk") - 1, F.lit(0)), "blk")))
-    near = reuse(close.join(starts, [*KEYS, "_sblk"]).select(*KEYS, "blk", "_sblk", found))
+    near = reuse(close.join(starts, [*KEYS, "_sblk"]).mapInPandas(best, met_type))
     far = blocks.join(_far_tiles(_known(near, blocks), blocks, y, size), [*KEYS, "blk"]).join(starts, [*KEYS, "_sblk"])
-    met = near.unionByName(far.select(*KEYS, "blk", "_sblk", found))
-    scored = met.select(*KEYS, "blk", F.posexplode("_best").alias("_i", "_b"))
+    met = near.unionByName(far.mapInPandas(best, met_type))
+    scored = met.select(*KEYS, "blk", F.posexplode(F.arrays_zip(F.col("_v").alias("v"), F.col("_n").alias("n"))).alias("_i", "_b"))
     sup = (
-        scored.where(F.col("_b").isNotNull())
+        scored.where(F.col("_b.v") > float("-inf"))
         .groupBy(*KEYS, (F.col("blk") * size + F.col("_i")).alias("pos"))
         .agg(F.max(F.struct(F.col("_b.v").alias("v"), (-F.col("_b.n")).alias("n"))).alias("_m"))
     )

@@ -50,3 +50,19 @@ def test_bound_holds_and_leaves_blocks_out():
     for a in sorted(set(range(blocks - 2)) - set(far)):
         back = np.cumsum(cells[a][:, ::-1], axis=1)[:, ::-1] + since[a + 1][:, None]
         assert (K._tile_best(upto, back, ends, np.arange(size) + (a - blocks + 1) * size, np.ones(size, bool), p, 19) < best).all()
+
+
+def test_level_shift_tiles_leave_in_slices():
+    """A batch of many tiles is answered slice by slice, with arrays and not an object per end."""
+    rng = np.random.default_rng(7)
+    size, n = 32, 200
+    ye, ys = rng.normal(size=(n, size)), rng.normal(size=(n, size))
+    batch = pd.DataFrame({"instrument": "a", "blk": 2, "_sblk": 1, "y": list(ye), "_s_y": list(ys)})
+    parts = [*K._departures("y", size)(iter([batch]))]
+    assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == n
+    out = pd.concat(parts)
+    gap = size + np.subtract.outer(np.arange(size), np.arange(size))
+    for k in (0, 77, n - 1):
+        val = (ye[k][:, None] - ys[k][None, :]) / np.sqrt(gap)
+        assert isinstance(out["_v"].iloc[k], np.ndarray) and np.array_equal(out["_v"].iloc[k], val.max(axis=1))
+        assert np.array_equal(out["_n"].iloc[k], size + val.argmax(axis=1))
