@@ -8,7 +8,7 @@ a map of time buckets, and a timer that flushes them; the barrier monitor keeps
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,8 +52,10 @@ def session_bars(stream: DataFrame, *, gap: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- ordered release
 Step = Callable[[pd.DataFrame, list[float], list[float]], tuple[pd.DataFrame, list[float], list[float]]]
-#: Width of the time buckets in which rows wait for the watermark.
+#: Least width of the time buckets in which rows wait for the watermark; wider ones are this times a power of two.
 BUCKET_US = 60_000_000
+#: Buckets that rows stored at once are dealt to at most, rows stored at once, rows released at once, and bytes from which a bucket gets a new part.
+BUCKETS, STORED, RELEASED, PART_BYTES = 64, 1 << 17, 1 << 16, 1 << 18
 
 
 def _stored_rows(rows: pd.DataFrame) -> bytes:
@@ -70,8 +72,9 @@ def _read_rows(data: bytes) -> pd.DataFrame:
 class _Ordered(StatefulProcessor):
     """Hands the rows of one key to ``release`` in event-time order once the watermark has passed them.
 
-    Rows wait in a map state, one entry per time bucket: a micro-batch reads the buckets the watermark has reached and writes those
-    that get rows, whatever else is waiting. A timer at the first waiting row flushes keys that get no more rows.
+    Rows wait in a map state by time bucket, in parts of bounded size. Buckets are wide where the rows stored at once span a long time,
+    and dyadic, so that two either nest or are disjoint: released from the earliest on, disjoint groups of buckets are in order, and
+    memory holds some ``RELEASED`` rows or one group, whatever is waiting. A timer at the first waiting row flushes keys that get no more rows.
     """
 
     def __init__(self, out: T.StructType, order: list[str]):
@@ -79,13 +82,13 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", "rows binary")
+        self.waiting = handle.getMapState("waiting", "start long, width long, part long", "rows binary")
 
     def release(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._advance(key, [f for f in rows if len(f)], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
@@ -93,31 +96,67 @@ class _Ordered(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _advance(self, key: tuple, new: list[pd.DataFrame], mark_ms: int) -> Iterator[pd.DataFrame]:
+    def _store(self, frames: list[pd.DataFrame], parts: dict[tuple[int, int], int]) -> None:
+        pool = pd.concat(frames, ignore_index=True)
+        at = pool["ts"].astype("datetime64[us]").astype("int64")
+        width = BUCKET_US
+        while (at.max() - at.min()) // width >= BUCKETS:
+            width *= 2
+        for start, rows in pool.groupby(at // width * width):
+            bucket, part = (int(start), width), parts.get((int(start), width), -1)
+            data = self.waiting.getValue((*bucket, part))[0] if part >= 0 else None
+            if data is not None and len(data) < PART_BYTES:
+                rows = pd.concat((_read_rows(data), rows), ignore_index=True)
+            else:
+                part += 1
+            self.waiting.updateValue((*bucket, part), (_stored_rows(rows),))
+            parts[bucket] = part
+
+    def _advance(self, key: tuple, new: Iterable[pd.DataFrame], mark_ms: int) -> Iterator[pd.DataFrame]:
         mark = pd.Timestamp(mark_ms, unit="ms")
-        reached = mark.value // 1000 // BUCKET_US
-        buckets = {k[0] for k in self.waiting.keys()}
-        ready = [*new]
-        for b in sorted(x for x in buckets if x <= reached):
-            ready.append(_read_rows(self.waiting.getValue((b,))[0]))
-            self.waiting.removeKey((b,))
-            buckets.discard(b)
-        if ready:
-            pool = pd.concat(ready, ignore_index=True)
-            passed = (pool["ts"] < mark).to_numpy()
-            for b, rows in pool[~passed].groupby(pool["ts"].astype("datetime64[us]").astype("int64")[~passed] // BUCKET_US):
-                if b in buckets:
-                    rows = pd.concat((_read_rows(self.waiting.getValue((b,))[0]), rows), ignore_index=True)
-                self.waiting.updateValue((int(b),), (_stored_rows(rows),))
-                buckets.add(int(b))
-            if passed.any():
-                out = self.release(key, pool[passed].sort_values(self.order, ignore_index=True))
-                if out is not None and len(out):
-                    yield out.assign(instrument=key[0])[self.out]
+        reached = mark.value // 1000
+        parts: dict[tuple[int, int], int] = {}
+        for start, width, part in self.waiting.keys():
+            parts[start, width] = max(part, parts.get((start, width), -1))
+        frames, held = [], 0
+        for f in new:
+            if len(f):
+                frames.append(f)
+                held += len(f)
+            if held >= STORED:
+                self._store(frames, parts)
+                frames, held = [], 0
+        if frames:
+            self._store(frames, parts)
+        ready, held, end = [], 0, None
+        for start, width in [*sorted((b for b in parts if b[0] <= reached), key=lambda b: (b[0], -b[1])), (None, None)]:
+            if ready and (start is None or (held >= RELEASED and start >= end)):
+                pool = pd.concat(ready, ignore_index=True)
+                passed = (pool["ts"] < mark).to_numpy()
+                if not passed.all():
+                    self._store([pool[~passed]], parts)
+                if passed.any():
+                    out = self.release(key, pool[passed].sort_values(self.order, ignore_index=True))
+                    if out is not None and len(out):
+                        yield out.assign(instrument=key[0])[self.out]
+                ready, held, end = [], 0, None
+            if start is not None:
+                for part in range(parts.pop((start, width)) + 1):
+                    ready.append(_read_rows(self.waiting.getValue((start, width, part))[0]))
+                    self.waiting.removeKey((start, width, part))
+                    held += len(ready[-1])
+                end = start + width if end is None else max(end, start + width)
         for t in [*self.handle.listTimers()]:
             self.handle.deleteTimer(t)
-        if buckets:  # at the end of the earliest bucket's first row, or when its bucket is reached
-            first = _read_rows(self.waiting.getValue((min(buckets),))[0])["ts"].min()
+        if parts:  # at the first waiting row, which is in the earliest bucket or in one inside it
+            first, end = None, 0
+            for at, width in sorted(parts, key=lambda b: (b[0], -b[1])):
+                if first is not None and at >= end:
+                    break
+                end = max(end, at + width)
+                for part in range(parts[at, width] + 1):
+                    t = _read_rows(self.waiting.getValue((at, width, part))[0])["ts"].min()
+                    first = t if first is None else min(first, t)
             self.handle.registerTimer(max(first.value // 1_000_000 + 1, mark_ms + 1))
 
 
@@ -170,18 +209,25 @@ def _bar_step(marker) -> Step:
     def step(rows: pd.DataFrame, nums: list[float], opened: list[float]):
         ends, nums = marker(rows, nums)
         bar, n, o, hi, lo, pv, v = opened or [0.0, 0.0, 0.0, -np.inf, np.inf, 0.0, 0.0]
-        local = np.cumsum(ends) - ends
-        out = []
-        for g, part in rows.groupby(local, sort=True):
-            price, qty = part["price"].to_numpy(dtype=float), part["qty"].to_numpy(dtype=float)
-            o = o if n else price[0]
-            n, hi, lo = n + len(part), max(hi, price.max()), min(lo, price.min())
-            pv, v = pv + float((price * qty).sum()), v + float(qty.sum())
-            if ends[part.index[-1]]:
-                out.append((int(bar), part["ts"].iloc[-1], o, hi, lo, price[-1], pv / v, int(n)))
-                bar, n, o, hi, lo, pv, v = bar + 1, 0.0, 0.0, -np.inf, np.inf, 0.0, 0.0
-        cols = ["bar_id", "ts", "open", "high", "low", "close", "vwap", "n_trades"]
-        return pd.DataFrame(out, columns=cols), nums, [bar, n, o, hi, lo, pv, v]
+        price, qty, at = rows["price"].to_numpy(dtype=float), rows["qty"].to_numpy(dtype=float), np.flatnonzero(ends)
+        first = np.concatenate(([0], at + 1))
+        first = first[first < len(rows)]
+        opens, count = price[first], np.diff(first, append=len(rows))
+        high, low = np.maximum.reduceat(price, first), np.minimum.reduceat(price, first)
+        value, volume = np.add.reduceat(price * qty, first), np.add.reduceat(qty, first)
+        opens[0] = o if n else opens[0]
+        count[0] += int(n)
+        high[0], low[0], value[0], volume[0] = max(hi, high[0]), min(lo, low[0]), value[0] + pv, volume[0] + v
+        k = len(at)
+        out = pd.DataFrame(
+            {
+                "bar_id": int(bar) + np.arange(k), "ts": rows["ts"].iloc[at].array, "open": opens[:k], "high": high[:k], "low": low[:k],
+                "close": price[at], "vwap": value[:k] / volume[:k], "n_trades": count[:k],
+            }
+        )
+        left = [opens[k:], high[k:], low[k:], value[k:], volume[k:]]
+        rest = [float(count[k]), *[float(x[0]) for x in left]] if len(first) > k else [0.0, 0.0, -np.inf, np.inf, 0.0, 0.0]
+        return out, nums, [float(bar + k), *rest]
 
     return step
 
