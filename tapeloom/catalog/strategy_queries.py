@@ -653,7 +653,7 @@ def otr1(spark, d):
 )
 def otr2(spark, d):
     b, ev = closed_events(spark, d)
-    return R.ou_parameters(R.deviation_pairs(b, ev)).select("instrument", "n_pairs", r("phi"), r("sigma", 5), r("half_life", 5), "stationary")
+    return R.ou_parameters(R.pair_moments(b, ev)).select("instrument", "n_pairs", r("phi"), r("sigma", 5), r("half_life", 5), "stationary")
 
 
 LEVELS = [0.5, 1.0, 2.0, 3.0]
@@ -672,8 +672,9 @@ FROM (SELECT e.instrument, e.t0, u.m AS pt, v.m AS sl,
 
 def mesh(spark, d):
     b, ev = closed_events(spark, d)
-    params = R.ou_parameters(R.deviation_pairs(b, ev))
-    return R.rule_mesh(R.event_paths(b, ev), params, pts=LEVELS, sls=LEVELS, max_hp=4)
+    spans = R.closed_spans(b, ev)
+    params = R.ou_parameters(R.pair_moments(b, spans))
+    return R.rule_mesh(R.event_paths(b, spans, max_hp=4), params, pts=LEVELS, sls=LEVELS, max_hp=4)
 
 
 _MESH = "round(mean, 5) AS mean, round(std, 5) AS std, round(sharpe, 6) AS sharpe"
