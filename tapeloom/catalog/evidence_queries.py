@@ -346,10 +346,9 @@ FROM obs o JOIN (SELECT DISTINCT path FROM paths) p ON true
     ),
 )
 def cv10(spark, d):
-    path = F.explode(F.sequence(F.lit(1), F.lit(V.n_paths(NG, KT)))).alias("path")
-    p = obs(spark, d).select("instrument", "pos", "event_id", path)
-    ret = ((F.col("event_id") * (F.col("path") + 7)) % 101 - 50) / F.lit(1000.0)
-    return V.path_variance(p.select("instrument", "pos", "path", ret.alias("ret")), n_path=V.n_paths(NG, KT)).select(
+    n = V.n_paths(NG, KT)
+    rets = F.array(*[((F.col("event_id") * (path + 7)) % 101 - 50) / F.lit(1000.0) for path in range(1, n + 1)])
+    return V.path_variance(obs(spark, d).select("instrument", "pos", rets.alias("rets")), n_path=n).select(
         "instrument", r("sigma2", 8), r("mean_sharpe"), r("rho_bar"), r("var_of_mean", 8)
     )
 

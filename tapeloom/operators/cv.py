@@ -139,20 +139,23 @@ def cpcv_membership(obs: DataFrame, *, n_groups: int, k: int, pct_embargo: float
 def path_variance(path_returns: DataFrame, *, n_path: int) -> DataFrame:
     """Variance of the mean Sharpe over paths from their average correlation.
 
-    ``path_returns`` is (instrument, pos, path, ret); paths are few, so each row's returns become one
-    array and all correlations come from one aggregation.
+    ``path_returns`` is (instrument, pos, path, ret), or (instrument, pos, rets) with the returns of paths 1 .. ``n_path`` of a
+    position as one array, which needs no grouping by position. Paths are few, so all facts come from one aggregation.
     """
-    sharpe = path_returns.groupBy(*KEYS, "path").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("sharpe"))
+    paths = range(1, n_path + 1)
+    if "rets" in path_returns.columns:
+        wide = path_returns.select(*KEYS, *[F.col("rets")[i - 1].alias(f"_p{i}") for i in paths])
+    else:
+        wide = path_returns.groupBy(*KEYS, "pos").agg(*[F.max(F.when(F.col("path") == i, F.col("ret"))).alias(f"_p{i}") for i in paths])
+    pairs = [(i, j) for i in paths for j in range(i + 1, n_path + 1)]
+    facts = wide.groupBy(*KEYS).agg(
+        F.array(*[F.avg(f"_p{i}") / F.nullif(F.stddev_samp(f"_p{i}"), F.lit(0.0)) for i in paths]).alias("_s"),
+        (sum((F.corr(f"_p{i}", f"_p{j}") for i, j in pairs), F.lit(0.0)) / F.lit(float(max(len(pairs), 1)))).alias("rho_bar"),
+    )
+    sharpe = facts.select(*KEYS, F.explode("_s").alias("sharpe"))
     spread = sharpe.groupBy(*KEYS).agg(F.var_samp("sharpe").alias("sigma2"), F.avg("sharpe").alias("mean_sharpe"))
-    wide = path_returns.groupBy(*KEYS, "pos").pivot("path", list(range(1, n_path + 1))).agg(F.first("ret"))
-    pairs = [(i, j) for i in range(1, n_path + 1) for j in range(i + 1, n_path + 1)]
-    corr = wide.groupBy(*KEYS).agg(*[F.corr(f"`{i}`", f"`{j}`").alias(f"_r{i}_{j}") for i, j in pairs])
-    total = F.lit(0.0)
-    for i, j in pairs:
-        total = total + F.col(f"_r{i}_{j}")
-    corr = corr.select(*KEYS, (total / len(pairs)).alias("rho_bar"))
     var = F.col("sigma2") / n_path * (1 + (n_path - 1) * F.col("rho_bar"))
-    return spread.join(corr, list(KEYS)).withColumn("var_of_mean", var)
+    return spread.join(facts.select(*KEYS, "rho_bar"), list(KEYS)).withColumn("var_of_mean", var)
 
 
 # --------------------------------------------------------------------------- weighted metrics
