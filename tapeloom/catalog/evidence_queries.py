@@ -188,6 +188,7 @@ def labelled(spark, d) -> E.Labelled:
 )
 def pip1(spark, d):
     raw = K.dedupe_trades(C.raw_tape(spark, d), order=("ts", "part", "qty", "quote_qty"))
+    raw = raw.select("instrument", "trade_id", "ts", "price", "qty", "is_buyer_maker")  # every ordered step writes what it is given
     return K.preprocess_trades(raw).select("instrument", "trade_id", "pos", US(), "side", r("dollar", 2), F.round(F.col("delta") + 3e-10, 6).alias("delta"))
 
 

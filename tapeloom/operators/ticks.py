@@ -111,8 +111,5 @@ def signed_flow(df: DataFrame) -> DataFrame:
 
 def preprocess_trades(df: DataFrame) -> DataFrame:
     """Raw trades -> ordered tape with side, dollar value, position and price change."""
-    tape = disambiguate_timestamps(df)
-    tape = tape.withColumns(
-        {"side": aggressor_side(F.col("is_buyer_maker")), "dollar": F.col("price") * F.col("qty")}
-    )
-    return price_delta(position(tape, ["ts", "trade_id"]))
+    tape = price_delta(position(disambiguate_timestamps(df), ["ts", "trade_id"]))
+    return tape.withColumns({"side": aggressor_side(F.col("is_buyer_maker")), "dollar": F.col("price") * F.col("qty")})
