@@ -83,7 +83,7 @@ def src5(spark, d):
         F.col("quote_qty").cast("string").alias("quoteQty"), F.unix_millis("ts").alias("time"),
         F.col("is_buyer_maker").alias("isBuyerMaker"), F.col("is_best_match").alias("isBestMatch"),
         F.col("instrument").alias("symbol"),
-    ).write.json(path)
+    ).write.json(path, compression="gzip")
     pages = spark.read.schema(S.PULL_SCHEMA).json(path)
     return S.normalise_pull(pages, cutoff_ms=852076800000).select("instrument", "trade_id", "price", "qty", US())
 
