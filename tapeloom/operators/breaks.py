@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.plans.series import KEYS, div, lagged, packed, reuse, running
+from tapeloom.plans.series import KEYS, div, lagged, packed, reuse, running, task_count
 
 TILE, STRIPES = 512, 16
 
@@ -257,7 +257,8 @@ def sup_adf(df: DataFrame, *, y: str = "y", min_length: int, lags: int = 1, cons
     """Backward-sup unit-root statistic for every end position (``pos`` = end).
 
     A block of ends meets its own starts, those of the block before, and the first start of every block; further tiles are formed
-    only where their bound (:func:`_window_bound`) is not below what these gave. A window's moments are local sums of its edge blocks
+    only where their bound (:func:`_window_bound`) is not below what these gave, first for whole blocks of starts, then for sixteenths of
+    them, of which the totals suffice. So rows meet only where a sixteenth stays open. A window's moments are local sums of its edge blocks
     and totals of the blocks between, each around the origin of the end block, so nothing is the difference of two long sums.
     Windows whose regressors are collinear have no statistic.
     """
@@ -268,27 +269,30 @@ def sup_adf(df: DataFrame, *, y: str = "y", min_length: int, lags: int = 1, cons
     least, first_end = max(min_length - lags, p + 1), min_length - 1
     cells = p * (p + 1) // 2 + p + 1
 
-    totals_type = T.StructType([*[blocks.schema[c] for c in (*KEYS, "blk")], T.StructField("_t", T.ArrayType(T.DoubleType()))])
+    doubles = T.ArrayType(T.DoubleType())
+    cell, tasks, part = [*KEYS, "blk"], task_count(df.sparkSession), max(1, size // STRIPES)
+    totals_type = T.StructType([*[blocks.schema[c] for c in cell], T.StructField("_t", doubles), T.StructField("_parts", doubles)])
 
     def totals(batches):
         for pdf in batches:
-            rows = []
+            rows, parts = [], []
             for b, *arrays in zip(pdf["blk"], *[pdf[c] for c in raw]):
                 block = np.stack([np.asarray(a, dtype=float) for a in arrays])
                 mid = _origin(block, constant)
-                z = _around(block, 0, mid, constant, size)
-                rows.append(np.concatenate(([b, mid], np.nan_to_num(_cells(z)).sum(axis=1))))
-            yield pdf[[*KEYS, "blk"]].assign(_t=rows)
+                z = np.nan_to_num(_cells(_around(block, 0, mid, constant, size)))
+                rows.append(np.concatenate(([b, mid], z.sum(axis=1))))
+                parts.append(np.concatenate(([mid], np.add.reduceat(z, np.arange(0, z.shape[1], part), axis=1).T.ravel())))
+            yield pdf[cell].assign(_t=rows, _parts=parts)
 
+    sums = reuse(blocks.repartition(tasks, *cell).mapInPandas(totals, totals_type))
     per_series = (
-        blocks.mapInPandas(totals, totals_type).groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("blk", "_t"))), lambda x: x["_t"])).alias("_totals"))
+        sums.groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("blk", "_t"))), lambda x: x["_t"])).alias("_totals"))
     )
     prior = blocks.select(*KEYS, (F.col("blk") + 1).alias("blk"), *[F.col(c).alias(f"_s_{c}") for c in raw])
-    near = blocks.join(prior, [*KEYS, "blk"], "left").join(F.broadcast(per_series), list(KEYS))
+    near = blocks.repartition(tasks, *cell).join(prior, cell, "left").join(F.broadcast(per_series), list(KEYS))
     arrays_of = lambda r, prefix="": np.stack([np.asarray(r[prefix + c], dtype=float) for c in raw])
-    doubles = T.ArrayType(T.DoubleType())
     met_type = T.StructType(
-        [*[blocks.schema[c] for c in (*KEYS, "blk")], T.StructField("_best", doubles), T.StructField("_far", T.ArrayType(T.LongType())), T.StructField("_between", T.ArrayType(doubles))]
+        [*[blocks.schema[c] for c in cell], T.StructField("_best", doubles), T.StructField("_far", T.ArrayType(T.LongType())), T.StructField("_between", T.ArrayType(doubles))]
     )
 
     def meet_near(batches):
@@ -316,10 +320,36 @@ def sup_adf(df: DataFrame, *, y: str = "y", min_length: int, lags: int = 1, cons
                 yield pd.DataFrame({**{c: [r[c]] for c in (*KEYS, "blk")}, "_best": [best], "_far": [far], "_between": [between]})
 
     met = reuse(near.mapInPandas(meet_near, met_type))
-    pairs = met.select(*KEYS, "blk", F.explode(F.arrays_zip("_far", "_between")).alias("_x")).select(*KEYS, "blk", F.col("_x._far").alias("_sblk"), F.col("_x._between").alias("_between"))
+    open_type = T.StructType([f for f in met_type.fields if f.name != "_best"] + [T.StructField("_parts", T.ArrayType(T.ArrayType(T.LongType())))])
+    pairs = met.select(*cell, F.explode(F.arrays_zip("_far", "_between")).alias("_x")).select(*cell, F.col("_x._far").alias("_sblk"), F.col("_x._between").alias("_between"))
+    coarse = pairs.join(sums.select(*KEYS, F.col("blk").alias("_sblk"), "_parts"), [*KEYS, "_sblk"]).repartition(tasks, *cell)
+    coarse = coarse.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("_sblk", "_between", "_parts")), asc=False).alias("_x"))
+    coarse = coarse.select(*cell, *[F.col(f"_x.{c}").alias(c) for c in ("_sblk", "_between", "_parts")])
+
+    def sift(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                b, block = int(r["blk"]), arrays_of(r)
+                mid, ends, best = _origin(block, constant), np.arange(block.shape[1]), np.array(r["_best"], dtype=float)
+                upto = np.cumsum(np.nan_to_num(_cells(_around(block, 0, mid, constant, size))), axis=1)
+                far = np.asarray(r["_sblk"], dtype=np.int64)
+                held = np.stack([np.asarray(x, dtype=float) for x in r["_parts"]])
+                since, n = [], -(-size // part)
+                for a, x, rest in zip(far, held, r["_between"]):
+                    own = _moved(x[1:].reshape(n, cells), np.full(n, float(a - b)), np.full(n, x[0] - mid), constant, p)
+                    since.append(np.cumsum(np.vstack((np.asarray(rest, dtype=float), own[::-1])), axis=0)[::-1])
+                left = _open_parts(upto, np.array(since), ends, (b - far) * size, best, p, part)
+                kept = [i for i, o in enumerate(left) if len(o)]
+                between = [np.asarray(r["_between"][i], dtype=float).tolist() for i in kept]
+                yield pd.DataFrame({**{c: [r[c]] for c in cell}, "_far": [far[kept].tolist()], "_between": [between], "_parts": [[left[i].tolist() for i in kept]]})
+
+    sifted = coarse.join(blocks, cell).join(met.select(*cell, "_best"), cell).mapInPandas(sift, open_type)
+    pairs = sifted.select(*cell, F.explode(F.arrays_zip("_far", "_between", "_parts")).alias("_x")).select(
+        *cell, F.col("_x._far").alias("_sblk"), F.col("_x._between").alias("_between"), F.col("_x._parts").alias("_parts")
+    )
     starts = blocks.select(*KEYS, F.col("blk").alias("_sblk"), *[F.col(c).alias(f"_s_{c}") for c in raw])
-    tiles = blocks.join(pairs.join(starts, [*KEYS, "_sblk"]), [*KEYS, "blk"])
-    far_type = T.StructType([*[blocks.schema[c] for c in (*KEYS, "blk")], T.StructField("_best", doubles)])
+    tiles = pairs.join(starts, [*KEYS, "_sblk"]).repartition(tasks, *cell).join(blocks, cell)
+    far_type = T.StructType([*[blocks.schema[c] for c in cell], T.StructField("_best", doubles)])
 
     def meet_far(batches):
         at, best = None, None
@@ -334,13 +364,15 @@ def sup_adf(df: DataFrame, *, y: str = "y", min_length: int, lags: int = 1, cons
                 shift = int(r["_sblk"]) - int(r["blk"])
                 z = _cells(_around(arrays_of(r, "_s_"), shift, mid, constant, size))
                 back = np.cumsum(np.nan_to_num(z)[:, ::-1], axis=1)[:, ::-1] + np.asarray(r["_between"], dtype=float)[:, None]
-                found = _tile_best(upto, back, ends, np.arange(z.shape[1]) + shift * size, ~np.isnan(z).any(axis=0), p, least)
+                cut = (np.asarray(r["_parts"], dtype=int)[:, None] * part + np.arange(part)).ravel()
+                cut = cut[cut < size]
+                found = _tile_best(upto, back[:, cut], ends, cut + shift * size, ~np.isnan(z[:, cut]).any(axis=0), p, least)
                 found[key[-1] * size + ends < first_end] = np.nan
                 best = np.fmax(best, found)
         if at is not None:
             yield pd.DataFrame({**{c: [v] for c, v in zip((*KEYS, "blk"), at)}, "_best": [best]})
 
-    scored = met.select(*KEYS, "blk", "_best").unionByName(tiles.mapInPandas(meet_far, far_type)).select(*KEYS, "blk", F.posexplode("_best").alias("_i", "_v"))
+    scored = met.select(*cell, "_best").unionByName(tiles.mapInPandas(meet_far, far_type)).select(*KEYS, "blk", F.posexplode("_best").alias("_i", "_v"))
     return (
         scored.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*KEYS, (F.col("blk") * size + F.col("_i") + lags + 1).alias("pos"))
@@ -457,3 +489,20 @@ def _open_blocks(ends: np.ndarray, since: np.ndarray, e: np.ndarray, best: np.nd
     known = np.where(np.isnan(best), -np.inf, best)
     known = known - 1e-7 * (1 + np.abs(known))
     return best, np.flatnonzero((np.vstack(bounds) >= known[None, :]).any(axis=1)).tolist()
+
+
+def _open_parts(ends: np.ndarray, since: np.ndarray, e: np.ndarray, gap: np.ndarray, best: np.ndarray, p: int, part: int, width: int = 4) -> list[np.ndarray]:
+    """Of each far block the parts of ``part`` starts that may hold a better statistic than ``best``.
+
+    ``since[k, j]`` has the moments from the start of part ``j`` of block ``k`` to the end block, ``gap[k]`` rows after that block's
+    start; the last ``j`` is where the next block starts.
+    """
+    left, known = [], np.where(np.isnan(best), -np.inf, best)
+    known = known - 1e-7 * (1 + np.abs(known))
+    with np.errstate(all="ignore"):
+        for lo in range(0, len(since), width):
+            rows = (e + gap[lo : lo + width, None, None] - np.arange(since.shape[1])[:, None] * part + 1).astype(float)
+            sums = _partial([x + y[..., None] for x, y in zip(ends, np.moveaxis(since[lo : lo + width], -1, 0))], p)
+            bound = _window_bound(tuple(x[:, 1:] for x in sums), tuple(x[:, :-1] for x in sums), rows[:, 1:], rows[:, :-1], p)
+            left += [np.flatnonzero(b) for b in (bound >= known).any(axis=-1)]
+    return left

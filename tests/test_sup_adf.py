@@ -52,6 +52,28 @@ def test_bound_holds_and_leaves_blocks_out():
         assert (K._tile_best(upto, back, ends, np.arange(size) + (a - blocks + 1) * size, np.ones(size, bool), p, 19) < best).all()
 
 
+def test_bound_of_parts_leaves_most_of_an_open_block_out():
+    """A block that its own bound leaves open is met only in the parts whose bound is open too; the others hold nothing better."""
+    rng = np.random.default_rng(8)
+    size, blocks, p, part = 64, 12, 3, 4
+    y = rng.normal(4, 1, size * blocks + 2)
+    d = np.diff(y)
+    raw = np.stack([y[1:-1], d[:-1], d[1:]])
+    cells = [K._cells(K._around(raw[:, b * size : (b + 1) * size], 0, 4.0, "c", size)) for b in range(blocks)]
+    upto, ends = np.cumsum(cells[-1], axis=1), np.arange(size)
+    since = np.cumsum(np.array([c.sum(axis=1) for c in cells[:-1]])[::-1], axis=0)[::-1]
+    best, far = K._open_blocks(upto, since, ends, np.full(size, -1.0), p, 19, size)
+    backs = [np.cumsum(cells[a][:, ::-1], axis=1)[:, ::-1] + since[a + 1][:, None] for a in far]
+    at = np.array([np.vstack((b[:, ::part].T, since[a + 1])) for a, b in zip(far, backs)])
+    left = K._open_parts(upto, at, ends, (blocks - 1 - np.array(far)) * size, best, p, part)
+    assert far and sum(map(len, left)) < len(far) * (size // part) / 2
+    for a, back, kept in zip(far, backs, left):
+        closed = np.flatnonzero(~np.isin(np.arange(size) // part, kept))
+        if len(closed):
+            found = K._tile_best(upto, back[:, closed], ends, closed + (a - blocks + 1) * size, np.ones(len(closed), bool), p, 19)
+            assert (found < best).all()
+
+
 def test_level_shift_tiles_leave_in_slices():
     """A batch of many tiles is answered slice by slice, with arrays and not an object per end."""
     rng = np.random.default_rng(7)
