@@ -24,3 +24,16 @@ def test_landed_pages_are_compressed(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(Q, "scratch", lambda spark, label: f"file://{tmp_path}/{label}")
     assert Q.src5(spark, SF).count() > 0
     assert glob.glob(f"{tmp_path}/pull/*.json.gz") and not glob.glob(f"{tmp_path}/pull/*.json")
+
+
+def test_marking_fold_gets_only_the_columns_it_reads(spark, monkeypatch):
+    """Pandas frames of a block hold key, position and what the marker reads; the other columns of the tape stay in Spark."""
+    from tapeloom.operators import bars as B
+    from tapeloom.sources import canonical as C
+
+    seen, plain = [], B.fold
+    monkeypatch.setattr(B, "fold", lambda df, *a, **k: seen.append(df.columns) or plain(df, *a, **k))
+    tape = C.ticks(spark, SF)
+    tagged = B.tag_threshold_bars(tape, measure="cents", threshold=5000.0)
+    assert seen == [["instrument", "pos", "cents"]]
+    assert tagged.columns == [*tape.columns, "is_end", "bar_id"] and tagged.count() == tape.count()
