@@ -180,6 +180,31 @@ def test_all_links(spark, docs, few, monkeypatch):
     assert found.count() == found.distinct().count() == pairs > 400
 
 
+def test_crowds_meet_once(spark, monkeypatch):
+    """A family whose words make many groups is compared in few of them, gives each link once, and its tiles go to all tasks."""
+    monkeypatch.setattr(shingle_join, "FEW", 2)
+    monkeypatch.setattr(shingle_join, "TILE", 8)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(240), rng.randint(0, 5)):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, sets, _, many = shingle_join._candidates(docs, None, ["rep", "fp"])
+    homes = shingle_join._homes(many)
+    assert homes.count() < many.count() / 2 and homes.select("p").distinct().count() == many.select("p").distinct().count()
+    texts = shingle_join._texts(docs, many.select("p.rep").distinct().toDF("doc_id"))
+    found = shingle_join._crowd_links(homes, texts)
+    assert found.rdd.getNumPartitions() == shingle_join._tasks(docs)
+    assert found.count() == found.distinct().count() > 300
+    links, pairs = brute_pairs(rows)
+    assert {(r["doc_id"], r["n_links"]) for r in shingle_join.jaccard_join(docs).collect()} == {(d, links.get(d, 0)) for d, _ in rows}
+    assert shingle_join.jaccard_links(docs)[0].count() == pairs
+
+
 def test_sketch_guarantee():
     """Linked sets share at least as many non-empty words, in the scheme of the larger, as either guarantees."""
     rng = np.random.default_rng(4)
