@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.operators.ticks import tick_rule
-from tapeloom.plans.series import KEYS, div, framed, lagged, position
+from tapeloom.plans.series import KEYS, div, framed, lagged, position, running
 
 DEN = 3 - 2 * math.sqrt(2.0)
 K2 = math.sqrt(8.0 / math.pi)
@@ -114,8 +115,11 @@ def kyle_lambda(trades: DataFrame, *, min_trades: int = 3) -> DataFrame:
     """Slope of price change on signed volume inside each bar."""
     inner = lagged(trades, {"_p": F.col("price"), "_b": F.col("bar_id")})
     same = F.col("_b") == F.col("bar_id")
-    slope = F.regr_slope(F.when(same, F.col("price") - F.col("_p")), (F.col("qty") * F.col("side")).cast("double"))
-    return inner.groupBy(*BAR).agg(F.when(F.count(F.lit(1)) >= min_trades, slope).alias("kyle_lambda"))
+    return inner.groupBy(*BAR).agg(_impact(F.when(same, F.col("price") - F.col("_p")), min_trades).alias("kyle_lambda"))
+
+
+def _impact(step: Column, min_trades: int) -> Column:
+    return F.when(F.count(F.lit(1)) >= min_trades, F.regr_slope(step, (F.col("qty") * F.col("side")).cast("double")))
 
 
 def amihud(bars: DataFrame) -> DataFrame:
@@ -153,30 +157,31 @@ def vpin(bars: DataFrame, *, window: int, name: str = "vpin_10bar") -> DataFrame
 def round_sizes(trades: DataFrame, *, levels: Sequence[float], tol: float = 1e-6, by: Sequence[str] = KEYS) -> DataFrame:
     """Share of trades at a round size, and the count per level."""
 
-    def near(level: float) -> Column:
-        return F.abs(F.col("qty") - F.lit(float(level))) <= level * tol + tol * abs(level)
-
-    any_level = near(levels[0])
-    for lv in levels[1:]:
-        any_level = any_level | near(lv)
+    any_level, near = _round(levels, tol)
     return trades.groupBy(*by).agg(
         F.avg(any_level.cast("double")).alias("round_fraction"),
-        *[F.sum(near(lv).cast("long")).alias(f"n_{lv:g}".replace(".", "_")) for lv in levels],
+        *[F.sum(c.cast("long")).alias(f"n_{lv:g}".replace(".", "_")) for lv, c in zip(levels, near, strict=True)],
     )
 
 
+def _round(levels: Sequence[float], tol: float = 1e-6) -> tuple[Column, list[Column]]:
+    """Whether a trade is at any of the levels, and at each."""
+    near = [F.abs(F.col("qty") - F.lit(float(lv))) <= lv * tol + tol * abs(lv) for lv in levels]
+    return reduce(lambda x, y: x | y, near), near
+
+
 def serial_correlation(trades: DataFrame, *, value: str = "side", by_bar: bool = False) -> DataFrame:
     """Correlation of flow with its own previous value, per series or inside each bar (> 3 trades)."""
     prev = lagged(trades, {"_v": F.col(value), **({"_b": F.col("bar_id")} if by_bar else {})})
     lag = F.when(F.col("_b") == F.col("bar_id"), F.col("_v")) if by_bar else F.col("_v")
-    paired = prev.withColumn("_lag", lag.cast("double")).withColumn(
-        "_now", F.when(F.col("_lag").isNotNull(), F.col(value).cast("double"))
-    )
-    cov = F.covar_pop("_now", "_lag")
-    rho = div(cov, F.stddev_pop("_now") * F.stddev_pop("_lag"))
-    if by_bar:
-        rho = F.when(F.count(F.lit(1)) > 3, rho)
-    return paired.groupBy(*(BAR if by_bar else KEYS)).agg(rho.alias("serial_corr_signed_flow"))
+    paired = prev.withColumn("_lag", lag.cast("double"))
+    return paired.groupBy(*(BAR if by_bar else KEYS)).agg(_serial("_lag", value, by_bar).alias("serial_corr_signed_flow"))
+
+
+def _serial(lag: str, value: str, by_bar: bool) -> Column:
+    now = F.when(F.col(lag).isNotNull(), F.col(value).cast("double"))
+    rho = div(F.covar_pop(now, F.col(lag)), F.stddev_pop(now) * F.stddev_pop(lag))
+    return F.when(F.count(F.lit(1)) > 3, rho) if by_bar else rho
 
 
 def bar_tick_accuracy(trades: DataFrame) -> DataFrame:
@@ -186,6 +191,21 @@ def bar_tick_accuracy(trades: DataFrame) -> DataFrame:
     return signed.groupBy(*BAR).agg(F.avg((F.col("tick") == F.col("side")).cast("double")).alias("tick_rule_accuracy"))
 
 
+def trade_features(trades: DataFrame, *, levels: Sequence[float], min_trades: int = 5) -> DataFrame:
+    """:func:`kyle_lambda`, :func:`round_sizes`, :func:`serial_correlation` and :func:`bar_tick_accuracy` of each bar from one pass of neighbours."""
+    same = F.col("_b") == F.col("bar_id")
+    prev = lagged(trades.select(*BAR, "pos", "price", "qty", "side"), {"_p": F.col("price"), "_v": F.col("side"), "_b": F.col("bar_id")})
+    inner = prev.select(*BAR, "pos", "qty", "side", F.when(same, F.col("price") - F.col("_p")).alias("_step"), F.when(same, F.col("_v")).cast("double").alias("_lag"))
+    move = F.signum("_step").cast("int")
+    signed = running(inner, {"_sgn": ("last", F.when(move != 0, move))}, keys=BAR)
+    return signed.groupBy(*BAR).agg(
+        _impact(F.col("_step"), min_trades).alias("kyle_lambda"),
+        F.avg(_round(levels)[0].cast("double")).alias("round_number_fraction"),
+        _serial("_lag", "side", True).alias("serial_corr_signed_flow"),
+        F.avg((F.coalesce("_sgn", F.lit(1)) == F.col("side")).cast("double")).alias("tick_rule_accuracy"),
+    )
+
+
 # --------------------------------------------------------------------------- feature table
 FEATURES = (
     "roll_c", "roll_sigma_u", "parkinson_vol_20bar", "corwin_schultz_spread", "becker_parkinson_sigma", "kyle_lambda",
@@ -201,13 +221,7 @@ def feature_table(
         vpin(high_low_estimators(parkinson_rolling(roll_rolling(bars, window=window), window=window)), window=vpin_window),
         window=window,
     )
-    out = wide.join(kyle_lambda(trades, min_trades=5), list(BAR), "left")
-    out = out.join(
-        round_sizes(trades, levels=levels, by=BAR).select(*BAR, F.col("round_fraction").alias("round_number_fraction")),
-        list(BAR), "left",
-    )
-    out = out.join(serial_correlation(trades, by_bar=True), list(BAR), "left")
-    out = out.join(bar_tick_accuracy(trades), list(BAR), "left")
+    out = wide.join(trade_features(trades, levels=levels), list(BAR), "left")
     return out.select(*BAR, "pos", "ts", "close", *FEATURES)
 
 
